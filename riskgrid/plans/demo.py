@@ -114,7 +114,8 @@ def with_weather(df: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
                 "convective_precip_mm": (k + d) % 13 / 10.0,
             }
         )
-        .withColumn("d2m", F.col("t2m") - (k * 5 + d) % 200 / 10.0)
+        # Some cells have days above saturation.
+        .withColumn("d2m", F.col("t2m") + F.when(k % 17 == 3, 1.05).otherwise(-0.05) - (k * 5 + d) % 200 / 10.0)
         .drop("shipped")
     )
 

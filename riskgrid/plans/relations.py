@@ -44,7 +44,7 @@ relation(
 )
 relation(
     "weather",
-    """SELECT *, t2m - ((k * 5 + d) % 200) / 1e1 AS d2m FROM (
+    """SELECT *, t2m + CASE WHEN k % 17 = 3 THEN 105e-2 ELSE -5e-2 END - ((k * 5 + d) % 200) / 1e1 AS d2m FROM (
        SELECT p.*, 26315e-2 + ((p.k * 7 + dayofyear(p.date) * 3) % 350) / 1e1 AS t2m,
          ((p.k + p.d * 3) % 21 - 10) / 2e0 AS u10, ((p.k * 3 + p.d) % 17 - 8) / 2e0 AS v10, ((p.k * 13 + p.d) % 100) / 25e1 AS swvl1,
          CASE WHEN (p.k * 31 + p.d) % 997 <> 0 THEN coalesce(r.shipped, 0e0) END AS precip_mm,
