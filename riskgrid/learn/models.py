@@ -1,6 +1,171 @@
-"""Placeholder until the learners are added."""
-from pyspark.ml.feature import VectorAssembler
+"""Class-weighted classifiers and their scores.
 
+Every `fit_*` takes a training frame and returns a PipelineModel that finds
+its inputs by name, so the column order of a frame does not matter.
+"""
 
-def assemble(df, features, out="features"):
-    return VectorAssembler(inputCols=list(features), outputCol=out).transform(df)
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import (
+    GBTClassifier,
+    LogisticRegression,
+    MultilayerPerceptronClassifier,
+    RandomForestClassifier,
+)
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from riskgrid.functions import constants as K
+from riskgrid.operators.metrics import score_card
+from riskgrid.operators.profile import class_ratio, with_class_weights
+
+MAX_BINS = 128
+
+
+def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
+    return _assembler(features, out).transform(df)
+
+
+def _assembler(features: Sequence[str], out: str = "features") -> VectorAssembler:
+    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="error")
+
+
+def _weighted(train: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """Only what a fit reads: inputs, label as double, balanced weight."""
+    slim = train.select(*[F.col(f"`{c}`") for c in features], F.col(label).cast("double").alias("_label"))
+    return with_class_weights(slim, "_label", "_weight")
+
+
+@dataclass(frozen=True)
+class PriorModel:
+    """Predicts 1 at the training rate, at random but the same on every run."""
+
+    prior: float
+    seed: int = 0
+
+    def predict(self, df: DataFrame, key: str = "row_key", out: str = "score") -> DataFrame:
+        draw = F.pmod(F.xxhash64(F.col(key), F.lit(self.seed)), F.lit(1 << 32)) / float(1 << 32)
+        return df.withColumn(out, (draw < self.prior).cast("double"))
+
+
+def fit_dummy(train: DataFrame, label: str = "ignited", seed: int = 0) -> PriorModel:
+    return PriorModel(train.agg(F.avg(label)).first()[0], seed)
+
+
+def fit_logistic(
+    train: DataFrame, features: Sequence[str] = K.SERVED_FEATURES, label: str = "ignited", max_iter: int = 1000
+) -> PipelineModel:
+    """Standardised inputs, balanced weights, unit L2 penalty."""
+    rows = _weighted(train, features, label)
+    total = train.filter(F.col(label).isNotNull()).count()  # the balanced weights add up to the rows
+    stages = [
+        _assembler(features, "_raw"),
+        StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True),
+        LogisticRegression(
+            labelCol="_label", weightCol="_weight", regParam=1.0 / total, standardization=False, maxIter=max_iter
+        ),
+    ]
+    return Pipeline(stages=stages).fit(rows)
+
+
+def fit_forest(
+    train: DataFrame,
+    features: Sequence[str] = K.SERVED_FEATURES,
+    label: str = "ignited",
+    n_estimators: int = 100,
+    max_depth: int = 6,
+    max_features: float | str = "sqrt",
+    min_samples_leaf: int = 1,
+    seed: int = 0,
+) -> PipelineModel:
+    """Forest with balanced class weights.
+
+    More memory per round of split finding means fewer passes over the data.
+    """
+    forest = RandomForestClassifier(
+        labelCol="_label",
+        weightCol="_weight",
+        numTrees=n_estimators,
+        maxDepth=max_depth,
+        featureSubsetStrategy=str(max_features),
+        minInstancesPerNode=min_samples_leaf,
+        maxBins=MAX_BINS,
+        maxMemoryInMB=1024,
+        seed=seed,
+    )
+    return Pipeline(stages=[_assembler(features), forest]).fit(_weighted(train, features, label))
+
+
+def fit_boosted(
+    train: DataFrame,
+    features: Sequence[str] = K.SERVED_FEATURES,
+    label: str = "ignited",
+    n_estimators: int = 100,
+    max_depth: int = 6,
+    learning_rate: float = 0.1,
+    subsample: float = 1.0,
+    colsample_bytree: float = 1.0,
+    seed: int = 0,
+) -> PipelineModel:
+    """Boosted trees; positives weigh negatives / positives of this very fold."""
+    slim = train.select(*[F.col(f"`{c}`") for c in features], F.col(label).cast("double").alias("_label"))
+    ratio = class_ratio(train, label).select("scale_pos_weight")  # one row
+    rows = slim.join(F.broadcast(ratio)).withColumn("_weight", F.when(F.col("_label") == 1, F.col("scale_pos_weight")).otherwise(1.0))
+    boosted = GBTClassifier(
+        labelCol="_label",
+        weightCol="_weight",
+        maxIter=n_estimators,
+        maxDepth=max_depth,
+        stepSize=learning_rate,
+        subsamplingRate=subsample,
+        featureSubsetStrategy=str(float(colsample_bytree)) if colsample_bytree < 1 else "all",
+        maxBins=MAX_BINS,
+        maxMemoryInMB=1024,
+        seed=seed,
+    )
+    return Pipeline(stages=[_assembler(features), boosted]).fit(rows.drop("scale_pos_weight"))
+
+
+def fit_sequences(
+    train: DataFrame, label: str = "ignited", column: str = "sequence", hidden: int = 16, max_iter: int = 50, seed: int = 0
+) -> PipelineModel:
+    """A small network on the flattened raw history.
+
+    The learner takes no weights, so positives are repeated by the class ratio.
+    """
+    ratio = int(round(class_ratio(train, label).first()["scale_pos_weight"]))
+    copies = F.when(F.col(label) == 1, F.sequence(F.lit(1), F.lit(max(ratio, 1)))).otherwise(F.sequence(F.lit(1), F.lit(1)))
+    rows = flatten_sequences(train, column).select(
+        "_raw", F.col(label).cast("double").alias("_label"), F.explode(copies).alias("_copy")
+    )
+    width = rows.select(F.size(vector_to_array("_raw"))).first()[0]
+    stages = [
+        StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True),
+        MultilayerPerceptronClassifier(labelCol="_label", layers=[width, hidden, 2], maxIter=max_iter, seed=seed),
+    ]
+    return Pipeline(stages=stages).fit(rows)
+
+
+def flatten_sequences(df: DataFrame, column: str = "sequence") -> DataFrame:
+    steps = F.transform(F.flatten(column), lambda x: x.cast("double"))
+    return df.withColumn("_raw", array_to_vector(steps))
+
+
+def predict(model, df: DataFrame, out: str = "score") -> DataFrame:
+    """Add the probability of class 1 and nothing else."""
+    if isinstance(model, PriorModel):
+        return model.predict(df, out=out)
+    scored = model.transform(df)
+    return scored.select(*[F.col(f"`{c}`") for c in df.columns], vector_to_array("probability")[1].alias(out))
+
+
+def evaluate(model, df: DataFrame, label: str = "ignited", key: str = "row_key") -> dict[str, float | None]:
+    """pr_auc, roc_auc and top_10pct_capture as plain numbers."""
+    scored = predict(model, df).select(key, label, "score")
+    return score_card(scored, label, "score", key).first().asDict()

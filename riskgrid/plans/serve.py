@@ -1,8 +1,181 @@
+"""Batch scoring: a table of requests in, a table of answers out.
+
+What a service would answer with an error is a `status` here, decided in a
+fixed order; the first that applies wins.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskgrid.functions import constants as K
+from riskgrid.functions.weather_math import season_filter
+from riskgrid.learn.bundle import Bundle
+from riskgrid.operators import explain as xai
+from riskgrid.operators import features as ft
+from riskgrid.operators.grid import assign_cell_ids
+from riskgrid.operators.labels import distinct_ignitions
+from riskgrid.operators.terrain import lookup_codes, one_hot_fixed
+
+LIVE_WEATHER = ("t2m", "relative_humidity", "precip_mm", "swvl1", "wind_speed")
+LIVE_DERIVED = ("days_since_rain", "precip_7d", "precip_30d", "t2m_mean_7d", "t2m_trend_7d", "rh_mean_7d")
+
+
+def _all_present(columns: Sequence[str]):
+    return reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in columns], F.lit(True))
+
+
+def check_vector(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Add `accepted`: does the row have a value for every required column?
+
+    A required column that the frame lacks, or that is not a number, is an
+    error at once.
+    """
+    types = dict(df.dtypes)
+    wrong = [c for c in columns if types.get(c, "none").split("(")[0] not in ("double", "float", "int", "bigint", "smallint", "tinyint", "decimal")]
+    if wrong:
+        raise ValueError(f"not in the table as numbers: {wrong}")
+    return df.withColumn("accepted", _all_present(columns))
+
+
+def score_vectors(df: DataFrame, bundle: Bundle) -> tuple[DataFrame, DataFrame]:
+    """(scored rows, rejected rows) for ready-made feature vectors."""
+    checked = check_vector(df, bundle.feature_columns)
+    return bundle.score(checked.filter("accepted").drop("accepted")), checked.filter("NOT accepted").drop("accepted")
+
+
+def live_neighbor_counts(
+    asked: DataFrame, detections: DataFrame, windows: Sequence[int] = K.NEIGHBOR_WINDOWS
+) -> DataFrame:
+    """Neighbour fire days strictly before each asked (cell, date), 0 if none.
+
+    The training operator grows the counts outward from the detections; a
+    detection day counts once, however many detections it has.
+    """
+    located = assign_cell_ids(detections) if "cell_id" not in detections.columns else detections
+    counts = ft.neighbor_counts(distinct_ignitions(located), tuple(windows))
+    names = [f"neighbor_fire_count_{n}d" for n in windows]
+    return asked.join(counts, ["cell_id", "date"], "left").withColumns({n: F.coalesce(n, F.lit(0.0)) for n in names})
+
+
+def live_feature_rows(asked: DataFrame, feed: DataFrame, lookback_days: int = K.LIVE_LOOKBACK_DAYS) -> DataFrame:
+    """Weather features of each asked (cell, date) from its own short history.
+
+    `feed` has cell_id, date and the five daily variables.  Each pair is spread
+    over its lookback days and joined by equality, then the training windows
+    run over that history, which has at most lookback + 1 rows.  Adds
+    `weather_status` (ok, no_row, insufficient_history) and `missing`.
+    """
+    pairs = asked.select("cell_id", "date").distinct()
+    days = F.sequence(F.date_sub("date", lookback_days), F.col("date"))
+    history = (
+        pairs.select("cell_id", F.col("date").alias("target"), F.explode(days).alias("date"))
+        .join(feed.select("cell_id", "date", *LIVE_WEATHER), ["cell_id", "date"])
+        .withColumn("_pair", F.concat_ws("@", "cell_id", "target"))
+    )
+    derived = history.transform(ft.add_days_since_rain, cell_col="_pair").transform(ft.add_rolling_features, cell_col="_pair")
+    rows = derived.filter(F.col("date") == F.col("target")).drop("_pair", "target")
+    names = [*LIVE_WEATHER, *LIVE_DERIVED]
+    missing = F.array_compact(F.array(*[F.when(F.col(n).isNull(), F.lit(n)) for n in names]))
+    rows = rows.withColumn("missing", missing)
+    return asked.join(rows, ["cell_id", "date"], "left").withColumn(
+        "weather_status",
+        F.when(F.col("missing").isNull(), "no_row").when(F.size("missing") > 0, "insufficient_history").otherwise("ok"),
+    )
+
+
+def request_features(
+    requests: DataFrame,
+    today: str,
+    cells: DataFrame,
+    feed: DataFrame,
+    detections: DataFrame,
+    fuel: DataFrame | None = None,
+    fuel_columns: Sequence[str] = (),
+) -> DataFrame:
+    """Status and features for requests (request_id, cell_id, date).
+
+    A request without a date is for `today`.  Only requests that pass the
+    cheap checks are joined with the feed.
+    """
+    now = F.lit(today).cast("date")
+    known = cells.select("cell_id", "latitude", "longitude")
+    checked = (
+        requests.withColumn("date", F.coalesce("date", now))
+        .join(known, "cell_id", "left")
+        .withColumn(
+            "early_status",
+            F.when(F.col("latitude").isNull(), "unknown_cell")
+            .when(F.col("date") > now, "future_date")
+            .when(~season_filter(F.col("date")), "off_season"),
+        )
+    )
+    pairs = checked.filter("early_status IS NULL").select("cell_id", "date").distinct()
+    found = live_neighbor_counts(live_feature_rows(pairs, feed), detections)
+    if fuel is not None:
+        found = one_hot_fixed(lookup_codes(found, fuel), tuple(fuel_columns))
+    answered = checked.join(found, ["cell_id", "date"], "left")
+    return answered.withColumn("status", F.coalesce("early_status", "weather_status")).drop("early_status", "weather_status")
+
+
+def score_requests(answered: DataFrame, bundle: Bundle, window_days: int | None = None) -> DataFrame:
+    """Scores for the requests that are ok, NULL for the others.
+
+    With `window_days` the bundle answers for the next days; it has no
+    calibrated value then.
+    """
+    ready = answered.filter((F.col("status") == "ok") & _all_present(bundle.feature_columns))
+    scored = bundle.score(ready.select("request_id", *[F.col(f"`{c}`") for c in bundle.feature_columns])).select(
+        "request_id", "score", "calibrated"
+    )
+    out = (
+        answered.join(scored, "request_id", "left")
+        .select(
+            "request_id",
+            "cell_id",
+            "date",
+            "latitude",
+            "longitude",
+            "status",
+            F.col("score").alias("ignition_probability"),
+            F.col("calibrated").alias("calibrated_probability"),
+        )
+    )
+    if window_days is not None:
+        out = out.drop("calibrated_probability").withColumn("window_days", F.lit(window_days))
+    return out
+
+
+def explain_requests(answered: DataFrame, bundle: Bundle, background: DataFrame, top_n: int = 6) -> DataFrame:
+    """The largest contributions of every request that is ok."""
+    if not 1 <= top_n <= 40:
+        raise ValueError("top_n must be between 1 and 40")
+    ready = answered.filter((F.col("status") == "ok") & _all_present(bundle.feature_columns))
+    columns = [F.col(f"`{c}`") for c in bundle.feature_columns]
+    parts = xai.attributions(bundle.model, ready.select("request_id", *columns), background.select(*columns), "request_id")
+    return xai.top_contributions(parts, top_n, "request_id")
+
+
+def risk_map(dates: DataFrame, dataset: DataFrame, cells: DataFrame, bundle: Bundle, label: str = "ignited") -> DataFrame:
+    """Risk and actual label of every cell on each asked date.
 
-def check_vector(df: DataFrame, columns) -> DataFrame:
-    return df.withColumn("accepted", reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in columns]))
+    A date outside the season is `off_season`, one without rows `no_data`; both
+    give a single row without cells.
+    """
+    asked = dates.select("date").distinct()
+    in_season = season_filter(F.col("date"))
+    scored = bundle.score(dataset.join(asked.filter(in_season), "date", "left_semi"))
+    rows = scored.select(
+        "date",
+        "cell_id",
+        F.col("score").alias("risk_probability"),
+        F.col("calibrated").alias("calibrated_risk_probability"),
+        F.col(label).alias("actual_ignited"),
+    ).join(cells.select("cell_id", "latitude", "longitude"), "cell_id", "left")
+    return asked.join(rows, "date", "left").withColumn(
+        "status", F.when(~in_season, "off_season").when(F.col("cell_id").isNull(), "no_data").otherwise("ok")
+    )
