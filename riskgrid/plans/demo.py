@@ -148,28 +148,28 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def readings(spark: SparkSession, sf: str) -> DataFrame:
+def readings_of(items: DataFrame, suppliers: DataFrame) -> DataFrame:
     """Line items as six-hourly readings at the supplier's nation."""
     n = F.col("s_nationkey")
-    return (
-        table(spark, sf, "lineitem")
-        .join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .select(
-            F.expr("cast(l_shipdate as timestamp) + make_dt_interval(0, 6 * (l_linenumber % 4))").alias("valid_time"),
-            (F.lit(50.0) + F.floor(n / 5) * 0.5).alias("latitude"),
-            (F.lit(-121.0) + n % 5 * 0.5).alias("longitude"),
-            (F.col("l_quantity") + 260.0).alias("t2m"),
-            (F.lit(250.0) + F.col("l_discount") * 100).alias("d2m"),
-            (F.col("l_tax") * 100 - 4).alias("u10"),
-            (F.col("l_discount") * 100 - 5).alias("v10"),
-            (F.col("l_discount") * 2).alias("swvl1"),
-            (F.col("l_extendedprice") / 1e7).alias("tp"),
-            (F.col("l_extendedprice") / 100).alias("cape"),
-            F.when(F.col("l_returnflag") != "R", F.col("l_quantity") / 1e4).alias("cp"),
-        )
+    return items.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select(
+        F.expr("cast(l_shipdate as timestamp) + make_dt_interval(0, 6 * (l_linenumber % 4))").alias("valid_time"),
+        (F.lit(50.0) + F.floor(n / 5) * 0.5).alias("latitude"),
+        (F.lit(-121.0) + n % 5 * 0.5).alias("longitude"),
+        (F.col("l_quantity") + 260.0).alias("t2m"),
+        (F.lit(250.0) + F.col("l_discount") * 100).alias("d2m"),
+        (F.col("l_tax") * 100 - 4).alias("u10"),
+        (F.col("l_discount") * 100 - 5).alias("v10"),
+        (F.col("l_discount") * 2).alias("swvl1"),
+        (F.col("l_extendedprice") / 1e7).alias("tp"),
+        (F.col("l_extendedprice") / 100).alias("cape"),
+        F.when(F.col("l_returnflag") != "R", F.col("l_quantity") / 1e4).alias("cp"),
     )
 
 
+def readings(spark: SparkSession, sf: str) -> DataFrame:
+    return readings_of(table(spark, sf, "lineitem"), table(spark, sf, "supplier"))
+
+
 def fuel_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Part types a supplier ships as the fuel codes found in its cell."""
     k = F.col("l_suppkey")

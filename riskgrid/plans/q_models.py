@@ -299,3 +299,507 @@ def pipe_2(spark, sf):
         ),
         4,
     )
+
+
+# --- learning -----------------------------------------------------------------------
+
+INPUTS = [*K.WEATHER_FEATURES, *K.NEIGHBOR_FEATURES]
+SMALL_FOREST = {"n_estimators": 12, "max_depth": 5, "max_features": 0.6063110478838847, "min_samples_leaf": 7}
+
+
+@lru_cache(maxsize=8)
+def _stored_frame(application: str, sf: str) -> str:
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.active()
+    frame = (
+        demo.features(spark, sf)
+        .transform(lb.add_forward_label, 3)
+        .withColumn("row_key", F.col("k") * 100000 + F.col("d"))
+        .select("row_key", "cell_id", "date", "ignited", "ignited_next_3d", *INPUTS)
+        .na.drop(subset=INPUTS)
+    )
+    path = scratch_path(spark, "model-frame")
+    rd.write_table(frame, path)
+    return path
+
+
+def model_frame(spark, sf) -> DataFrame:
+    """Complete rows with labels and inputs, written once per session."""
+    return spark.read.parquet(_stored_frame(spark.sparkContext.applicationId, sf))
+
+
+def split_frames(spark, sf):
+    return lb.temporal_split(lb.season_rows(model_frame(spark, sf)), demo.TRAIN_END, demo.VAL_END)
+
+
+def _fit_small(train, features=INPUTS, label="ignited", **params):
+    return models.fit_forest(train, features, label, **{**SMALL_FOREST, **params})
+
+
+@lru_cache(maxsize=8)
+def _small_bundle(application: str, sf: str) -> str:
+    """A calibrated forest, stored once per session."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.active()
+    train, val, _ = split_frames(spark, sf)
+    model = _fit_small(train)
+    curve = fit_isotonic(models.predict(model, val), "ignited", "score")
+    path = scratch_path(spark, "bundle")
+    save_bundle(Bundle(model, INPUTS, {"model_type": "RandomForest", "params": SMALL_FOREST}, curve), path)
+    return path
+
+
+def small_bundle(spark, sf) -> Bundle:
+    return load_bundle(spark, _small_bundle(spark.sparkContext.applicationId, sf))
+
+
+def _card(spark, name, model, df, label="ignited"):
+    found = models.evaluate(model, df, label)
+    rows = [(name, found["pr_auc"], found["roc_auc"], found["top_10pct_capture"])]
+    return spark.createDataFrame(rows, "model string, pr_auc double, roc_auc double, top_10pct_capture double")
+
+
+@query("ml_1")
+def ml_1(spark, sf):
+    train, val, _ = split_frames(spark, sf)
+    return models.fit_dummy(train).predict(val).select("row_key", "ignited", "score")
+
+
+@query("ml_2")
+def ml_2(spark, sf):
+    train, val, _ = split_frames(spark, sf)
+    return _card(spark, "logistic", models.fit_logistic(train, INPUTS, max_iter=100), val)
+
+
+@query("ml_3")
+def ml_3(spark, sf):
+    train, val, _ = split_frames(spark, sf)
+    return _card(spark, "forest", _fit_small(train), val)
+
+
+@query("ml_4")
+def ml_4(spark, sf):
+    train, val, _ = split_frames(spark, sf)
+    return _card(spark, "boosted", models.fit_boosted(train, INPUTS, n_estimators=5, max_depth=4, subsample=0.8, colsample_bytree=0.8), val)
+
+
+@query("ml_5")
+def ml_5(spark, sf):
+    train, val, _ = split_frames(spark, sf)
+    _, best, results = search.grid_search(_fit_small, {"n_estimators": [4, 8], "max_depth": [3, 5]}, train, val)
+    rows = [(str(f["params"]), f["params"] == best, f["pr_auc"], f["roc_auc"], f["top_10pct_capture"]) for f in results]
+    return spark.createDataFrame(rows, "params string, chosen boolean, pr_auc double, roc_auc double, top_10pct_capture double")
+
+
+@query("ml_6")
+def ml_6(spark, sf):
+    train, val, _ = split_frames(spark, sf)
+    space = {"n_estimators": ("int", 3, 8), "max_depth": ("int", 3, 6), "learning_rate": ("loguniform", 0.05, 0.3)}
+
+    def fit(train, label="ignited", **params):
+        return models.fit_boosted(train, INPUTS, label, **params)
+
+    _, best, results = search.random_search(fit, space, train, val, n_iter=2)
+    rows = [(str(f["params"]), f["params"] == best, f["pr_auc"]) for f in results]
+    return spark.createDataFrame(rows, "params string, chosen boolean, pr_auc double")
+
+
+@query("ml_7")
+def ml_7(spark, sf):
+    train, val, test = split_frames(spark, sf)
+    candidates = search.expand_grid({"n_estimators": [4], "max_depth": [3, 5]})
+    return search.tune_and_report(spark, _fit_small, candidates, train, val, test)
+
+
+@query("ml_8")
+def ml_8(spark, sf):
+    _, _, test = split_frames(spark, sf)
+    return small_bundle(spark, sf).score(test).select("row_key", "score", "calibrated")
+
+
+@query("ml_9")
+def ml_9(spark, sf):
+    """Scores of a bundle before saving and after loading."""
+    _, _, test = split_frames(spark, sf)
+    first = small_bundle(spark, sf)
+    path = scratch_path(spark, "bundle")
+    save_bundle(first, path)
+    again = load_bundle(spark, path)
+    both = first.score(test).select("row_key", F.col("score").alias("a")).join(again.score(test).select("row_key", F.col("score").alias("b")), "row_key")
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.max(F.abs(F.col("a") - F.col("b"))).alias("largest_difference"))
+
+
+def _metadata_row(spark, bundle: Bundle):
+    m = bundle.metadata
+    row = (m["model_type"], str(m["params"]), m["val_scores"]["pr_auc"], m["test_scores"]["pr_auc"], bundle.calibrator is not None)
+    return spark.createDataFrame([row], "model_type string, params string, val_pr_auc double, test_pr_auc double, calibrated boolean")
+
+
+@query("ml_10")
+def ml_10(spark, sf):
+    bundle = export.export_served_model(
+        model_frame(spark, sf), scratch_path(spark, "served"), INPUTS, (1999, 2000, 2001), demo.TRAIN_END, demo.VAL_END, {**SMALL_FOREST, "n_estimators": 4}
+    )
+    return _metadata_row(spark, bundle)
+
+
+@query("ml_11")
+def ml_11(spark, sf):
+    bundle = export.export_multi_day_model(
+        model_frame(spark, sf), scratch_path(spark, "served"), "ignited_next_3d", INPUTS, demo.TRAIN_END, demo.VAL_END, {**SMALL_FOREST, "n_estimators": 4}
+    )
+    return _metadata_row(spark, bundle)
+
+
+@query("ml_12")
+def ml_12(spark, sf):
+    return importance.impurity_importance(small_bundle(spark, sf).model)
+
+
+@query("ml_13")
+def ml_13(spark, sf):
+    _, val, _ = split_frames(spark, sf)
+    return importance.permutation_importance(small_bundle(spark, sf).model, val, ["t2m", "neighbor_fire_count_7d"], repeats=2)
+
+
+@query("ml_14")
+def ml_14(spark, sf):
+    train, _, test = split_frames(spark, sf)
+    groups = {"rain": ["precip_7d", "precip_30d"], "neighbors": list(K.NEIGHBOR_FEATURES)}
+    return search.ablation(spark, _fit_small, ["t2m", "relative_humidity"], groups, train, test, {"n_estimators": 4})
+
+
+@query("ml_14_sweep")
+def ml_14_sweep(spark, sf):
+    train, val, test = split_frames(spark, sf)
+    return search.parameter_sweep(spark, _fit_small, "max_features", [0.3, 0.9], train, val, test, n_estimators=4)
+
+
+@query("ml_15")
+def ml_15(spark, sf):
+    """Raw histories against the forest on the same rows."""
+    channels = ("t2m", "relative_humidity", "wind_speed", "precip_mm", "swvl1")
+    margin = lb.season_rows(model_frame(spark, sf), start=K.LOOKBACK_SEASON_START)
+    rows = materialize(lb.season_rows(ft.build_sequences(margin, channels, 30)), "sequences")
+    train, val, _ = lb.temporal_split(rows, demo.TRAIN_END, demo.VAL_END)
+    network = models.fit_sequences(train, hidden=4, max_iter=3)
+    on_histories = models.predict(network, models.flatten_sequences(val))
+    from riskgrid.operators.metrics import score_card
+
+    a = score_card(on_histories, "ignited").select(F.lit("sequences").alias("model"), "*")
+    b = score_card(models.predict(_fit_small(train), val), "ignited").select(F.lit("forest").alias("model"), "*")
+    return a.unionByName(b)
+
+
+@query("bt_2")
+def bt_2(spark, sf):
+    folds = export.run_backtest(
+        lb.season_rows(model_frame(spark, sf)), (2000, 2001), models.fit_forest, {**SMALL_FOREST, "n_estimators": 4}, INPUTS
+    )
+    return folds.groupBy("year").agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("positives"), F.avg("score").alias("mean_score"))
+
+
+def _explained(spark, sf) -> DataFrame:
+    """Attributions of every positive of the test years."""
+    _, _, test = split_frames(spark, sf)
+    bundle = small_bundle(spark, sf)
+    background = xai.training_background(model_frame(spark, sf), demo.TRAIN_END)
+    return xai.attributions(bundle.model, test.filter("ignited = 1"), background)
+
+
+@query("xai_1")
+def xai_1(spark, sf):
+    return _explained(spark, sf)
+
+
+@query("xai_2")
+def xai_2(spark, sf):
+    return xai.mean_abs(_explained(spark, sf))
+
+
+@query("xai_3")
+def xai_3(spark, sf):
+    return xai.conditional_mean_abs(_explained(spark, sf), "neighbor_fire_count_7d")
+
+
+@query("top_2")
+def top_2(spark, sf):
+    return xai.top_contributions(_explained(spark, sf), 5)
+
+
+@query("xai_4")
+def xai_4(spark, sf):
+    """The three example rows of the test years with their contributions."""
+    _, _, test = split_frames(spark, sf)
+    bundle = small_bundle(spark, sf)
+    scored = models.predict(bundle.model, test)
+    pool = xai.example_pool(scored, negatives=2000)
+    chosen = bt.extreme_examples(scored, pool, "ignited").na.drop()
+    background = xai.training_background(model_frame(spark, sf), demo.TRAIN_END)
+    parts = xai.attributions(bundle.model, pool.join(chosen.select("row_key").distinct(), "row_key", "left_semi"), background)
+    return chosen.join(xai.top_contributions(parts, 6), "row_key")
+
+
+# --- serving --------------------------------------------------------------------------
+
+TODAY = "2001-01-15"
+
+
+def asked_pairs(spark, sf) -> DataFrame:
+    """Cell of each point, on the day after it."""
+    from riskgrid.operators import grid
+
+    located = grid.assign_cell_ids(demo.points(spark, sf))
+    return located.select("cell_id", F.date_add("acq_date", 1).alias("date")).distinct()
+
+
+@query(
+    "win_8",
+    "SELECT a.cell_id, a.date, "
+    + ", ".join(f"count(DISTINCT (p.cell_id, p.acq_date)) FILTER (a.date - p.acq_date BETWEEN 1 AND {n})::double AS neighbor_fire_count_{n}d" for n in (1, 3, 7))
+    + """ FROM (SELECT DISTINCT cell_id, acq_date + 1 AS date, split_part(cell_id, '_', 1)::int AS r, split_part(cell_id, '_', 2)::int AS c FROM points_in_cells) a
+       LEFT JOIN (SELECT DISTINCT cell_id, acq_date, split_part(cell_id, '_', 1)::int AS r, split_part(cell_id, '_', 2)::int AS c FROM points_in_cells) p
+         ON abs(a.r - p.r) <= 1 AND abs(a.c - p.c) <= 1 AND a.cell_id <> p.cell_id AND a.date - p.acq_date BETWEEN 1 AND 7 GROUP BY ALL""",
+    ("points_in_cells",),
+)
+def win_8(spark, sf):
+    return serve.live_neighbor_counts(asked_pairs(spark, sf), demo.points(spark, sf))
+
+
+def live_requests(spark, sf) -> DataFrame:
+    """Orders as requests; half as many cells again as there are suppliers."""
+    k = F.floor(F.col("o_custkey") / 10)
+    return demo.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("request_id"),
+        F.concat_ws("_", F.floor(k / 10).cast("int"), (k % 10).cast("int")).alias("cell_id"),
+        F.when(F.col("o_orderkey") % 1000 != 7, F.to_date("o_orderdate")).alias("date"),
+    )
+
+
+def live_feed(spark, sf) -> DataFrame:
+    return rd.rename_feed(raw_feed(spark, sf))
+
+
+rel.relation(
+    "requests",
+    f"""SELECT o_orderkey AS request_id, (o_custkey // 100) || '_' || ((o_custkey // 10) % 10) AS cell_id,
+       CASE WHEN o_orderkey % 1000 <> 7 THEN o_orderdate::date ELSE date '{TODAY}' END AS date FROM orders""",
+)
+_LIVE_W = "WINDOW w AS (PARTITION BY cell_id, target ORDER BY date)"
+
+
+def _frame_sql(column: str, n: int, how: str) -> str:
+    w = f"(PARTITION BY cell_id, target ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count({column}) OVER {w} = {n} THEN {how}({column}) OVER {w} END"
+
+
+rel.relation(
+    "live_rows",
+    f"""SELECT * EXCLUDE (date), target AS date FROM (
+       SELECT *, pos - last_value(CASE WHEN precip_mm >= 1 THEN pos END IGNORE NULLS) OVER (PARTITION BY cell_id, target ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS days_since_rain FROM (
+       SELECT a.cell_id, a.date AS target, f.date, f.t2m, f.relative_humidity, f.precip_mm, f.swvl1, f.wind_speed, row_number() OVER (PARTITION BY a.cell_id, a.date ORDER BY f.date) AS pos
+       FROM (SELECT DISTINCT cell_id, date FROM requests) a JOIN feed f ON f.cell_id = a.cell_id AND f.date BETWEEN a.date - 45 AND a.date))
+       WHERE true""",
+    "requests",
+    "feed",
+)
+rel.relation(
+    "live_derived",
+    f"""SELECT * FROM (SELECT cell_id, target, date, t2m, days_since_rain, {_frame_sql('precip_mm', 7, 'sum')} AS precip_7d, {_frame_sql('precip_mm', 30, 'sum')} AS precip_30d,
+       {_frame_sql('t2m', 7, 'avg')} AS t2m_mean_7d, t2m - lag(t2m, 7) OVER (PARTITION BY cell_id, target ORDER BY date) AS t2m_trend_7d, {_frame_sql('relative_humidity', 7, 'avg')} AS rh_mean_7d, precip_mm
+       FROM live_history) WHERE date = target""",
+    "live_history",
+)
+RELATIONS["live_history"] = (
+    RELATIONS["live_rows"][0],
+    RELATIONS["live_rows"][1].replace("SELECT * EXCLUDE (date), target AS date FROM (", "", 1).rsplit(")\n       WHERE true", 1)[0],
+)
+del RELATIONS["live_rows"]
+_MISSING = "list_filter([" + ", ".join(f"CASE WHEN w.{c} IS NULL THEN '{c}' END" for c in ("precip_mm", "days_since_rain", "precip_7d", "precip_30d", "t2m_mean_7d", "t2m_trend_7d", "rh_mean_7d")) + "], lambda x: x IS NOT NULL)"
+
+
+@query(
+    "win_9",
+    f"""SELECT a.cell_id, a.date, CASE WHEN w.cell_id IS NULL THEN 'no_row' WHEN len({_MISSING}) > 0 THEN 'insufficient_history' ELSE 'ok' END AS weather_status,
+       CASE WHEN w.cell_id IS NOT NULL THEN array_to_string({_MISSING}, ',') END AS missing, w.days_since_rain::int AS days_since_rain,
+       {r('w.precip_30d', 'precip_30d', 4)}, {r('w.t2m_trend_7d', 't2m_trend_7d', 4)}, {r('w.rh_mean_7d', 'rh_mean_7d', 4)}
+       FROM (SELECT DISTINCT cell_id, date FROM requests) a LEFT JOIN live_derived w ON w.cell_id = a.cell_id AND w.date = a.date""",
+    ("requests", "live_derived"),
+)
+def win_9(spark, sf):
+    asked = live_requests(spark, sf).withColumn("date", F.coalesce("date", F.lit(TODAY).cast("date"))).select("cell_id", "date").distinct()
+    out = serve.live_feature_rows(asked, live_feed(spark, sf))
+    return rounded(
+        out.select("cell_id", "date", "weather_status", F.array_join("missing", ",").alias("missing"), "days_since_rain", "precip_30d", "t2m_trend_7d", "rh_mean_7d"), 4
+    )
+
+
+def answered_requests(spark, sf) -> DataFrame:
+    return serve.request_features(
+        live_requests(spark, sf), TODAY, demo.cells(spark, sf), live_feed(spark, sf), demo.detections(spark, sf), demo.fuel(spark, sf), ("fuel_type_LARGE", "fuel_type_S-2")
+    )
+
+
+@query(
+    "srv_2",
+    f"""SELECT q.request_id, q.cell_id, q.date, status, {r('CASE WHEN early IS NULL THEN w.precip_30d END', 'precip_30d', 4)},
+       CASE WHEN early IS NULL THEN (SELECT count(*) FROM (SELECT DISTINCT cell_id, acq_date FROM detections) d JOIN cells dc ON dc.cell_id = d.cell_id
+         WHERE abs(dc.row - q.row) <= 1 AND abs(dc.col - q.col) <= 1 AND dc.cell_id <> q.cell_id AND q.date - d.acq_date BETWEEN 1 AND 7) END::double AS neighbor_fire_count_7d,
+       CASE WHEN early IS NULL THEN (f.fuel_type_cd = 'LARGE')::int END::double AS fuel_large
+       FROM (SELECT r.*, c.row, c.col, CASE WHEN c.cell_id IS NULL THEN 'unknown_cell' WHEN r.date > date '{TODAY}' THEN 'future_date'
+          WHEN strftime(r.date, '%m-%d') NOT BETWEEN '05-01' AND '10-15' THEN 'off_season' END AS early FROM requests r LEFT JOIN cells c USING (cell_id)) q
+       LEFT JOIN (SELECT w.*, CASE WHEN len({_MISSING}) > 0 THEN 'insufficient_history' ELSE 'ok' END AS ws FROM live_derived w) w ON w.cell_id = q.cell_id AND w.date = q.date
+       LEFT JOIN fuel f ON f.cell_id = q.cell_id, LATERAL (SELECT coalesce(early, w.ws, 'no_row') AS status)""",
+    ("requests", "live_derived", "cells", "detections", "fuel"),
+)
+def srv_2(spark, sf):
+    out = answered_requests(spark, sf)
+    return rounded(
+        out.select("request_id", "cell_id", "date", "status", "precip_30d", "neighbor_fire_count_7d", F.col("`fuel_type_LARGE`").alias("fuel_large")), 4
+    )
+
+
+@query("srv_2_scores")
+def srv_2_scores(spark, sf):
+    return serve.score_requests(answered_requests(spark, sf), small_bundle(spark, sf))
+
+
+@query("srv_3")
+def srv_3(spark, sf):
+    train, _, _ = split_frames(spark, sf)
+    several = Bundle(_fit_small(lb.drop_unlabelled(train, "ignited_next_3d"), label="ignited_next_3d", n_estimators=4), INPUTS)
+    return serve.score_requests(answered_requests(spark, sf), several, window_days=K.MULTI_DAY_WINDOW)
+
+
+@query("srv_4")
+def srv_4(spark, sf):
+    background = xai.training_background(model_frame(spark, sf), demo.TRAIN_END)
+    return serve.explain_requests(answered_requests(spark, sf), small_bundle(spark, sf), background, 6)
+
+
+@query("srv_1")
+def srv_1(spark, sf):
+    """Risk of every cell on the dates of the urgent orders."""
+    dates = demo.table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.date_add(F.to_date("o_orderdate"), 200).alias("date"))
+    return serve.risk_map(dates, model_frame(spark, sf), demo.cells(spark, sf), small_bundle(spark, sf))
+
+
+# --- streams ----------------------------------------------------------------------------
+
+_EVENTS = "event_id bigint, ts timestamp_ntz, event_type string"
+
+
+def point_stream(spark, path: str, glob: str = "events.parquet") -> DataFrame:
+    """The events file as a stream of detections."""
+    e = spark.readStream.schema(_EVENTS).option("pathGlobFilter", glob).option("maxFilesPerTrigger", 1).parquet(path)
+    return e.select(
+        "event_id",
+        (F.lit(49.8) + F.col("event_id") % 1700 / 1000.0).alias("latitude"),
+        (F.lit(-121.5) + F.col("event_id") % 2500 / 1000.0).alias("longitude"),
+        F.col("ts").cast("timestamp").alias("ts"),
+    )
+
+
+def _run(stream: DataFrame, mode: str = "append") -> DataFrame:
+    from riskgrid.streaming.detections import run_available
+
+    spark = stream.sparkSession
+    return run_available(stream, scratch_path(spark, "stream"), scratch_path(spark, "stream-state"), mode)
+
+
+@query("str_1", "SELECT DISTINCT cell_id, acq_date AS day FROM points_in_cells", ("points_in_cells",))
+def str_1(spark, sf):
+    from riskgrid.streaming.detections import ignition_days
+
+    return _run(ignition_days(point_stream(spark, sf))).select("cell_id", "day")
+
+
+@query(
+    "str_2",
+    f"""SELECT (r + dr) || '_' || (c + dc) AS cell_id, acq_date + lag::int AS date, {', '.join(f'count(*) FILTER (lag <= {n})::double AS neighbor_fire_count_{n}d' for n in (1, 3, 7))}
+       FROM (SELECT DISTINCT acq_date, split_part(cell_id, '_', 1)::int AS r, split_part(cell_id, '_', 2)::int AS c FROM points_in_cells),
+         (SELECT unnest([-1, 0, 1]) AS dr), (SELECT unnest([-1, 0, 1]) AS dc), (SELECT unnest(range(1, 8)) AS lag) WHERE dr <> 0 OR dc <> 0
+       GROUP BY 1, 2 HAVING max(acq_date + lag::int)::timestamp <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY""",
+    ("points_in_cells",),
+)
+def str_2(spark, sf):
+    """Windows that the watermark has passed by the end of the stream."""
+    from riskgrid.streaming.detections import sliding_neighbor_counts
+
+    return _run(sliding_neighbor_counts(point_stream(spark, sf)))
+
+
+@query(
+    "str_3",
+    f"""SELECT {POINT}, date, {r('t2m', 't2m')}, {r('cape', 'cape')}, {r('mm', 'convective_precip_mm')}, n AS readings FROM (
+       SELECT latitude, longitude, valid_time::date AS date, avg(t2m) AS t2m, max(cape) AS cape, coalesce(sum(cp), 0) * 1000 AS mm, count(*) AS n FROM readings GROUP BY ALL)
+       WHERE (date + 1)::timestamp <= (SELECT max(valid_time) FROM readings) - INTERVAL 1 DAY""",
+    ("readings",),
+)
+def str_3(spark, sf):
+    from riskgrid.streaming.detections import daily_weather
+
+    schema = demo.table(spark, sf, "lineitem").schema
+    items = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf)
+    return rounded(_run(daily_weather(demo.readings_of(items, demo.table(spark, sf, "supplier")))))
+
+
+@query(
+    "str_4",
+    """SELECT cell_id, acq_date AS date, count(*) AS detections FROM points_in_cells JOIN events USING (event_id)
+       WHERE ts >= timestamp '2024-01-20' OR event_id % 10 < 8
+          OR (acq_date + 1)::timestamp > (SELECT max(ts) FROM events WHERE ts < timestamp '2024-01-20' AND event_id % 10 < 8 AND event_id % 2 = 0) - INTERVAL 2 DAY GROUP BY ALL""",
+    ("points_in_cells",),
+)
+def str_4(spark, sf):
+    """A fifth of the early events arrives late: those of the last days are
+    still counted, older ones are dropped.
+
+    A batch is held against the watermark that the batch before the last one
+    set, which is why the events on time come in two files.
+    """
+    from riskgrid.streaming.detections import daily_counts
+
+    landing = scratch_path(spark, "landing")
+    events = demo.table(spark, sf, "events").select("event_id", "ts", "event_type")
+    early = F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz")
+    on_time = F.col("event_id") % 10 < 8
+    even = F.col("event_id") % 2 == 0
+    for part in (early & on_time & even, early & on_time & ~even, early & ~on_time, ~early):
+        events.filter(part).coalesce(1).write.mode("append").parquet(landing)
+    versions = _run(daily_counts(point_stream(spark, landing, "*.parquet")), "update")
+    last = versions.groupBy("cell_id", "date").agg(F.max_by("detections", "batch").alias("detections"))
+    return last
+
+
+_CODES_3 = ", ".join(r(f"f.{n}", n, 4) for n in ("ffmc", "dmc", "dc"))
+
+
+@query(
+    "str_5",
+    f"SELECT i.cell_id, i.date, {_CODES_3} FROM code_input i LEFT JOIN folded f ON f.k = i.k AND f.date = i.date",
+    ("seasons", "code_input"),
+    recursive=_fold_sql(),
+)
+def str_5(spark, sf):
+    """The daily codes with state per cell, fed in two halves."""
+    from riskgrid.plans.q_reports import code_frame
+    from riskgrid.streaming.codes import INPUT, stateful_codes
+
+    landing = scratch_path(spark, "landing")
+    frame = code_frame(spark, sf).select(
+        "cell_id",
+        "date",
+        "latitude",
+        (F.col("t2m") - K.KELVIN_OFFSET).alias("temp_c"),
+        F.col("relative_humidity").alias("rh"),
+        (F.col("wind_speed") * 3.6).alias("wind_kmh"),
+        F.col("precip_mm").alias("rain"),
+    )
+    half = F.col("date") < "1998-06-01"
+    for part in (half, ~half):
+        frame.filter(part).select(*INPUT).coalesce(1).write.mode("append").parquet(landing)
+    stream = spark.readStream.schema(frame.select(*INPUT).schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    return rounded(_run(stateful_codes(stream)), 4)
