@@ -99,8 +99,12 @@ def neighbor_counts(
             F.col("_near").alias(cell_col), F.expr(f"date_add(`{date_col}`, _lag)").alias(date_col), "_lag"
         )
     )
-    return reach.groupBy(cell_col, date_col).agg(
-        *[F.count(F.when(F.col("_lag") <= n, 1)).cast("double").alias(f"neighbor_fire_count_{n}d") for n in windows]
+    # Merge join: the planner does not see that the rows were multiplied, and
+    # might broadcast a table it takes for small.
+    return (
+        reach.groupBy(cell_col, date_col)
+        .agg(*[F.count(F.when(F.col("_lag") <= n, 1)).cast("double").alias(f"neighbor_fire_count_{n}d") for n in windows])
+        .hint("merge")
     )
 
 
@@ -111,28 +115,40 @@ def add_neighbor_fire_features(
     cell_col: str = "cell_id",
     date_col: str = "date",
     ignitions: DataFrame | None = None,
-    first_date: str | None = None,
 ) -> DataFrame:
     """Trailing neighbour counts on a dense panel; NULL on the first N dates.
 
-    `ignitions` (the panel's own positives) and `first_date` may be given
-    where the caller has them, which saves two passes over the panel.
+    The ignitions are handed to their neighbours, counted per (cell, day), and
+    put beside the panel rows of the same cell; a range window over the days
+    before then adds them up.  That takes the exchange and the sort that the
+    other per-cell windows need anyway, and no join.  `ignitions` (the panel's
+    own positives) saves a pass over the panel where the caller has them.
     """
     fires = df.filter(F.col(label_col) == 1) if ignitions is None else ignitions
-    counts = neighbor_counts(fires, windows, cell_col, date_col)
-    joined = df.join(counts, [cell_col, date_col], "left")
-    if first_date is None:
-        start = df.agg(F.min(date_col).alias("_first"))  # one row
-        joined = joined.join(F.broadcast(start))
-    else:
-        joined = joined.withColumn("_first", F.lit(first_date).cast("date"))
-    day = F.datediff(date_col, "_first")
-    return joined.withColumns(
+    near = (
+        explode_neighbors(fires.select(cell_col, date_col).distinct(), cell_col, "_to")
+        .groupBy(F.col("_to").alias(cell_col), date_col)
+        .agg(F.count(F.lit(1)).alias("_near"))
+        .withColumn("_panel", F.lit(False))
+    )
+    both = df.withColumns({"_near": F.lit(0).cast("long"), "_panel": F.lit(True)}).unionByName(near, allowMissingColumns=True)
+    w = _per_cell(cell_col, date_col)
+
+    def days_before(n: int) -> str:
+        span = f"PARTITION BY `{cell_col}` ORDER BY `{date_col}` RANGE BETWEEN {n} PRECEDING AND 1 PRECEDING"
+        return f"cast(coalesce(sum(_near) OVER ({span}), 0) AS double)"
+
+    first = F.min(F.when(F.col("_panel"), F.col(date_col))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    counted = both.withColumns(
         {
-            f"neighbor_fire_count_{n}d": F.when(day >= n, F.coalesce(F.col(f"neighbor_fire_count_{n}d"), F.lit(0.0)))
-            for n in windows
+            "_first": first,
+            **{f"_near_{n}": F.expr(days_before(n)) for n in windows},
         }
-    ).drop("_first")
+    ).filter("_panel")
+    day = F.datediff(date_col, "_first")
+    return counted.withColumns(
+        {f"neighbor_fire_count_{n}d": F.when(day >= n, F.col(f"_near_{n}")) for n in windows}
+    ).drop("_near", "_panel", "_first", *[f"_near_{n}" for n in windows])
 
 
 def add_date_index(df: DataFrame, out_col: str = "day_index", date_col: str = "date") -> DataFrame:
@@ -142,12 +158,18 @@ def add_date_index(df: DataFrame, out_col: str = "day_index", date_col: str = "d
 
 
 def engineer_features(df: DataFrame, **neighbor_options) -> DataFrame:
-    """Neighbour counts first, as the panel is still partitioned for joins;
-    the windows after it then share one exchange."""
+    """The whole chain: one exchange by cell and one sort for all windows."""
     return (
-        df.transform(add_neighbor_fire_features, **neighbor_options)
-        .transform(add_relative_humidity)
+        df.transform(add_relative_humidity)
         .transform(add_wind_features)
+        .transform(add_history_features, **neighbor_options)
+    )
+
+
+def add_history_features(df: DataFrame, **neighbor_options) -> DataFrame:
+    """The windowed part, for panels that have humidity and wind already."""
+    return (
+        df.transform(add_neighbor_fire_features, **neighbor_options)
         .transform(add_days_since_rain)
         .transform(add_rolling_features)
     )
