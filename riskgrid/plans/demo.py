@@ -6,17 +6,33 @@ range of ship dates, detections and rain are line items, points are events.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskgrid.operators import features as ft
 from riskgrid.operators import labels as lb
 from riskgrid.operators.terrain import mode_code
+from riskgrid.session import scratch_path
 
 TRAIN_END, VAL_END = "1999-01-01", "2000-01-01"
 YEARS = tuple(range(1997, 2002))
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A relation that several queries read, written once per session."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORED:
+        path = scratch_path(spark, name)
+        build().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -131,7 +147,13 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
-    """A score per panel row on a scale of 200 steps, higher for some fires."""
+    """A score per panel row on a scale of 200 steps, higher for some fires.
+
+    Reports read scores several times, so they are a table."""
+    return stored(spark, sf, "scores", lambda: _scores(spark, sf))
+
+
+def _scores(spark: SparkSession, sf: str) -> DataFrame:
     k, d = F.col("k"), F.col("d")
     return (
         panel(spark, sf)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from functools import lru_cache, reduce
+from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskgrid.functions import constants as K
@@ -307,26 +307,19 @@ INPUTS = [*K.WEATHER_FEATURES, *K.NEIGHBOR_FEATURES]
 SMALL_FOREST = {"n_estimators": 12, "max_depth": 5, "max_features": 0.6063110478838847, "min_samples_leaf": 7}
 
 
-@lru_cache(maxsize=8)
-def _stored_frame(application: str, sf: str) -> str:
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.active()
-    frame = (
-        demo.features(spark, sf)
-        .transform(lb.add_forward_label, 3)
-        .withColumn("row_key", F.col("k") * 100000 + F.col("d"))
-        .select("row_key", "cell_id", "date", "ignited", "ignited_next_3d", *INPUTS)
-        .na.drop(subset=INPUTS)
-    )
-    path = scratch_path(spark, "model-frame")
-    rd.write_table(frame, path)
-    return path
-
-
 def model_frame(spark, sf) -> DataFrame:
     """Complete rows with labels and inputs, written once per session."""
-    return spark.read.parquet(_stored_frame(spark.sparkContext.applicationId, sf))
+
+    def build():
+        return (
+            demo.features(spark, sf)
+            .transform(lb.add_forward_label, 3)
+            .withColumn("row_key", F.col("k") * 100000 + F.col("d"))
+            .select("row_key", "cell_id", "date", "ignited", "ignited_next_3d", *INPUTS)
+            .na.drop(subset=INPUTS)
+        )
+
+    return demo.stored(spark, sf, "model-frame", build)
 
 
 def split_frames(spark, sf):
@@ -340,8 +333,6 @@ def _fit_small(train, features=INPUTS, label="ignited", **params):
 @lru_cache(maxsize=8)
 def _small_bundle(application: str, sf: str) -> str:
     """A calibrated forest, stored once per session."""
-    from pyspark.sql import SparkSession
-
     spark = SparkSession.active()
     train, val, _ = split_frames(spark, sf)
     model = _fit_small(train)
