@@ -63,7 +63,7 @@ def permutation_importance(
     def precision(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         return average_precision(scored, label, "score", by)
 
-    whole = precision(predict(model, rows)).first()["pr_auc"]
+    whole = precision(materialize(predict(model, rows).select(label, "score"), "scored")).first()["pr_auc"]
     out = []
     for column in features:
         parts = None
@@ -71,6 +71,7 @@ def permutation_importance(
             part = predict(model, shuffle_column(rows, column, key, seed + repeat))
             part = part.select(F.lit(repeat).alias("repeat"), label, "score")
             parts = part if parts is None else parts.unionByName(part)
+        parts = materialize(parts, "permuted-scores")
         drops = [whole - found["pr_auc"] for found in precision(parts, ["repeat"]).collect()]
         mean = sum(drops) / len(drops)
         spread = (sum((d - mean) ** 2 for d in drops) / len(drops)) ** 0.5

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from riskgrid.functions import constants as K
 from riskgrid.operators.metrics import score_card
 from riskgrid.operators.profile import class_ratio, with_class_weights
+from riskgrid.session import materialize
 
 MAX_BINS = 128
 
@@ -166,6 +167,9 @@ def predict(model, df: DataFrame, out: str = "score") -> DataFrame:
 
 
 def evaluate(model, df: DataFrame, label: str = "ignited", key: str = "row_key") -> dict[str, float | None]:
-    """pr_auc, roc_auc and top_10pct_capture as plain numbers."""
-    scored = predict(model, df).select(key, label, "score")
+    """pr_auc, roc_auc and top_10pct_capture as plain numbers.
+
+    The scores are written first: the metrics read them several times, and the
+    model should run once."""
+    scored = materialize(predict(model, df).select(key, label, "score"), "scored")
     return score_card(scored, label, "score", key).first().asDict()

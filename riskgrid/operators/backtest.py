@@ -82,10 +82,12 @@ def yearly_summary(scores: DataFrame, label: str = "label", score: str = "score"
     )
 
 
-def top_bins(scores: DataFrame, label: str, score: str, by: Sequence[str], n_bins: int = 10) -> DataFrame:
+def top_bins(
+    scores: DataFrame, label: str, score: str, by: Sequence[str], n_bins: int = 10, weight: str | None = None
+) -> DataFrame:
     """The highest reliability bin of each group and its ratio, NULL where
     nothing was observed."""
-    table = reliability_table(scores, n_bins, label, score, by)
+    table = reliability_table(scores, n_bins, label, score, by, weight)
     top = table.groupBy(*by).agg(F.max(F.struct("bin", "mean_predicted", "observed_rate")).alias("t"))
     observed = F.col("t.observed_rate")
     return top.select(

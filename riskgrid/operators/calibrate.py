@@ -19,23 +19,31 @@ from riskgrid.session import materialize
 
 
 def reliability_table(
-    df: DataFrame, n_bins: int = 10, label: str = "label", score: str = "score", by: Sequence[str] = ()
+    df: DataFrame,
+    n_bins: int = 10,
+    label: str = "label",
+    score: str = "score",
+    by: Sequence[str] = (),
+    weight: str | None = None,
 ) -> DataFrame:
     """Predicted against observed rate by score quantile.
 
     Bins are closed on the right, the lowest also on the left; equal edges
-    merge.  `bin` counts from 1.
+    merge.  `bin` counts from 1.  With `weight`, a row stands for that many
+    rows of which `label` are positive.
     """
-    edges = quantiles(df, score, [i / n_bins for i in range(n_bins + 1)], by).withColumn("q", F.array_distinct("q"))
+    probs = [i / n_bins for i in range(n_bins + 1)]
+    edges = quantiles(df, score, probs, by, weight).withColumn("q", F.array_distinct("q"))
     below = F.size(F.filter("q", lambda e: e < F.col(score)))
+    n = F.lit(1) if weight is None else F.col(weight)
     return (
-        _attach(df.select(*by, label, score), edges, by)
+        _attach(df.select(*by, label, score, *([weight] if weight else [])), edges, by)
         .withColumn("bin", F.greatest(below, F.lit(1)))
         .groupBy(*by, "bin")
         .agg(
-            F.count(F.lit(1)).alias("count"),
-            F.avg(score).alias("mean_predicted"),
-            F.avg(label).alias("observed_rate"),
+            F.sum(n).alias("count"),
+            (F.sum(F.col(score) * n) / F.sum(n)).alias("mean_predicted"),
+            (F.sum(label) / F.sum(n)).alias("observed_rate"),
         )
     )
 
@@ -252,26 +260,28 @@ def venn_abers(
 # --- checks across years --------------------------------------------------
 
 
+METHODS = ("raw", "isotonic", "sigmoid", "venn_abers")
+
+
 def leave_one_year_out(scores: DataFrame, years: Sequence[int], label: str = "label", score: str = "score") -> DataFrame:
     """Calibrate on every other year pooled, then score the year itself.
 
     One row per year: positives, Brier scores and top-bin ratios raw and under
-    three calibrations, and the mean Venn-Abers width.  The folds work on rows
-    counted per (year, score, label), so the score table is read once.
+    three calibrations, and the mean Venn-Abers width.  The score table is read
+    once, to count its rows per year and score; a calibrator maps equal scores
+    alike, so all else works on the counts.
     """
     from riskgrid.operators.backtest import top_bins
     from riskgrid.operators.metrics import brier
 
     counts = materialize(score_counts(scores, label, score, ["year"]), "year-score-counts")
-    labelled = scores.select("year", label, score)
 
-    def recalibrated(fit, apply) -> DataFrame:
-        parts = []
-        for year in years:
-            others = counts.filter(F.col("year") != year).groupBy(score).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-            own = labelled.filter(F.col("year") == year)
-            parts.append(apply(own, fit(others, score), score, "_c"))
-        return reduce(DataFrame.unionByName, parts).select("year", label, F.col("_c").alias(score))
+    def read_off(year: int) -> DataFrame:
+        others = counts.filter(F.col("year") != year).groupBy(score).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+        others = materialize(others, "other-years")  # both fits make several passes
+        own = counts.filter(F.col("year") == year)
+        own = apply_isotonic(own, _isotonic_from_counts(others, score), score, "isotonic")
+        return apply_sigmoid(own, _sigmoid_from_counts(others, score), score, "sigmoid")
 
     own = F.col("fold") == F.col("year")
     folds = (
@@ -284,29 +294,30 @@ def leave_one_year_out(scores: DataFrame, years: Sequence[int], label: str = "la
         )
         .withColumnRenamed("fold", "year")
     )
-    intervals = labelled.join(_with_point(venn_abers_intervals(folds, ["year"], score)), ["year", score])
-    methods = {
-        "raw": labelled.filter(F.col("year").isin(*years)),
-        "isotonic": recalibrated(_isotonic_from_counts, apply_isotonic),
-        "sigmoid": recalibrated(_sigmoid_from_counts, apply_sigmoid),
-        "venn_abers": intervals.select("year", label, F.col("point").alias(score)),
-    }
+    intervals = _with_point(venn_abers_intervals(folds, ["year"], score)).select(
+        "year", score, F.col("point").alias("venn_abers"), "width"
+    )
+    table = reduce(DataFrame.unionByName, [read_off(y) for y in years]).join(intervals, ["year", score])
+    table = materialize(table.withColumn("raw", F.col(score)), "year-calibrations")
 
+    long = table.select(
+        "year", "n", "pos", F.inline(F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("value")) for m in METHODS]))
+    )
+    by = ["year", "method"]
+    judged = brier(long, "pos", "value", by, "n").join(top_bins(long, "pos", "value", by, weight="n"), by)
+    wide = judged.groupBy("year").agg(
+        *[F.max(F.when(F.col("method") == m, F.col("brier"))).alias(f"{m}_brier") for m in METHODS],
+        *[F.max(F.when(F.col("method") == m, F.col("top_bin_ratio"))).alias(f"{m}_top_bin_ratio") for m in METHODS],
+    )
     everything = counts.agg(F.sum("pos").alias("_all"))  # one row
-    report = (
-        counts.groupBy("year")
-        .agg(F.sum("pos").alias("positives"))
-        .filter(F.col("year").isin(*years))
+    return (
+        table.groupBy("year")
+        .agg(F.sum("pos").alias("positives"), (F.sum(F.col("width") * F.col("n")) / F.sum("n")).alias("venn_abers_mean_interval_width"))
         .join(F.broadcast(everything))
-        .select("year", "positives", (F.col("_all") - F.col("positives")).alias("pooled_train_positives"))
+        .withColumn("pooled_train_positives", F.col("_all") - F.col("positives"))
+        .drop("_all")
+        .join(wide, "year")
     )
-    for name, table in methods.items():
-        report = report.join(brier(table, label, score, ["year"]).select("year", F.col("brier").alias(f"{name}_brier")), "year")
-    for name, table in methods.items():
-        ratio = top_bins(table, label, score, ["year"]).select("year", F.col("top_bin_ratio").alias(f"{name}_top_bin_ratio"))
-        report = report.join(ratio, "year")
-    width = intervals.groupBy("year").agg(F.avg("width").alias("venn_abers_mean_interval_width"))
-    return report.join(width, "year")
 
 
 def interval_check(report: DataFrame, sparse_years: Sequence[int]) -> DataFrame:
@@ -323,5 +334,8 @@ def interval_check(report: DataFrame, sparse_years: Sequence[int]) -> DataFrame:
 
 def pooled_reliability(scores: DataFrame, n_bins: int = 10, label: str = "label", score: str = "score") -> DataFrame:
     """Reliability of one isotonic curve fitted on all years together."""
-    calibrated = apply_isotonic(scores, fit_isotonic(scores, label, score), score, "calibrated")
-    return reliability_table(calibrated, n_bins, label, "calibrated")
+    counts = score_counts(scores, label, score)
+    calibrated = apply_isotonic(counts, _isotonic_from_counts(counts, score), score, "calibrated")
+    # Scores of one block differ in the last bits after interpolation.
+    steps = calibrated.withColumn("calibrated", F.round("calibrated", 12))
+    return reliability_table(steps, n_bins, "pos", "calibrated", weight="n")

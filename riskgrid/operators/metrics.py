@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskgrid.operators.ranking import running_totals, top_k_flag, value_counts
+from riskgrid.operators.ranking import cut_of_ladder, running_totals, tied_rows, value_counts
 
 
 def score_ladder(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
@@ -48,18 +48,42 @@ def top_k_capture(
     df: DataFrame, label: str = "label", score: str = "score", key: str = "row_key", fraction: float = 0.1, by: Sequence[str] = ()
 ) -> DataFrame:
     """Share of the positives inside the top share; NULL without positives."""
-    flagged = top_k_flag(df, score, key, fraction, by)
-    positives = F.sum(label)
-    caught = F.sum(F.when(F.col("in_top"), F.col(label)).otherwise(0))
-    return flagged.groupBy(*by).agg(F.when(positives > 0, caught / positives).alias("capture"))
+    return _capture(df, score_ladder(df, label, score, by), label, score, key, fraction, by)
+
+
+def _capture(df, ladder, label, score, key, fraction, by) -> DataFrame:
+    """The ladder counts the positives above the cut-off score; only the rows
+    tied at it are looked at once more."""
+    cut = cut_of_ladder(ladder, score, fraction, by, ["pos_before", "pos_all"])
+    tied = tied_rows(df.select(*by, score, key, label), cut, score, by)
+    counts = tied.groupBy(*by, key).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(label).alias("p"),
+        *[F.max(c).alias(c) for c in ("need", "pos_before", "pos_all")],
+    )
+    taken = F.when(F.col("n_before") < F.col("need"), F.col("p")).otherwise(0)
+    caught = F.max("pos_before") + F.sum(taken)
+    ranked = running_totals(counts, key, ["n"], by)
+    return ranked.groupBy(*by).agg(F.when(F.max("pos_all") > 0, caught / F.max("pos_all")).alias("capture"))
 
 
-def brier(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
-    """Brier score, the floor a constant base rate reaches, and their ratio."""
-    rate = F.avg(label)
+def brier(
+    df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = (), weight: str | None = None
+) -> DataFrame:
+    """Brier score, the floor a constant base rate reaches, and their ratio.
+
+    With `weight`, a row stands for that many rows of which `label` are positive.
+    """
+    s, y = F.col(score), F.col(label)
+    if weight is None:
+        rate, loss = F.avg(y), F.avg((s - y) * (s - y))
+    else:
+        n = F.col(weight)
+        rate = F.sum(y) / F.sum(n)
+        loss = F.sum(y * (1 - s) * (1 - s) + (n - y) * s * s) / F.sum(n)
     return (
         df.groupBy(*by)
-        .agg(F.avg(F.pow(F.col(score) - F.col(label), F.lit(2.0))).alias("brier"), (rate * (1 - rate)).alias("brier_floor"))
+        .agg(loss.alias("brier"), (rate * (1 - rate)).alias("brier_floor"))
         .withColumn("brier_ratio", F.when(F.col("brier_floor") > 0, F.col("brier") / F.col("brier_floor")))
     )
 
@@ -73,8 +97,7 @@ def score_card(
     fraction: float = 0.1,
 ) -> DataFrame:
     """pr_auc, roc_auc and top_10pct_capture for any label column."""
-    ranks = score_ladder(df, label, score, by).groupBy(*by).agg(
-        _precision_steps().alias("pr_auc"), _pairs_won().alias("roc_auc")
-    )
-    capture = top_k_capture(df, label, score, key, fraction, by).withColumnRenamed("capture", "top_10pct_capture")
+    ladder = score_ladder(df, label, score, by)
+    ranks = ladder.groupBy(*by).agg(_precision_steps().alias("pr_auc"), _pairs_won().alias("roc_auc"))
+    capture = _capture(df, ladder, label, score, key, fraction, by).withColumnRenamed("capture", "top_10pct_capture")
     return ranks.join(capture, list(by)) if by else ranks.join(F.broadcast(capture))

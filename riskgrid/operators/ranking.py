@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+BUCKETS = 128
 
 
 def _attach(df: DataFrame, per_group: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -26,10 +26,14 @@ def _attach(df: DataFrame, per_group: DataFrame, by: Sequence[str]) -> DataFrame
     return df.join(F.broadcast(per_group), list(by)) if by else df.join(F.broadcast(per_group))
 
 
-def value_counts(df: DataFrame, value: str, sums: dict[str, object] | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """Rows per distinct value as `n`, and any further sums."""
+def value_counts(
+    df: DataFrame, value: str, sums: dict[str, object] | None = None, by: Sequence[str] = (), weight: str | None = None
+) -> DataFrame:
+    """Rows per distinct value as `n`, and any further sums.  With `weight`,
+    a row stands for that many."""
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
     extra = [F.sum(c).alias(name) for name, c in (sums or {}).items()]
-    return df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), *extra)
+    return df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(rows.alias("n"), *extra)
 
 
 def place_in_buckets(
@@ -44,7 +48,7 @@ def place_in_buckets(
     numeric = F.unix_date(order) if dict(counts.dtypes)[order] == "date" else F.col(order)
     shares = [i / buckets for i in range(1, buckets)]
     group = counts.groupBy(*by).agg(
-        F.percentile_approx(numeric, shares, 1000).alias("_edges"), *[F.sum(s).alias(f"{s}_all") for s in sums]
+        F.percentile_approx(numeric, shares, 10_000).alias("_edges"), *[F.sum(s).alias(f"{s}_all") for s in sums]
     )
     bucket = F.size(F.filter("_edges", lambda e: e < numeric))
     return _attach(counts, group, by).withColumn("_bucket", bucket).drop("_edges")
@@ -89,10 +93,12 @@ def running_totals(
     return add_running_totals(placed, order, sums, by, descending).drop("_bucket")
 
 
-def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+def quantiles(
+    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), weight: str | None = None
+) -> DataFrame:
     """Exact quantiles with linear interpolation: one row per group with `q`,
     an array in the order of `probs`."""
-    ranked = running_totals(value_counts(df, value, by=by), value, ["n"], by)
+    ranked = running_totals(value_counts(df, value, by=by, weight=weight), value, ["n"], by)
     targets = F.flatten(
         F.array(
             *[
@@ -128,20 +134,28 @@ def _smallest(ties: DataFrame, key: str, by: Sequence[str]) -> DataFrame:
     )
 
 
+def cut_of_ladder(ladder: DataFrame, score: str, fraction: float, by: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Per group, the score at which the top share ends and how many rows of
+    that score are still `need`ed.  The share is max(1, floor(n * fraction))."""
+    k = F.greatest(F.lit(1), F.floor(F.col("n_all") * F.lit(fraction)))
+    return ladder.filter((F.col("n_before") < k) & (k <= F.col("n_before") + F.col("n"))).select(
+        *by, F.col(score).alias("cut_score"), (k - F.col("n_before")).alias("need"), *keep
+    )
+
+
+def tied_rows(df: DataFrame, cut: DataFrame, score: str, by: Sequence[str]) -> DataFrame:
+    return _attach(df, cut, by).filter(F.col(score) == F.col("cut_score"))
+
+
 def top_k_cutoff(df: DataFrame, score: str, key: str, fraction: float = 0.1, by: Sequence[str] = ()) -> DataFrame:
     """Per group, the score and key of the last row inside the top share.
 
-    The share is max(1, floor(n * fraction)) rows.  Rows tied at the cut-off
-    score are taken in ascending order of `key`, a unique numeric column; only
-    those rows are ranked further.
+    Rows tied at the cut-off score are taken in ascending order of `key`, a
+    unique numeric column; only those rows are ranked further.
     """
-    ranked = running_totals(value_counts(df, score, by=by), score, ["n"], by, descending=True)
-    k = F.greatest(F.lit(1), F.floor(F.col("n_all") * F.lit(fraction)))
-    cut = ranked.filter((F.col("n_before") < k) & (k <= F.col("n_before") + F.col("n"))).select(
-        *by, F.col(score).alias("cut_score"), (k - F.col("n_before")).alias("need")
-    )
-    tied = _attach(df.select(*by, score, key), cut, by).filter(F.col(score) == F.col("cut_score"))
-    keys = _smallest(tied, key, by)
+    ladder = running_totals(value_counts(df, score, by=by), score, ["n"], by, descending=True)
+    cut = cut_of_ladder(ladder, score, fraction, by)
+    keys = _smallest(tied_rows(df.select(*by, score, key), cut, score, by), key, by)
     return _attach(cut, keys, by).drop("need")
 
 

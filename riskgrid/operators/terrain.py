@@ -118,10 +118,15 @@ def mode_code(candidates: DataFrame, cells: DataFrame | None = None, code_col: s
     return best.select("cell_id", F.coalesce("b.code", F.lit(K.UNKNOWN_FUEL)).alias("fuel_type_cd"))
 
 
+MAX_CODES = 1000
+
+
 def one_hot_present(fuel: DataFrame, code_col: str = "fuel_type_cd", prefix: str = "fuel_type_") -> DataFrame:
-    """One 0/1 column per code that occurs; the codes are a short list."""
-    codes = [r[0] for r in fuel.select(code_col).distinct().na.drop().orderBy(code_col).collect()]
-    return fuel.select("cell_id", *[_flag(code_col, c).alias(prefix + c) for c in codes])
+    """One 0/1 column per code that occurs; more than MAX_CODES is an error."""
+    found = fuel.select(code_col).na.drop().distinct().limit(MAX_CODES + 1).collect()
+    if len(found) > MAX_CODES:
+        raise ValueError(f"{code_col} has more than {MAX_CODES} codes")
+    return fuel.select("cell_id", *[_flag(code_col, c).alias(prefix + c) for c in sorted(r[0] for r in found)])
 
 
 def one_hot_fixed(

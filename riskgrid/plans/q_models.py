@@ -99,7 +99,7 @@ for _name in ("first_set", "second_set"):
 
 @query(
     "src_6",
-    f"""SELECT valid_time::timestamp AS valid_time, {POINT}, {r('a.t2m', 't2m')}, {r('coalesce(a.cape, b.cape)', 'cape')}, {r('b.cp', 'cp')}
+    f"""SELECT strftime(valid_time, '%Y-%m-%d %H:%M') AS valid_time, {POINT}, {r('a.t2m', 't2m')}, {r('coalesce(a.cape, b.cape)', 'cape')}, {r('b.cp', 'cp')}
        FROM first_set a FULL JOIN second_set b USING (valid_time, latitude, longitude)""",
     ("first_set", "second_set"),
 )
@@ -107,7 +107,8 @@ def src_6(spark, sf):
     frame = demo.readings(spark, sf)
     first = frame.filter("t2m > 270").groupBy(*rd.READING_KEY).agg(F.max("t2m").alias("t2m"), F.max("cape").alias("cape"))
     second = frame.filter("t2m <= 270 OR t2m > 285").groupBy(*rd.READING_KEY).agg(F.min("cape").alias("cape"), F.max("cp").alias("cp"))
-    return rounded(rd.merge_readings(first, second))
+    merged = rd.merge_readings(first, second)
+    return rounded(merged.withColumn("valid_time", F.date_format("valid_time", "yyyy-MM-dd HH:mm")))
 
 
 @query("src_7", "SELECT cell_id, date, ignited, year(date)::int AS year FROM panel WHERE ignited = 1", ("panel",))

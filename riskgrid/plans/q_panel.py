@@ -328,13 +328,13 @@ def join_7(spark, sf):
 @query(
     "join_8",
     f"""SELECT event_id, cell_id FROM points_in_cells WHERE cell_id IN (SELECT (r + dr) || '_' || (c + dc) FROM
-       (SELECT split_part(cell_id, '_', 1)::int AS r, split_part(cell_id, '_', 2)::int AS c FROM points_in_cells WHERE type = 2), {_NEAR} WHERE dr <> 0 OR dc <> 0)""",
+       (SELECT split_part(cell_id, '_', 1)::int AS r, split_part(cell_id, '_', 2)::int AS c FROM points_in_cells WHERE type = 2 AND latitude > 51), {_NEAR} WHERE dr <> 0 OR dc <> 0)""",
     ("points_in_cells",),
 )
 def join_8(spark, sf):
-    """Points beside a cell that has a static source."""
+    """Points beside a northern cell that has a static source."""
     located = grid.assign_cell_ids(demo.points(spark, sf))
-    near = grid.explode_neighbors(located.filter("type = 2").select("cell_id").distinct())
+    near = grid.explode_neighbors(located.filter("type = 2 AND latitude > 51").select("cell_id").distinct())
     return located.join(near.select(F.col("neighbor_id").alias("cell_id")), "cell_id", "left_semi").select("event_id", "cell_id")
 
 

@@ -678,12 +678,63 @@ def cal_5(spark, sf):
     return rounded(_year_report(spark, sf))
 
 
-@query("cal_6")
+# Each year against all others: cumulative points of the other years, then the
+# interval at every score of the year itself.
+rel.relation(
+    "other_sums",
+    f"""SELECT y, score, sum(n) OVER w AS cn, sum(pos) OVER w AS cp, row_number() OVER w AS i FROM (
+         SELECT y, score, sum(n) AS n, sum(pos) AS pos FROM ladder, (SELECT unnest([{_YEAR_LIST}]) AS y) WHERE year <> y GROUP BY y, score)
+       WINDOW w AS (PARTITION BY y ORDER BY score)""",
+    "ladder",
+)
+rel.relation("other_starts", "SELECT DISTINCT y, -1::double AS upto, 0 AS w, 0 AS s FROM other_sums UNION ALL SELECT y, score, cn, cp FROM other_sums", "other_sums")
+rel.relation(
+    "other_stops",
+    """SELECT y, score AS since, cn AS w2, cp AS w2s FROM other_sums UNION ALL
+       SELECT y, coalesce(lead(score) OVER (PARTITION BY y ORDER BY score), 9) - 1e-9, cn, cp FROM other_sums UNION ALL SELECT y, min(score) - 1e-9, 0, 0 FROM other_sums GROUP BY y""",
+    "other_sums",
+)
+
+
+def _year_added(gain: int) -> str:
+    return f"""SELECT year, score, max(lowest) AS p FROM (
+      SELECT t.year, t.score, a.w, min((b.w2s - a.s + {gain}) / (b.w2 - a.w + 1)) AS lowest
+      FROM ladder t JOIN other_starts a ON a.y = t.year AND a.upto < t.score JOIN other_stops b ON b.y = t.year AND b.since >= t.score
+      GROUP BY t.year, t.score, a.w, a.s) GROUP BY year, score"""
+
+
+@query(
+    "cal_6",
+    f"""SELECT {r('avg(width) FILTER (year IN (1998, 2000))', 'sparse_mean_width')}, {r('avg(width) FILTER (year NOT IN (1998, 2000))', 'other_mean_width')},
+       {r('corr(width, 1 / positives)', 'width_vs_inverse_positives', 4)} FROM (
+       SELECT year, sum((o.p - z.p) * n) / sum(n) AS width, sum(pos) AS positives FROM ladder JOIN ({_year_added(0)}) z USING (year, score) JOIN ({_year_added(1)}) o USING (year, score) GROUP BY year)""",
+    ("ladder", "other_starts", "other_stops"),
+)
 def cal_6(spark, sf):
-    return rounded(cal.interval_check(_year_report(spark, sf), (1998, 2000)))
+    out = cal.interval_check(_year_report(spark, sf), (1998, 2000))
+    return rounded(out.withColumn("width_vs_inverse_positives", F.round("width_vs_inverse_positives", 4)))
+
 
+rel.relation("all_pooled", "SELECT score, sum(n) AS n, sum(pos) AS pos, row_number() OVER (ORDER BY score) AS i FROM ladder GROUP BY score", "ladder")
+rel.relation("all_sums", "SELECT *, sum(n) OVER (ORDER BY i) AS cn, sum(pos) OVER (ORDER BY i) AS cp FROM all_pooled", "all_pooled")
+rel.relation(
+    "all_isotonic",
+    """SELECT score, n, pos, max(lowest) AS g FROM (
+         SELECT k.score, k.n, k.pos, a.i AS ai, min((b.cp - a.cp + a.pos) / (b.cn - a.cn + a.n)) AS lowest
+         FROM all_sums k JOIN all_sums a ON a.i <= k.i JOIN all_sums b ON b.i >= k.i GROUP BY k.score, k.n, k.pos, a.i) GROUP BY score, n, pos""",
+    "all_sums",
+)
 
-@query("cal_7")
+
+@query(
+    "cal_7",
+    f"""SELECT bin, sum(n)::bigint AS count, {r('sum(g * n) / sum(n)', 'mean_predicted')}, {r('sum(pos) / sum(n)', 'observed_rate')} FROM (
+       SELECT i.*, greatest(len(list_filter(q, lambda e: e < i.g)), 1)::int AS bin FROM all_isotonic i, (
+         SELECT list_sort(list_distinct([{', '.join(f'quantile_cont(round(g, 12), {i / 10})' for i in range(11))}])) AS q FROM (SELECT g, unnest(range(n::bigint)) FROM all_isotonic))) GROUP BY bin""".replace(
+        "e < i.g", "e < round(i.g, 12)"
+    ),
+    ("all_isotonic",),
+)
 def cal_7(spark, sf):
     return rounded(cal.pooled_reliability(demo.scores(spark, sf)))
 
