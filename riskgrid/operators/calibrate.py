@@ -14,7 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskgrid.operators.ranking import _attach, add_running_totals, place_in_buckets, quantiles
+from riskgrid.operators.ranking import (
+    BUCKETS,
+    ROWS_PER_BUCKET,
+    _attach,
+    add_running_totals,
+    place_in_buckets,
+    quantiles,
+)
 from riskgrid.session import materialize
 
 
@@ -146,7 +153,7 @@ def _hull_of_bucket(rows: pd.DataFrame, by: list[str]) -> pd.DataFrame:
         if follow[at] == at:
             break
         at = follow[at]
-    out = rows[[*by, "_bucket"]].iloc[keep].copy()
+    out = rows[[*by, "_bucket", "_last"]].iloc[keep].copy()
     out["w"], out["s"] = w[keep], s[keep]
     return out
 
@@ -202,7 +209,13 @@ def _bucket_intervals(rows: pd.DataFrame, hulls: pd.DataFrame, by: list[str], sc
     return out
 
 
-def venn_abers_intervals(counts: DataFrame, by: Sequence[str] = (), score: str = "score", buckets: int = 64) -> DataFrame:
+def venn_abers_intervals(
+    counts: DataFrame,
+    by: Sequence[str] = (),
+    score: str = "score",
+    buckets: int = BUCKETS,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> DataFrame:
     """p0 and p1 for every score to be tested.
 
     `counts` has one row per group and distinct score: `n` and `pos` of the
@@ -212,18 +225,20 @@ def venn_abers_intervals(counts: DataFrame, by: Sequence[str] = (), score: str =
     group = by or ["_all"]
     if not by:
         counts = counts.withColumn("_all", F.lit(0))
-    ranked = add_running_totals(place_in_buckets(counts, score, ["n", "pos"], group, buckets), score, ["n", "pos"], group)
+    placed = place_in_buckets(counts, score, ["n", "pos"], group, buckets, rows_per_bucket)
+    ranked = add_running_totals(placed, score, ["n", "pos"], group)
     types = dict((f.name, f.dataType) for f in ranked.schema.fields)
     keys = [T.StructField(c, types[c]) for c in group]
     hull_schema = T.StructType(
-        keys + [T.StructField("_bucket", types["_bucket"]), T.StructField("w", T.LongType()), T.StructField("s", T.LongType())]
+        keys
+        + [T.StructField(c, T.IntegerType()) for c in ("_bucket", "_last")]
+        + [T.StructField(c, T.LongType()) for c in ("w", "s")]
     )
-    points = ranked.select(*group, "_bucket", "n", "pos", "n_before", "pos_before")
+    points = ranked.select(*group, "_bucket", "_last", "n", "pos", "n_before", "pos_before")
     hulls = points.groupBy(*group, "_bucket").applyInPandas(lambda rows: _hull_of_bucket(rows, group), hull_schema)
     # Each bucket gets the vertices of all others; a hull of m points has far
     # fewer than m vertices, so this stays small.
-    targets = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))
-    spread = hulls.withColumn("_target", targets)
+    spread = hulls.withColumn("_target", F.explode(F.sequence(F.lit(0), "_last"))).filter("_target <> _bucket")
     out_schema = T.StructType(keys + [T.StructField(score, types[score]), T.StructField("p0", T.DoubleType()), T.StructField("p1", T.DoubleType())])
     out = (
         ranked.select(*group, "_bucket", score, "n", "pos", "n_before", "pos_before", "is_test")

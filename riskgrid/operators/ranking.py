@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 128
+ROWS_PER_BUCKET = 10_000
 
 
 def _attach(df: DataFrame, per_group: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -37,21 +38,32 @@ def value_counts(
 
 
 def place_in_buckets(
-    counts: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (), buckets: int = BUCKETS
+    counts: DataFrame,
+    order: str,
+    sums: Sequence[str],
+    by: Sequence[str] = (),
+    buckets: int = BUCKETS,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Add `_bucket` (equal shares of the distinct values of a group, in value
-    order) and the group totals `<s>_all`.
+    order), `_last`, the group's highest bucket, and the totals `<s>_all`.
 
-    The edges are approximate quantiles; they balance the work and do not
-    touch any result.
+    A group has as many buckets as its distinct values call for, at most
+    `buckets`.  The edges are approximate quantiles; they balance the work and
+    do not touch any result.
     """
     numeric = F.unix_date(order) if dict(counts.dtypes)[order] == "date" else F.col(order)
     shares = [i / buckets for i in range(1, buckets)]
     group = counts.groupBy(*by).agg(
-        F.percentile_approx(numeric, shares, 10_000).alias("_edges"), *[F.sum(s).alias(f"{s}_all") for s in sums]
+        F.percentile_approx(numeric, shares, 10_000).alias("_all_edges"),
+        F.ceil(F.count(F.lit(1)) / F.lit(rows_per_bucket)).alias("_wanted"),
+        *[F.sum(s).alias(f"{s}_all") for s in sums],
     )
+    stride = F.ceil(F.lit(buckets) / F.col("_wanted"))
+    edges = F.filter("_all_edges", lambda e, i: (i + 1) % stride == 0)
+    group = group.withColumn("_edges", edges).drop("_all_edges", "_wanted")
     bucket = F.size(F.filter("_edges", lambda e: e < numeric))
-    return _attach(counts, group, by).withColumn("_bucket", bucket).drop("_edges")
+    return _attach(counts, group, by).withColumns({"_bucket": bucket, "_last": F.size("_edges")}).drop("_edges")
 
 
 def add_running_totals(
@@ -83,14 +95,15 @@ def running_totals(
     by: Sequence[str] = (),
     descending: bool = False,
     buckets: int = BUCKETS,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Add `<s>_before`, the total over the values ahead in the order, and
     `<s>_all`, the total of the group, for each of `sums`.
 
     `order` must be numeric or a date and distinct within a group.
     """
-    placed = place_in_buckets(counts, order, sums, by, buckets)
-    return add_running_totals(placed, order, sums, by, descending).drop("_bucket")
+    placed = place_in_buckets(counts, order, sums, by, buckets, rows_per_bucket)
+    return add_running_totals(placed, order, sums, by, descending).drop("_bucket", "_last")
 
 
 def quantiles(
