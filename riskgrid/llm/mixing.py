@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from riskgrid.llm.common import n_words
 from riskgrid.session import materialize
 
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 4_000
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], max_epochs: int) -> DataFrame:

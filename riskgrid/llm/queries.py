@@ -7,8 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgrid.llm import mixing, sharding
+from riskgrid.llm import bpe, mixing, sharding, simhash, tokenfiles
 from riskgrid.llm.common import read_table
+from riskgrid.session import scratch_path
+
+# The vocabulary file: on every machine of the cluster, found by the package that brings it.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +35,13 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op1_simhash")
+def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the smallest doc_id that links of three bits or fewer reach."""
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 MIX_SQL = r"""
 WITH RECURSIVE r AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
              md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
@@ -60,3 +78,29 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query("op9_bpe")
+def bpe_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids by the tokenization automaton and their decoded text, as digests."""
+    coded = bpe.encode_decode(read_table(spark, sf_dir, "documents"), tokenizer_path())
+    line = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(line, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op10_token_files")
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids with the end id, written to a token store and read back."""
+    path = scratch_path(spark, "token-store")
+    tokenfiles.write_store(read_table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=1)
+    return tokenfiles.read_store(spark, path).select(
+        "doc_id",
+        "start",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
