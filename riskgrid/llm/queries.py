@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgrid.llm import bpe, mixing, sharding, simhash, tokenfiles
+from riskgrid.llm import bpe, langid, licenses, mixing, sharding, simhash, tokenfiles
 from riskgrid.llm.common import read_table
 from riskgrid.session import scratch_path
 
@@ -71,6 +71,31 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op3_licenses")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's places of the base phrases, and the labels of all rules that hold."""
+    found = licenses.scan(read_table(spark, sf_dir, "documents"))
+    starts, own, ruled = F.col("base.start"), F.col("base.label"), F.col("detections.label")
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    sure = F.greatest(F.coalesce(F.array_max("detections.sure"), F.lit(0.0)), F.when(F.size("base") > 0, 0.5).otherwise(0.0))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
+        joined(own).alias("base_labels"),
+        joined(F.concat(own, ruled)).alias("labels"),
+        sure.alias("score"),
+    )
+
+
+@query("op5_language")
+def language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language by a model of the documents that are not held out."""
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
 @query("op8_shards")
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of 24 with near equal bytes, and its slot there."""
