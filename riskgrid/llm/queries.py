@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgrid.llm import bpe, langid, licenses, mixing, sharding, simhash, tokenfiles
+from riskgrid.llm import bpe, editprint, langid, licenses, mixing, sharding, simhash, tokenfiles
 from riskgrid.llm.common import read_table
 from riskgrid.session import scratch_path
 
@@ -96,6 +96,12 @@ def language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
+@query("op6_edit_fingerprints")
+def edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, its edited text's, and how like it is to that and to the next document."""
+    return editprint.edit_study(read_table(spark, sf_dir, "documents"))
+
+
 @query("op8_shards")
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of 24 with near equal bytes, and its slot there."""

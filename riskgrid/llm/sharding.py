@@ -22,6 +22,11 @@ def _rank(splitters: Column, key: Column, steps: int) -> Column:
     )
 
 
+def rank_among(cuts: list[int], key: Column) -> Column:
+    """How many of the sorted `cuts` are not above `key`."""
+    return _rank(F.array(*[F.lit(c).cast("long") for c in cuts]), key, len(cuts).bit_length()) if cuts else F.lit(0)
+
+
 def _quantiles(samples: Column, n: Column) -> Column:
     """n - 1 distinct keys that cut the sorted samples into n like parts."""
     picks = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.get(samples, F.floor(i * F.size(samples) / n).cast("int")))
