@@ -131,3 +131,22 @@ def mix_sizes(rows: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: i
     return taken.select(
         "doc_id", "q.source", "size", "source_size", "target", epochs.alias("epochs"), (epochs * F.col("size")).cast("long").alias("taken")
     )
+
+
+def draw(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix") -> DataFrame:
+    """The mix itself: each row of `docs` as often as `mix` takes it, all columns kept; rows not taken are left out.
+
+    Rows that agree in doc_id, source and size are told apart by their text, equal ones by any order.
+    """
+    sized = docs.withColumn("_size", n_words(F.col("text")))
+    rows = materialize(sized.select("doc_id", "source", F.col("_size").alias("size")), "draw-sizes")
+    taken = mix_sizes(rows, weights, max_epochs, seed).groupBy("doc_id", "source", "size")
+    taken = materialize(taken.agg(F.sort_array(F.collect_list("epochs"), asc=False).alias("_epochs")).where("_epochs[0] > 0"), "draw-taken")
+    nth = F.lit(0)
+    if taken.where(F.size("_epochs") > 1).limit(1).count():
+        nth = F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("text")) - 1
+    numbered = sized.withColumn("_nth", nth).alias("d")
+    same = [F.col(f"d.{a}").eqNullSafe(F.col(f"t.{b}")) for a, b in (("doc_id", "doc_id"), ("source", "source"), ("_size", "size"))]
+    found = numbered.join(taken.alias("t"), same).withColumn("_times", F.get("_epochs", F.col("_nth"))).where("_times > 0")
+    found = found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return found.select(*[F.col(f"d.`{c}`") for c in docs.columns])

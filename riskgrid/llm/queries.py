@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgrid.llm import bpe, editprint, langid, licenses, mixing, sharding, simhash, tokenfiles
+from riskgrid.llm import bpe, editprint, langid, licenses, mixing, quality, search, sharding, simhash, tokenfiles
 from riskgrid.llm.common import read_table
 from riskgrid.session import scratch_path
 
@@ -135,3 +135,17 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.crc32("ids").alias("ids_crc32"),
     )
+
+
+@query("op4_quality")
+def document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by two co-trained views, learned from the labelled ones."""
+    return quality.assess(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op7_topk_search")
+def topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each document whose id is divisible by 100, taken as a query, against all."""
+    docs = read_table(spark, sf_dir, "documents")
+    queries = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return search.top_k(docs, queries, k=10)
