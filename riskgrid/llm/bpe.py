@@ -15,7 +15,7 @@ for each prefix there is one, so a left-to-right pass finds it without search. D
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
 from unicodedata import normalize
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 START = 0  # the state before the first token
-KEPT_RUNS, KEPT_WORDS = 60_000, 120_000  # twice as many encodings are kept by a worker at most
+KEPT_RUNS, KEPT_WORDS = 200_000, 150_000  # twice as many encodings are kept by a worker at most
 LONG_WORD = 64  # bytes; longer words are not kept
 KEPT_ARCS = 400_000  # arcs that a worker keeps worked out
 
@@ -128,27 +128,26 @@ class Automaton:
         return found
 
 
-class Kept:
-    """Encodings a worker has at hand: two generations, so that frequent ones stay and the number is bounded."""
+class Kept(dict):
+    """Encodings a worker has at hand, made when first asked for. Two generations: frequent ones stay, and there are at
+    most twice `most`. A long key is not kept."""
 
-    def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
+    def __init__(self, make: Callable, most: int):
+        self.make, self.most, self.old = make, most, {}
 
-    def get(self, key):
-        found = self.new.get(key)
+    def __missing__(self, key):
+        found = self.old.get(key)
         if found is None:
-            found = self.old.get(key)
-            if found is not None:
-                self.put(key, found)
-        return found
-
-    def put(self, key, found):
+            found = self.make(key)
         if len(key) <= LONG_WORD:
-            if len(self.new) >= self.most:
-                self.old, self.new = self.new, {}
-            self.new[key] = found
+            self[key] = found
         return found
 
+    def turn(self) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+
 
 class Tokenizer:
     """Word-level BPE as a tokenizer file describes it: composed, lower-cased, white space dropped."""
@@ -166,53 +165,40 @@ class Tokenizer:
         self.letters = byte_letters()
         self.letter_of = [self.letters[b] for b in range(256)]
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.kept, self.kept_words = Kept(KEPT_RUNS), Kept(KEPT_WORDS)
+        self.runs, self.forms = Kept(self._run, KEPT_RUNS), Kept(self._word, KEPT_WORDS)
 
     @cached_property
     def labels(self) -> list[str]:
         found = {i: t for t, i in self.automaton.vocab.items()} | {i: t for t, i in self.special.items()}
         return [found.get(i, "") for i in range(max(found) + 1)]
 
-    def chunk(self, raw: bytes) -> tuple[int, ...]:
-        """Tokens of a run without ASCII white space. No word crosses white space, so runs are encoded one by one."""
-        found = self.kept.get(raw)
-        if found is not None:
-            return found
-        text, ids = raw.decode("utf-8"), []
+    def _run(self, raw: bytes) -> bytes:
+        """Ids, four bytes each, of a run without ASCII white space. No word crosses white space, so runs are encoded
+        one by one."""
+        text, found = raw.decode("utf-8"), []
         for part in self.cut.split(text) if self.cut and "<|" in text else [text]:
             if part in self.special:
-                ids.append(self.special[part])
+                found.append(np.array([self.special[part]], "<i4").tobytes())
                 continue
             # Letter by letter, so a final sigma is no special case.
             part = part.lower() if part.isascii() else normalize("NFC", part).replace("Σ", "σ").lower()
-            for word in self.words.findall(part):
-                letters = word if word.isascii() and word.isprintable() else "".join([self.letter_of[b] for b in word.encode("utf-8")])
-                ids += self.word(letters)
-        found = tuple(ids)
-        return self.kept.put(raw, found)
+            found += map(self.forms.__getitem__, self.words.findall(part))
+        return b"".join(found)
 
-    def word(self, letters: str) -> tuple[int, ...]:
-        found = self.kept_words.get(letters)
-        return self.kept_words.put(letters, tuple(self.automaton.encode(letters))) if found is None else found
+    def _word(self, word: str) -> bytes:
+        letters = word if word.isascii() and word.isprintable() else "".join([self.letter_of[b] for b in word.encode("utf-8")])
+        return np.array(self.automaton.encode(letters), "<i4").tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.int32)
-        ids: list[int] = []
-        chunk, kept = self.chunk, self.kept
-        new = kept.new
-        for raw in text.encode("utf-8").split():
-            found = new.get(raw)
-            if found is None:
-                found = chunk(raw)
-                new = kept.new
-            ids += found
-        return np.array(ids, np.int32)
+        """Ids of a whole text."""
+        ids = b"".join(map(self.runs.__getitem__, text.encode("utf-8").split())) if text else b""
+        self.runs.turn()
+        self.forms.turn()
+        return np.frombuffer(ids, "<i4")
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the path, one space between two; special tokens are given out like the others."""
-        labels = self.labels
-        return " ".join([labels[i] for i in ids])
+        return " ".join(map(self.labels.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
@@ -221,8 +207,18 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
+def _coded(batch: pa.RecordBatch, at: int, path: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], pa.ListArray]]:
+    """Parts of a batch with the ids of their texts, which are in column `at`."""
+    tool = tokenizer(path)
+    for first in range(0, batch.num_rows, 250):
+        part = batch.slice(first, 250)
+        coded = [tool.encode(t.as_py()) for t in part.column(at)]
+        offsets = np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int32)
+        yield part, coded, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(coded).astype(np.int32)))
+
+
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (array of int) and decoded (string) of each row of (doc_id, text).
+    """doc_id, source, n_tokens, ids (array of int) and decoded (string) of each row of (doc_id, source, text).
 
     The whole text is encoded as the tokenizer file at `path` says, without added special tokens; `decoded` is made
     from `ids` alone. Null and empty texts have no ids and decode to the empty string; rows that repeat are encoded
@@ -232,14 +228,19 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = tokenizer(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                coded = [tool.encode(t.as_py()) for t in part.column(1)]
-                offsets = np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int32)
-                values = np.concatenate([*coded, np.empty(0, np.int32)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-                decoded = [tool.decode(c.tolist()) for c in coded]
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
-
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+            for first in range(0, batch.num_rows, 250):
+                part = batch.slice(first, 250)
+                coded = [tool.encode(t.as_py()) for t in part.column(2)]
+                sizes = [len(c) for c in coded]
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(coded).astype(np.int32)))
+                decoded = pa.array([tool.decode(c.tolist()) for c in coded], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), ids, decoded], NAMES)
+
+    source = F.col("source") if "source" in docs.columns else F.lit(None)
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    return narrow.mapInArrow(run, SCHEMA)
+
+
+SCHEMA = "doc_id long, source string, n_tokens long, ids array<int>, decoded string"
+NAMES = [c.split()[0] for c in SCHEMA.split(", ")]

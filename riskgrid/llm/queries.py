@@ -118,7 +118,7 @@ def bpe_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.array_join(F.col("ids").cast("array<string>"), " ")
     return coded.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
+        "n_tokens",
         F.sha2(line, 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
