@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskgrid.operators.ranking import (
-    BUCKETS,
     ROWS_PER_BUCKET,
     _attach,
     add_running_totals,
@@ -37,8 +36,9 @@ def reliability_table(
 
     Bins are closed on the right, the lowest also on the left; equal edges
     merge.  `bin` counts from 1.  With `weight`, a row stands for that many
-    rows of which `label` are positive.
+    rows of which `label` are positive.  Rows without a score count nowhere.
     """
+    df = df.filter(F.col(score).isNotNull())
     probs = [i / n_bins for i in range(n_bins + 1)]
     edges = quantiles(df, score, probs, by, weight).withColumn("q", F.array_distinct("q"))
     below = F.size(F.filter("q", lambda e: e < F.col(score)))
@@ -56,7 +56,9 @@ def reliability_table(
 
 
 def split_report(df: DataFrame, label: str = "label", score: str = "score", by: str = "split", n_bins: int = 10) -> DataFrame:
-    """Reliability table per split, with its Brier score, floor and positive rate."""
+    """Reliability table per split, with its Brier score, floor and positive
+    rate, all over the rows that have a score."""
+    df = df.filter(F.col(score).isNotNull())
     rate = F.avg(label)
     totals = df.groupBy(by).agg(
         F.avg(F.pow(F.col(score) - F.col(label), F.lit(2.0))).alias("brier"),
@@ -68,8 +70,9 @@ def split_report(df: DataFrame, label: str = "label", score: str = "score", by:
 
 def score_counts(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
     """Rows `n` and positives `pos` per distinct score.  Calibrators are fitted
-    on these: the fit is the same and a hot score is one row."""
-    return df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("pos"))
+    on these: the fit is the same and a hot score is one row.  Rows without a
+    score are left out."""
+    return df.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("pos"))
 
 
 # --- isotonic -------------------------------------------------------------
@@ -213,11 +216,14 @@ def venn_abers_intervals(
     counts: DataFrame,
     by: Sequence[str] = (),
     score: str = "score",
-    buckets: int = BUCKETS,
+    buckets: int = 512,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """p0 and p1 for every score to be tested.
 
+    Every bucket meets the hulls of all others, so there are fewer and, beyond
+    five million distinct scores, larger buckets here than elsewhere.
+
     `counts` has one row per group and distinct score: `n` and `pos` of the
     calibration set (0 where it lacks the score) and `is_test`.
     """

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskgrid.operators.ranking import cut_of_ladder, running_totals, tied_rows, value_counts
+from riskgrid.operators.ranking import _attach, cut_of_ladder, running_totals, tied_rows, value_counts
 
 
 def score_ladder(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
@@ -73,7 +73,9 @@ def brier(
     """Brier score, the floor a constant base rate reaches, and their ratio.
 
     With `weight`, a row stands for that many rows of which `label` are positive.
+    Rows without a score count in neither.
     """
+    df = df.filter(F.col(score).isNotNull())
     s, y = F.col(score), F.col(label)
     if weight is None:
         rate, loss = F.avg(y), F.avg((s - y) * (s - y))
@@ -100,4 +102,4 @@ def score_card(
     ladder = score_ladder(df, label, score, by)
     ranks = ladder.groupBy(*by).agg(_precision_steps().alias("pr_auc"), _pairs_won().alias("roc_auc"))
     capture = _capture(df, ladder, label, score, key, fraction, by).withColumnRenamed("capture", "top_10pct_capture")
-    return ranks.join(capture, list(by)) if by else ranks.join(F.broadcast(capture))
+    return _attach(ranks, capture, by, "inner")

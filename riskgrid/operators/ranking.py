@@ -11,20 +11,32 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 128
+BUCKETS = 10_000
 ROWS_PER_BUCKET = 10_000
 
 
-def _attach(df: DataFrame, per_group: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Put the one row of each group on all its rows.
+def _attach(df: DataFrame, per_group: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:
+    """Put the one row of each group on all its rows; a NULL group is a group.
 
-    Groups are folds, years or splits: a handful of rows that do not grow with
-    the data, which is what allows the broadcast.
+    Rows of a group without that row keep NULLs, unless `how` is "inner".
+    Without groups there is one row at most, which is broadcast; with groups
+    the size measured at run time decides.
     """
-    return df.join(F.broadcast(per_group), list(by)) if by else df.join(F.broadcast(per_group))
+    if not by:
+        return df.join(F.broadcast(per_group), F.lit(True), how)
+    renamed = per_group.withColumnsRenamed({b: f"_group_{b}" for b in by})
+    same = [F.col(f"`{b}`").eqNullSafe(F.col(f"`_group_{b}`")) for b in by]
+    return df.join(renamed, same, how).drop(*[f"_group_{b}" for b in by])
+
+
+def _edges_below(edges: Column, value: Column, most: int) -> Column:
+    """How many of the sorted edges are below the value, by halving steps."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(edges, at + step - 1) < value, at + step).otherwise(at))
+    return F.when(F.size(edges) == 0, F.lit(0)).otherwise(found)
 
 
 def value_counts(
@@ -48,21 +60,24 @@ def place_in_buckets(
     """Add `_bucket` (equal shares of the distinct values of a group, in value
     order), `_last`, the group's highest bucket, and the totals `<s>_all`.
 
-    A group has as many buckets as its distinct values call for, at most
-    `buckets`.  The edges are approximate quantiles; they balance the work and
-    do not touch any result.
+    A group has as many buckets as its distinct values call for, up to
+    `buckets`: 100 million values before a bucket grows beyond its size.  The
+    edges are approximate quantiles; they balance the work and do not touch any
+    result.
     """
-    numeric = F.unix_date(order) if dict(counts.dtypes)[order] == "date" else F.col(order)
-    shares = [i / buckets for i in range(1, buckets)]
+    is_date = dict(counts.dtypes)[order] == "date"
+    numeric = F.unix_date(order) if is_date else F.col(order)
+    shares = ", ".join(f"{i / buckets}D" for i in range(1, buckets))  # one parsed constant
+    edges = F.expr(f"percentile_approx({'unix_date' if is_date else ''}(`{order}`), array({shares}), {10 * max(buckets, 1000)})")
     group = counts.groupBy(*by).agg(
-        F.percentile_approx(numeric, shares, 10_000).alias("_all_edges"),
+        edges.alias("_all_edges"),
         F.ceil(F.count(F.lit(1)) / F.lit(rows_per_bucket)).alias("_wanted"),
         *[F.sum(s).alias(f"{s}_all") for s in sums],
     )
     stride = F.ceil(F.lit(buckets) / F.col("_wanted"))
     edges = F.filter("_all_edges", lambda e, i: (i + 1) % stride == 0)
     group = group.withColumn("_edges", edges).drop("_all_edges", "_wanted")
-    bucket = F.size(F.filter("_edges", lambda e: e < numeric))
+    bucket = _edges_below(F.col("_edges"), numeric, buckets)
     return _attach(counts, group, by).withColumns({"_bucket": bucket, "_last": F.size("_edges")}).drop("_edges")
 
 
@@ -82,7 +97,7 @@ def add_running_totals(
         Window.partitionBy(*by, "_bucket").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        placed.join(F.broadcast(offsets), [*by, "_bucket"])  # at most BUCKETS rows per group
+        _attach(placed, offsets, [*by, "_bucket"])
         .withColumns({f"{s}_before": F.col(f"_{s}") + F.coalesce(F.sum(s).over(inside), F.lit(0)) for s in sums})
         .drop(*[f"_{s}" for s in sums])
     )
@@ -157,7 +172,7 @@ def cut_of_ladder(ladder: DataFrame, score: str, fraction: float, by: Sequence[s
 
 
 def tied_rows(df: DataFrame, cut: DataFrame, score: str, by: Sequence[str]) -> DataFrame:
-    return _attach(df, cut, by).filter(F.col(score) == F.col("cut_score"))
+    return _attach(df, cut, by, "inner").filter(F.col(score) == F.col("cut_score"))
 
 
 def top_k_cutoff(df: DataFrame, score: str, key: str, fraction: float = 0.1, by: Sequence[str] = ()) -> DataFrame:
@@ -169,13 +184,17 @@ def top_k_cutoff(df: DataFrame, score: str, key: str, fraction: float = 0.1, by:
     ladder = running_totals(value_counts(df, score, by=by), score, ["n"], by, descending=True)
     cut = cut_of_ladder(ladder, score, fraction, by)
     keys = _smallest(tied_rows(df.select(*by, score, key), cut, score, by), key, by)
-    return _attach(cut, keys, by).drop("need")
+    return _attach(cut, keys, by, "inner").drop("need")
 
 
 def top_k_flag(
     df: DataFrame, score: str = "score", key: str = "row_key", fraction: float = 0.1, by: Sequence[str] = (), out: str = "in_top"
 ) -> DataFrame:
-    """Add a boolean: is the row among its group's highest-scored share?"""
+    """Add a boolean: is the row among its group's highest-scored share?
+
+    Every row comes back: one without a score, or of a group without any, is
+    not in the share.
+    """
     cut = top_k_cutoff(df, score, key, fraction, by)
     inside = (F.col(score) > F.col("cut_score")) | (
         (F.col(score) == F.col("cut_score")) & (F.col(key) <= F.col("cut_key"))

@@ -118,14 +118,16 @@ def mode_code(candidates: DataFrame, cells: DataFrame | None = None, code_col: s
     return best.select("cell_id", F.coalesce("b.code", F.lit(K.UNKNOWN_FUEL)).alias("fuel_type_cd"))
 
 
-MAX_CODES = 1000
+def one_hot_long(fuel: DataFrame, code_col: str = "fuel_type_cd") -> DataFrame:
+    """(cell_id, code, 1.0) for each known code; the form to use where codes are
+    many, as it needs no column for each."""
+    return fuel.filter(F.col(code_col).isNotNull()).select("cell_id", F.col(code_col).alias("code"), F.lit(1.0).alias("present"))
 
 
 def one_hot_present(fuel: DataFrame, code_col: str = "fuel_type_cd", prefix: str = "fuel_type_") -> DataFrame:
-    """One 0/1 column per code that occurs; more than MAX_CODES is an error."""
-    found = fuel.select(code_col).na.drop().distinct().limit(MAX_CODES + 1).collect()
-    if len(found) > MAX_CODES:
-        raise ValueError(f"{code_col} has more than {MAX_CODES} codes")
+    """One 0/1 column per code that occurs.  The codes become the schema, so
+    their names, and nothing else, are gathered."""
+    found = fuel.select(code_col).na.drop().distinct().collect()
     return fuel.select("cell_id", *[_flag(code_col, c).alias(prefix + c) for c in sorted(r[0] for r in found)])
 
 

@@ -17,9 +17,10 @@ from riskgrid.functions.weather_math import season_filter
 from riskgrid.learn.bundle import Bundle
 from riskgrid.operators import explain as xai
 from riskgrid.operators import features as ft
-from riskgrid.operators.grid import assign_cell_ids
+from riskgrid.operators.grid import assign_cell_ids, explode_neighbors
 from riskgrid.operators.labels import distinct_ignitions
 from riskgrid.operators.terrain import lookup_codes, one_hot_fixed
+from riskgrid.session import materialize
 
 LIVE_WEATHER = ("t2m", "relative_humidity", "precip_mm", "swvl1", "wind_speed")
 LIVE_DERIVED = ("days_since_rain", "precip_7d", "precip_30d", "t2m_mean_7d", "t2m_trend_7d", "rh_mean_7d")
@@ -53,13 +54,21 @@ def live_neighbor_counts(
 ) -> DataFrame:
     """Neighbour fire days strictly before each asked (cell, date), 0 if none.
 
-    The training operator grows the counts outward from the detections; a
-    detection day counts once, however many detections it has.
+    Grown from what is asked: each pair looks at its eight neighbours on each
+    day of the longest window, so detections elsewhere or on other days are
+    never multiplied.  A detection day counts once, however many detections it
+    has.
     """
-    located = assign_cell_ids(detections) if "cell_id" not in detections.columns else detections
-    counts = ft.neighbor_counts(distinct_ignitions(located), tuple(windows))
-    names = [f"neighbor_fire_count_{n}d" for n in windows]
-    return asked.join(counts, ["cell_id", "date"], "left").withColumns({n: F.coalesce(n, F.lit(0.0)) for n in names})
+    found = assign_cell_ids(detections) if "cell_id" not in detections.columns else detections
+    fires = distinct_ignitions(found).select(F.col("cell_id").alias("neighbor_id"), F.col("date").alias("day"))
+    pairs = asked.select("cell_id", "date").distinct()
+    days = F.explode(F.sequence(F.date_sub("date", max(windows)), F.date_sub("date", 1)))
+    looked = explode_neighbors(pairs).withColumn("day", days).join(fires, ["neighbor_id", "day"])
+    names = {n: f"neighbor_fire_count_{n}d" for n in windows}
+    counts = looked.groupBy("cell_id", "date").agg(
+        *[F.sum(F.when(F.datediff("date", "day") <= n, 1.0).otherwise(0.0)).alias(name) for n, name in names.items()]
+    )
+    return asked.join(counts, ["cell_id", "date"], "left").withColumns({n: F.coalesce(n, F.lit(0.0)) for n in names.values()})
 
 
 def live_feature_rows(asked: DataFrame, feed: DataFrame, lookback_days: int = K.LIVE_LOOKBACK_DAYS) -> DataFrame:
@@ -128,23 +137,13 @@ def score_requests(answered: DataFrame, bundle: Bundle, window_days: int | None
     With `window_days` the bundle answers for the next days; it has no
     calibrated value then.
     """
-    ready = answered.filter((F.col("status") == "ok") & _all_present(bundle.feature_columns))
-    scored = bundle.score(ready.select("request_id", *[F.col(f"`{c}`") for c in bundle.feature_columns])).select(
-        "request_id", "score", "calibrated"
-    )
-    out = (
-        answered.join(scored, "request_id", "left")
-        .select(
-            "request_id",
-            "cell_id",
-            "date",
-            "latitude",
-            "longitude",
-            "status",
-            F.col("score").alias("ignition_probability"),
-            F.col("calibrated").alias("calibrated_probability"),
-        )
-    )
+    answered = materialize(answered, "answered")
+    ready = F.coalesce((F.col("status") == "ok") & _all_present(bundle.feature_columns), F.lit(False))
+    scored = bundle.score(answered.filter(ready))
+    rest = answered.filter(~ready).withColumns({c: F.lit(None).cast("double") for c in ("score", "calibrated")})
+    kept = ["request_id", "cell_id", "date", "latitude", "longitude", "status"]
+    named = [F.col("score").alias("ignition_probability"), F.col("calibrated").alias("calibrated_probability")]
+    out = scored.select(*kept, *named).unionByName(rest.select(*kept, *named))
     if window_days is not None:
         out = out.drop("calibrated_probability").withColumn("window_days", F.lit(window_days))
     return out
@@ -168,14 +167,16 @@ def risk_map(dates: DataFrame, dataset: DataFrame, cells: DataFrame, bundle: Bun
     """
     asked = dates.select("date").distinct()
     in_season = season_filter(F.col("date"))
-    scored = bundle.score(dataset.join(asked.filter(in_season), "date", "left_semi"))
-    rows = scored.select(
+    # The asked dates are calendar days: a century has 36,525.
+    shown = dataset.join(F.broadcast(asked.filter(in_season)), "date", "left_semi")
+    rows = bundle.score(shown).select(
         "date",
         "cell_id",
         F.col("score").alias("risk_probability"),
         F.col("calibrated").alias("calibrated_risk_probability"),
         F.col(label).alias("actual_ignited"),
-    ).join(cells.select("cell_id", "latitude", "longitude"), "cell_id", "left")
-    return asked.join(rows, "date", "left").withColumn(
-        "status", F.when(~in_season, "off_season").when(F.col("cell_id").isNull(), "no_data").otherwise("ok")
     )
+    rows = rows.join(cells.select("cell_id", "latitude", "longitude"), "cell_id", "left").withColumn("status", F.lit("ok"))
+    bare = asked.join(shown.select("date").distinct(), "date", "left_anti")
+    bare = bare.withColumn("status", F.when(in_season, "no_data").otherwise("off_season"))
+    return rows.unionByName(bare, allowMissingColumns=True)

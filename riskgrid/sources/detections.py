@@ -48,11 +48,17 @@ def read_detections(
 
 
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at `path`, or None where nothing has been written yet."""
+    """The table at `path`, or None where nothing has been written yet.
+
+    Only a path that does not exist counts as that; an empty folder, files that
+    can not be read or a refused path stay errors.
+    """
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as exc:
+        if exc.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def append_new(spark: SparkSession, source: DataFrame, target: str, start: str, end: str) -> DataFrame:
@@ -64,7 +70,8 @@ def append_new(spark: SparkSession, source: DataFrame, target: str, start: str,
     resume = F.lit(start).cast("date")
     stored = read_or_none(spark, target)
     if stored is not None:
-        last = stored.agg(F.max("acq_date")).first()[0]
+        newest = stored.agg(F.max("year")).first()[0]  # a partition column: no data is read
+        last = stored.filter(F.col("year") == newest).agg(F.max("acq_date")).first()[0] if newest is not None else None
         if last is not None:
             resume = F.greatest(resume, F.lit(last + dt.timedelta(days=1)))
     fresh = source.filter((F.col("acq_date") >= resume) & (F.col("acq_date") <= F.lit(end).cast("date")))
