@@ -30,16 +30,25 @@ def _positions(df: DataFrame, order: str, out: str) -> DataFrame:
     return df.join(before, order).withColumn(out, F.col("_b") + ties).drop("_b")
 
 
-def shuffle_column(df: DataFrame, column: str, key: str = "row_key", seed: int = 0) -> DataFrame:
-    """`df` with one column permuted over all rows, the same on every run.
+def _partners(numbered: DataFrame, key: str, seed: int) -> DataFrame:
+    """(key, partner): a permutation of all keys, the same on every run.
 
-    Rows are numbered twice, by key and by a hash of the key, and the two
-    numberings are joined.
+    `numbered` has the keys and their places in key order; a second numbering,
+    by a hash of the key, is joined to it.
     """
-    drawn = df.select(F.col(key).alias("_key"), F.col(f"`{column}`").alias("_value"), F.xxhash64(F.col(key), F.lit(seed)).alias("_h"))
-    given = _positions(drawn, "_h", "_at").select("_at", "_value")
-    own = _positions(df.select(F.col(key), F.col(key).alias("_key")), key, "_at").select(key, "_at")
-    permuted = own.join(given, "_at").select(key, F.col("_value").alias(column))
+    drawn = numbered.select(F.col(key).alias("_key"), F.xxhash64(F.col(key), F.lit(seed)).alias("_h"))
+    given = _positions(drawn, "_h", "_at").select("_at", F.col("_key").alias("partner"))
+    return numbered.join(given, "_at").select(key, "partner")
+
+
+def _numbered(df: DataFrame, key: str) -> DataFrame:
+    return _positions(df.select(key, F.col(key).alias("_key")), key, "_at").select(key, "_at")
+
+
+def shuffle_column(df: DataFrame, column: str, key: str = "row_key", seed: int = 0) -> DataFrame:
+    """`df` with one column permuted over all rows, the same on every run."""
+    given = df.select(F.col(key).alias("partner"), F.col(f"`{column}`").alias("_value"))
+    permuted = _partners(_numbered(df, key), key, seed).join(given, "partner").select(key, F.col("_value").alias(column))
     return df.drop(column).join(permuted, key).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
@@ -54,26 +63,32 @@ def permutation_importance(
 ) -> DataFrame:
     """Loss of average precision when one column is permuted.
 
-    All repeats of a column are scored together, one group each, so there is
-    one evaluation per column.
+    Keys are ranked once, their hashes once per repeat; a repeat pairs each row
+    with its partner's inputs, and every column is then permuted by taking it
+    from the partner.  All columns and repeats are judged together.
     """
     spark = df.sparkSession
-    rows = materialize(df.select(key, label, *[F.col(f"`{c}`") for c in model.stages[0].getInputCols()]), "permuted-rows")
+    inputs = list(model.stages[0].getInputCols())
+    rows = materialize(df.select(key, label, *[F.col(f"`{c}`") for c in inputs]), "permuted-rows")
 
     def precision(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         return average_precision(scored, label, "score", by)
 
     whole = precision(materialize(predict(model, rows).select(label, "score"), "scored")).first()["pr_auc"]
-    out = []
+    numbered = materialize(_numbered(rows, key), "permuted-places")
+    taken = rows.select(F.col(key).alias("partner"), *[F.col(f"`{c}`").alias(f"_p{i}") for i, c in enumerate(inputs) if c in features])
+    paired = None
+    for repeat in range(repeats):
+        part = rows.join(_partners(numbered, key, seed + repeat), key).join(taken, "partner").withColumn("repeat", F.lit(repeat))
+        paired = part if paired is None else paired.unionByName(part)
+    paired = materialize(paired, "permuted-pairs")
+    scored = None
     for column in features:
-        parts = None
-        for repeat in range(repeats):
-            part = predict(model, shuffle_column(rows, column, key, seed + repeat))
-            part = part.select(F.lit(repeat).alias("repeat"), label, "score")
-            parts = part if parts is None else parts.unionByName(part)
-        parts = materialize(parts, "permuted-scores")
-        drops = [whole - found["pr_auc"] for found in precision(parts, ["repeat"]).collect()]
-        mean = sum(drops) / len(drops)
-        spread = (sum((d - mean) ** 2 for d in drops) / len(drops)) ** 0.5
-        out.append((column, float(mean), float(spread)))
-    return spark.createDataFrame(sorted(out, key=lambda row: -row[1]), "feature string, importance_mean double, importance_std double")
+        moved = [F.col(f"_p{i}" if c == column else f"`{c}`").alias(c) for i, c in enumerate(inputs)]
+        part = predict(model, paired.select("repeat", label, *moved)).select(F.lit(column).alias("feature"), "repeat", label, "score")
+        scored = part if scored is None else scored.unionByName(part)
+    drop = F.lit(whole) - F.col("pr_auc")
+    found = precision(materialize(scored, "permuted-scores"), ["feature", "repeat"]).groupBy("feature").agg(
+        F.avg(drop).alias("importance_mean"), F.stddev_pop(drop).alias("importance_std")
+    )
+    return spark.createDataFrame(found.orderBy(F.desc("importance_mean")).collect(), "feature string, importance_mean double, importance_std double")

@@ -51,7 +51,7 @@ class PriorModel:
     seed: int = 0
 
     def predict(self, df: DataFrame, key: str = "row_key", out: str = "score") -> DataFrame:
-        draw = F.pmod(F.xxhash64(F.col(key), F.lit(self.seed)), F.lit(1 << 32)) / float(1 << 32)
+        draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(self.seed)), key)), 1, 8), 16, 10).cast("long") / float(1 << 32)
         return df.withColumn(out, (draw < self.prior).cast("double"))
 
 
@@ -84,6 +84,7 @@ def fit_forest(
     max_features: float | str = "sqrt",
     min_samples_leaf: int = 1,
     seed: int = 0,
+    bootstrap: bool = True,
 ) -> PipelineModel:
     """Forest with balanced class weights.
 
@@ -98,6 +99,7 @@ def fit_forest(
         minInstancesPerNode=min_samples_leaf,
         maxBins=MAX_BINS,
         maxMemoryInMB=1024,
+        bootstrap=bootstrap,
         seed=seed,
     )
     return Pipeline(stages=[_assembler(features), forest]).fit(_weighted(train, features, label))

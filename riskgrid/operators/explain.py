@@ -10,6 +10,7 @@ attribution, in units of probability.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from math import factorial
 
@@ -25,10 +26,9 @@ from riskgrid.operators.ranking import seeded_sample
 from riskgrid.session import scratch_path
 
 TOLERANCE = 1e-4
-MAX_BACKGROUND = 10_000
 
 
-def leaf_table(spark: SparkSession, model: PipelineModel) -> DataFrame:
+def leaf_table(spark: SparkSession, model: PipelineModel) -> pd.DataFrame:
     """(tree, leaf, feature, lo, hi, value): one row per leaf and path feature,
     repeated splits on a feature merged into one interval (lo, hi].
 
@@ -55,19 +55,17 @@ def leaf_table(spark: SparkSession, model: PipelineModel) -> DataFrame:
             lo, hi = bounds.get(feature, (-np.inf, np.inf))
             pending.append((node.leftChild, {**bounds, feature: (lo, min(hi, cut))}))
             pending.append((node.rightChild, {**bounds, feature: (max(lo, cut), hi)}))
-    return spark.createDataFrame(rows, "tree int, leaf int, feature int, lo double, hi double, value double")
+    return pd.DataFrame(rows, columns=["tree", "leaf", "feature", "lo", "hi", "value"])
 
 
 class _Leaf:
-    """One leaf's intervals and the patterns its background rows make."""
+    """One leaf's intervals, and the patterns that background rows make there."""
 
-    def __init__(self, rows: pd.DataFrame, background: np.ndarray):
+    def __init__(self, rows: pd.DataFrame):
         self.features = rows["feature"].to_numpy()
         self.lo, self.hi = rows["lo"].to_numpy(), rows["hi"].to_numpy()
         self.value = rows["value"].iloc[0]
         self.bits = 1 << np.arange(len(rows))
-        self.patterns, counts = np.unique(self.pattern(background), return_counts=True)
-        self.share = counts / len(background)
 
     def pattern(self, x: np.ndarray) -> np.ndarray:
         part = x[:, self.features]
@@ -95,28 +93,54 @@ def _weight_tables(depth: int) -> tuple[np.ndarray, np.ndarray]:
     return gain, loss
 
 
+def _leaves(table: pd.DataFrame) -> list[_Leaf]:
+    return [_Leaf(group) for _, group in table.groupby(["tree", "leaf"], sort=True)]
+
+
+def _with_background(leaves: list[_Leaf], vectors: DataFrame) -> tuple[list[_Leaf], int]:
+    """The leaves with the patterns of all background rows, and the rows.
+
+    Patterns are counted where the rows are and summed by leaf and pattern.  A
+    leaf has two to the power of its depth at most, so what reaches the driver
+    is bounded by the model, not by the background.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter = Counter()
+        for batch in batches:
+            x = np.array(batch["inputs"].tolist())
+            for k, leaf in enumerate(leaves):
+                if len(x):
+                    seen.update({(k, int(p)): int(n) for p, n in zip(*np.unique(leaf.pattern(x), return_counts=True))})
+        yield pd.DataFrame([(*at, n) for at, n in seen.items()], columns=["leaf", "pattern", "n"])
+
+    found = vectors.mapInPandas(count, "leaf int, pattern long, n long").groupBy("leaf", "pattern").agg(F.sum("n").alias("n")).toPandas()
+    rows = int(found.loc[found["leaf"] == 0, "n"].sum())
+    if not rows:
+        raise ValueError("the background has no rows")
+    for k, group in found.sort_values(["leaf", "pattern"]).groupby("leaf"):
+        leaves[k].patterns, leaves[k].share = group["pattern"].to_numpy(), group["n"].to_numpy() / rows
+    return leaves, rows
+
+
 def attributions(
     model: PipelineModel, rows: DataFrame, background: DataFrame, key: str = "row_key"
 ) -> DataFrame:
     """Long table (key, feature, value, contribution, base) for every row.
 
-    The leaves and the background (a few hundred rows) go to every task, the
-    rows stay distributed.  A row whose parts do not add up to its score stops
-    the job.
+    The leaves with their pattern counts are sent to the workers once; rows and
+    background stay distributed, whatever their number.  A row whose parts do
+    not add up to its score stops the job.
     """
     spark = rows.sparkSession
     features = model.stages[0].getInputCols()
-    reference = np.array(
-        [r[0] for r in _inputs(model, background).select(vector_to_array("features")).limit(MAX_BACKGROUND + 1).collect()]
-    )
-    if not 0 < len(reference) <= MAX_BACKGROUND:
-        raise ValueError(f"the background must have 1 to {MAX_BACKGROUND} rows")
-    base = float(model.transform(background).agg(F.avg(vector_to_array("probability")[1])).first()[0])
-    leaves = leaf_table(spark, model).toPandas()
+    base = float(model.transform(background).agg(F.avg(vector_to_array("probability")[1])).first()[0] or 0.0)
+    leaves, _ = _with_background(_leaves(leaf_table(spark, model)), _inputs(model, background).select(vector_to_array("features").alias("inputs")))
+    held = spark.sparkContext.broadcast(leaves)
     width = len(features)
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [_Leaf(group, reference) for _, group in leaves.groupby(["tree", "leaf"])]
+        parts = held.value
         weights = _weight_tables(max(len(p.features) for p in parts))
         for batch in batches:
             x = np.array(batch["inputs"].tolist()).reshape(-1, width)

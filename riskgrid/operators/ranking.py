@@ -205,4 +205,4 @@ def top_k_flag(
 def seeded_sample(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """`n` rows (all, if there are fewer), the same on every run: the lowest
     by a hash of key and seed.  Spark keeps only n rows per task."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), key)), key).limit(n)

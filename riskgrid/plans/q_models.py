@@ -339,7 +339,7 @@ def _small_bundle(application: str, sf: str) -> str:
     model = _fit_small(train)
     curve = fit_isotonic(models.predict(model, val), "ignited", "score")
     path = scratch_path(spark, "bundle")
-    save_bundle(Bundle(model, INPUTS, {"model_type": "RandomForest", "params": SMALL_FOREST}, curve), path)
+    save_bundle(Bundle(model, INPUTS, {"estimator": "forest", "settings": SMALL_FOREST}, curve), path)
     return path
 
 
@@ -353,7 +353,25 @@ def _card(spark, name, model, df, label="ignited"):
     return spark.createDataFrame(rows, "model string, pr_auc double, roc_auc double, top_10pct_capture double")
 
 
-@query("ml_1")
+rel.relation(
+    "model_rows",
+    f"""SELECT k * 100000 + d AS row_key, cell_id, date, year(date)::int AS year, ignited, neighbor_fire_count_7d AS near FROM features
+        WHERE {' AND '.join(f'{c} IS NOT NULL' for c in INPUTS)} AND strftime(date, '%m-%d') BETWEEN '{K.SEASON_START}' AND '{K.SEASON_END}'""",
+    "features",
+)
+_TRAIN, _VAL, _TEST = (
+    f"date < date '{demo.TRAIN_END}'",
+    f"date >= date '{demo.TRAIN_END}' AND date < date '{demo.VAL_END}'",
+    f"date >= date '{demo.VAL_END}'",
+)
+
+
+@query(
+    "ml_1",
+    f"""SELECT row_key, ignited, (('0x' || substr(md5('0:' || row_key), 1, 8))::BIGINT / 4294967296 < (SELECT avg(ignited) FROM model_rows WHERE {_TRAIN}))::int::double AS score
+        FROM model_rows WHERE {_VAL}""",
+    ("model_rows",),
+)
 def ml_1(spark, sf):
     train, val, _ = split_frames(spark, sf)
     return models.fit_dummy(train).predict(val).select("row_key", "ignited", "score")
@@ -371,6 +389,79 @@ def ml_3(spark, sf):
     return _card(spark, "forest", _fit_small(train), val)
 
 
+# One split on one count: SQL can search all of them. Classes weigh alike, so the best split is the one with the least
+# weighted impurity 2 p (1 - p); of equals the lowest cut, which lies halfway between two counts.
+STUMP = {"n_estimators": 1, "max_depth": 1, "max_features": 1.0, "min_samples_leaf": 1, "bootstrap": False}
+NEAR = "neighbor_fire_count_7d"
+
+
+def _stump_sql(fold: str, where: str, reads: str) -> str:
+    """(fold, cut, low, high): the stump of each fold of `reads`, trained where `where` holds."""
+    return f"""SELECT fold, arg_min(cut, (round(impurity, 12), cut)) AS cut, arg_min(low, (round(impurity, 12), cut)) AS low, arg_min(high, (round(impurity, 12), cut)) AS high FROM (
+       SELECT *, lw * 2 * low * (1 - low) + (2 - lw) * 2 * high * (1 - high) AS impurity FROM (
+         SELECT fold, cut, pl / p + nl / n AS lw, pl / p / (pl / p + nl / n) AS low, (1 - pl / p) / (2 - pl / p - nl / n) AS high FROM (
+           SELECT fold, (near + after) / 2 AS cut, sum(pos) OVER up AS pl, sum(neg) OVER up AS nl, sum(pos) OVER (PARTITION BY fold) AS p, sum(neg) OVER (PARTITION BY fold) AS n FROM (
+             SELECT *, lead(near) OVER (PARTITION BY fold ORDER BY near) AS after FROM (
+               SELECT {fold} AS fold, near, sum(ignited)::double AS pos, sum(1 - ignited)::double AS neg FROM {reads} WHERE {where} GROUP BY ALL))
+           WINDOW up AS (PARTITION BY fold ORDER BY near)) WHERE cut IS NOT NULL)) GROUP BY fold"""
+
+
+rel.relation("stump", _stump_sql("0", _TRAIN, "model_rows"), "model_rows")
+rel.relation("year_stumps", _stump_sql("y", "year < y", f"model_rows, (SELECT unnest({list(demo.YEARS)}) AS y)"), "model_rows")
+_STUMP_SCORE = "CASE WHEN near <= cut THEN low ELSE high END"
+
+
+def _stump(spark, sf) -> DataFrame:
+    train, _, _ = split_frames(spark, sf)
+    return models.fit_forest(train, [NEAR], "ignited", **STUMP)
+
+
+@query("ml_3_stump", f"SELECT row_key, {r(_STUMP_SCORE, 'score')} FROM model_rows, stump WHERE {_VAL}", ("model_rows", "stump"))
+def ml_3_stump(spark, sf):
+    _, val, _ = split_frames(spark, sf)
+    return rounded(models.predict(_stump(spark, sf), val).select("row_key", "score"))
+
+
+@query(
+    "bt_2_stump",
+    f"""SELECT year, count(*) AS rows, sum(ignited)::bigint AS positives, {r(f'avg({_STUMP_SCORE})', 'mean_score')} FROM model_rows JOIN year_stumps ON fold = year GROUP BY year""",
+    ("model_rows", "year_stumps"),
+)
+def bt_2_stump(spark, sf):
+    folds = export.run_backtest(lb.season_rows(model_frame(spark, sf)), demo.YEARS, models.fit_forest, STUMP, [NEAR])
+    return rounded(folds.groupBy("year").agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("positives"), F.avg("score").alias("mean_score")))
+
+
+@query("ml_12_stump", f"SELECT '{NEAR}' AS feature, 1e0 AS importance", ())
+def ml_12_stump(spark, sf):
+    return importance.impurity_importance(_stump(spark, sf))
+
+
+# With one input, a row's part is its score less the mean score of the background.
+@query(
+    "xai_1_stump",
+    f"""SELECT row_key, '{NEAR}' AS feature, near::double AS value, {r('s - base', 'contribution')}, {r('base', 'base')}
+        FROM (SELECT row_key, near, {_STUMP_SCORE} AS s FROM model_rows, stump WHERE {_TEST}),
+             (SELECT avg({_STUMP_SCORE}) AS base FROM model_rows, stump WHERE {_TRAIN})""",
+    ("model_rows", "stump"),
+)
+def xai_1_stump(spark, sf):
+    """Every row of the test years, against all training rows as background."""
+    train, _, test = split_frames(spark, sf)
+    return rounded(xai.attributions(_stump(spark, sf), test, train))
+
+
+@query(
+    "xai_2_stump",
+    f"""SELECT '{NEAR}' AS feature, {r('avg(abs(s - base))', 'mean_abs')}
+        FROM (SELECT {_STUMP_SCORE} AS s FROM model_rows, stump WHERE {_TEST}), (SELECT avg({_STUMP_SCORE}) AS base FROM model_rows, stump WHERE {_TRAIN})""",
+    ("model_rows", "stump"),
+)
+def xai_2_stump(spark, sf):
+    train, _, test = split_frames(spark, sf)
+    return rounded(xai.mean_abs(xai.attributions(_stump(spark, sf), test, train)))
+
+
 @query("ml_4")
 def ml_4(spark, sf):
     train, val, _ = split_frames(spark, sf)
@@ -411,7 +502,7 @@ def ml_8(spark, sf):
     return small_bundle(spark, sf).score(test).select("row_key", "score", "calibrated")
 
 
-@query("ml_9")
+@query("ml_9", f"SELECT count(*) AS rows, 0e0 AS largest_difference FROM model_rows WHERE {_TEST}", ("model_rows",))
 def ml_9(spark, sf):
     """Scores of a bundle before saving and after loading."""
     _, _, test = split_frames(spark, sf)
@@ -425,14 +516,14 @@ def ml_9(spark, sf):
 
 def _metadata_row(spark, bundle: Bundle):
     m = bundle.metadata
-    row = (m["model_type"], str(m["params"]), m["val_scores"]["pr_auc"], m["test_scores"]["pr_auc"], bundle.calibrator is not None)
-    return spark.createDataFrame([row], "model_type string, params string, val_pr_auc double, test_pr_auc double, calibrated boolean")
+    row = (m["estimator"], str(m["settings"]), m["scores"]["val"]["pr_auc"], m["scores"]["test"]["pr_auc"], bundle.calibrator is not None)
+    return spark.createDataFrame([row], "estimator string, settings string, val_pr_auc double, test_pr_auc double, calibrated boolean")
 
 
 @query("ml_10")
 def ml_10(spark, sf):
     bundle = export.export_served_model(
-        model_frame(spark, sf), scratch_path(spark, "served"), INPUTS, (1999, 2000, 2001), demo.TRAIN_END, demo.VAL_END, {**SMALL_FOREST, "n_estimators": 4}
+        model_frame(spark, sf), scratch_path(spark, "served"), INPUTS, demo.YEARS, demo.TRAIN_END, demo.VAL_END, {**SMALL_FOREST, "n_estimators": 4}
     )
     return _metadata_row(spark, bundle)
 
@@ -453,7 +544,7 @@ def ml_12(spark, sf):
 @query("ml_13")
 def ml_13(spark, sf):
     _, val, _ = split_frames(spark, sf)
-    return importance.permutation_importance(small_bundle(spark, sf).model, val, ["t2m", "neighbor_fire_count_7d"], repeats=2)
+    return importance.permutation_importance(small_bundle(spark, sf).model, val, INPUTS, repeats=2)
 
 
 @query("ml_14")
@@ -488,17 +579,17 @@ def ml_15(spark, sf):
 @query("bt_2")
 def bt_2(spark, sf):
     folds = export.run_backtest(
-        lb.season_rows(model_frame(spark, sf)), (2000, 2001), models.fit_forest, {**SMALL_FOREST, "n_estimators": 4}, INPUTS
+        lb.season_rows(model_frame(spark, sf)), demo.YEARS, models.fit_forest, {**SMALL_FOREST, "n_estimators": 4}, INPUTS
     )
     return folds.groupBy("year").agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("positives"), F.avg("score").alias("mean_score"))
 
 
 def _explained(spark, sf) -> DataFrame:
-    """Attributions of every positive of the test years."""
+    """Attributions of every row of the test years."""
     _, _, test = split_frames(spark, sf)
     bundle = small_bundle(spark, sf)
     background = xai.training_background(model_frame(spark, sf), demo.TRAIN_END)
-    return xai.attributions(bundle.model, test.filter("ignited = 1"), background)
+    return xai.attributions(bundle.model, test, background)
 
 
 @query("xai_1")
@@ -521,6 +612,42 @@ def top_2(spark, sf):
     return xai.top_contributions(_explained(spark, sf), 5)
 
 
+_PARTS = "(SELECT row_key, f AS feature, ((row_key // 7 + i * 13) % 5)::double AS value, ((row_key * (i + 3) + i * 17) % 41 - 20) / 8e0 AS contribution FROM scores, (VALUES ('a', 0), ('b', 1), ('c', 2), ('d', 3)) t(f, i))"
+
+
+def formula_parts(spark, sf) -> DataFrame:
+    """A contribution by formula for each score row and four features."""
+    features = F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(i).alias("i")) for i, f in enumerate("abcd")]))
+    k, i = F.col("row_key"), F.col("i")
+    rows = demo.scores(spark, sf).select("row_key", features)
+    return rows.select("row_key", "feature", ((F.floor(k / 7) + i * 13) % 5).cast("double").alias("value"), ((k * (i + 3) + i * 17) % 41 - 20).cast("double").alias("c")).select(
+        "row_key", "feature", "value", (F.col("c") / 8).alias("contribution")
+    )
+
+
+@query("xai_2_formula", f"SELECT feature, {r('avg(abs(contribution))', 'mean_abs')} FROM {_PARTS} GROUP BY feature", ("scores",))
+def xai_2_formula(spark, sf):
+    return rounded(xai.mean_abs(formula_parts(spark, sf)))
+
+
+@query(
+    "xai_3_formula",
+    f"SELECT value > 0 AS nonzero, count(*) AS rows, {r('avg(abs(contribution))', 'mean_abs')} FROM {_PARTS} WHERE feature = 'b' GROUP BY ALL",
+    ("scores",),
+)
+def xai_3_formula(spark, sf):
+    return rounded(xai.conditional_mean_abs(formula_parts(spark, sf), "b"))
+
+
+@query(
+    "top_2_formula",
+    f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_key ORDER BY abs(contribution) DESC, feature)::int AS rank FROM {_PARTS}) WHERE rank <= 2",
+    ("scores",),
+)
+def top_2_formula(spark, sf):
+    return xai.top_contributions(formula_parts(spark, sf), 2)
+
+
 @query("xai_4")
 def xai_4(spark, sf):
     """The three example rows of the test years with their contributions."""
@@ -678,14 +805,35 @@ def srv_1(spark, sf):
     return serve.risk_map(dates, model_frame(spark, sf), demo.cells(spark, sf), small_bundle(spark, sf))
 
 
+rel.relation(
+    "asked",
+    f"""SELECT DISTINCT (o_orderdate::date + 200) AS date, strftime(o_orderdate::date + 200, '%m-%d') BETWEEN '{K.SEASON_START}' AND '{K.SEASON_END}' AS season
+        FROM orders WHERE o_orderpriority = '1-URGENT'""",
+)
+rel.relation("shown", f"SELECT date, cell_id, {_STUMP_SCORE} AS score, ignited FROM model_rows JOIN asked USING (date), stump", "model_rows", "asked", "stump")
+
+
+@query(
+    "srv_1_stump",
+    f"""SELECT date, cell_id, {r('score', 'risk_probability')}, NULL::double AS calibrated_risk_probability, ignited::int AS actual_ignited, {r('latitude', 'latitude')}, {r('longitude', 'longitude')}, 'ok' AS status
+        FROM shown JOIN cells USING (cell_id)
+        UNION ALL SELECT date, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN season THEN 'no_data' ELSE 'off_season' END FROM asked WHERE date NOT IN (SELECT date FROM shown)""",
+    ("shown", "cells"),
+)
+def srv_1_stump(spark, sf):
+    dates = demo.table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.date_add(F.to_date("o_orderdate"), 200).alias("date"))
+    return rounded(serve.risk_map(dates, model_frame(spark, sf), demo.cells(spark, sf), Bundle(_stump(spark, sf), [NEAR], {})))
+
+
 # --- streams ----------------------------------------------------------------------------
 
 _EVENTS = "event_id bigint, ts timestamp_ntz, event_type string"
+LANDED = 4  # files that a batch lands as
 
 
-def point_stream(spark, path: str, glob: str = "events.parquet") -> DataFrame:
+def point_stream(spark, path: str, glob: str = "events.parquet", files: int = 1) -> DataFrame:
     """The events file as a stream of detections."""
-    e = spark.readStream.schema(_EVENTS).option("pathGlobFilter", glob).option("maxFilesPerTrigger", 1).parquet(path)
+    e = spark.readStream.schema(_EVENTS).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files).parquet(path)
     return e.select(
         "event_id",
         (F.lit(49.8) + F.col("event_id") % 1700 / 1000.0).alias("latitude"),
@@ -750,7 +898,7 @@ def str_4(spark, sf):
     still counted, older ones are dropped.
 
     A batch is held against the watermark that the batch before the last one
-    set, which is why the events on time come in two files.
+    set, which is why the events on time come in two batches.
     """
     from riskgrid.streaming.detections import daily_counts
 
@@ -760,8 +908,8 @@ def str_4(spark, sf):
     on_time = F.col("event_id") % 10 < 8
     even = F.col("event_id") % 2 == 0
     for part in (early & on_time & even, early & on_time & ~even, early & ~on_time, ~early):
-        events.filter(part).coalesce(1).write.mode("append").parquet(landing)
-    versions = _run(daily_counts(point_stream(spark, landing, "*.parquet")), "update")
+        events.filter(part).repartition(LANDED).write.mode("append").parquet(landing)
+    versions = _run(daily_counts(point_stream(spark, landing, "*.parquet", LANDED)), "update")
     last = versions.groupBy("cell_id", "date").agg(F.max_by("detections", "batch").alias("detections"))
     return last
 
@@ -792,6 +940,6 @@ def str_5(spark, sf):
     )
     half = F.col("date") < "1998-06-01"
     for part in (half, ~half):
-        frame.filter(part).select(*INPUT).coalesce(1).write.mode("append").parquet(landing)
-    stream = spark.readStream.schema(frame.select(*INPUT).schema).option("maxFilesPerTrigger", 1).parquet(landing)
+        frame.filter(part).select(*INPUT).repartition(LANDED).write.mode("append").parquet(landing)
+    stream = spark.readStream.schema(frame.select(*INPUT).schema).option("maxFilesPerTrigger", LANDED).parquet(landing)
     return rounded(_run(stateful_codes(stream)), 4)

@@ -274,25 +274,28 @@ _FFMC_STEPS = [
     ("f", f"59.5 * (250 - wm) / ({_A} + wm)"),
 ]
 _FFMC = "CASE WHEN f < 0 THEN 0 WHEN f > 101 THEN 101 ELSE f END"
+# One column for each equation of the published system, by its number.
 _DMC_STEPS = [
-    ("le", _LE),
-    ("rk", "1.894e-4 * (CASE WHEN t < -1.1 THEN -1.1 ELSE t END + 1.1) * (100 - rh) * le"),
-    ("rw", "0.92 * rain - 1.27"),
-    ("b", "CASE WHEN p <= 33 THEN 100 / (0.5 + 0.3 * p) WHEN p <= 65 THEN 14 - 1.3 * ln(greatest(p, 1e-9)) ELSE 6.2 * ln(greatest(p, 1e-9)) - 17.2 END"),
-    ("wmr", "CASE WHEN rain > 1.5 THEN 20 + 280 / exp(0.023 * p) + 1000 * rw / (48.77 + b * rw) END"),
-    ("pr", "CASE WHEN rain <= 1.5 THEN p ELSE 43.43 * (5.6348 - ln(CASE WHEN wmr > 20 THEN wmr - 20 WHEN wmr <= 20 THEN 1 END)) END"),
-    ("v", "CASE WHEN pr < 0 THEN 0 ELSE pr END + rk"),
+    ("e11", "0.92 * rain - 1.27"),
+    ("e12", "20 + 280 * exp(-0.023 * p)"),
+    ("e13", "CASE WHEN p > 65 THEN 6.2 * ln(p) - 17.2 WHEN p > 33 THEN 14 - 1.3 * ln(p) ELSE 1 / (0.005 + 0.003 * p) END"),
+    ("e14", "CASE WHEN rain > 1.5 THEN e12 + 1000 * e11 / (48.77 + e13 * e11) END"),
+    ("e15", "43.43 * 5.6348 - 43.43 * ln(e14 - 20)"),
+    ("e16", f"1.894e-6 * CASE WHEN t > -1.1 THEN t + 1.1 ELSE t - t END * (100 - rh) * {_LE}"),
+    ("kept", "CASE WHEN rain > 1.5 THEN e15 WHEN rain <= 1.5 THEN p END"),
+    ("e17", "CASE WHEN kept > 0 THEN kept ELSE 0 * kept END + 100 * e16"),
 ]
-_DMC = "CASE WHEN v < 0 THEN 0 ELSE v END"
+_DMC = "CASE WHEN e17 > 0 THEN e17 ELSE 0 * e17 END"
 _DC_STEPS = [
-    ("lf", _LF),
-    ("pe0", "(0.36 * (CASE WHEN t < -2.8 THEN -2.8 ELSE t END + 2.8) + lf) / 2"),
-    ("pe", "CASE WHEN pe0 < 0 THEN 0 ELSE pe0 END"),
-    ("dr0", "CASE WHEN rain > 2.8 THEN p - 400 * ln(1 + 3.937 * (0.83 * rain - 1.27) / (800 * exp(-p / 400))) END"),
-    ("dr", "CASE WHEN rain <= 2.8 THEN p ELSE CASE WHEN dr0 < 0 THEN 0 ELSE dr0 END END"),
-    ("v", "dr + pe"),
+    ("e18", "0.83 * rain - 1.27"),
+    ("e19", "800 * exp(-p / 400)"),
+    ("e20", "CASE WHEN rain > 2.8 THEN e19 + 3.937 * e18 END"),
+    ("e21", "-400 * ln(e20 / 800)"),
+    ("e22", f"0.36 * CASE WHEN t > -2.8 THEN t + 2.8 ELSE t - t END + {_LF}"),
+    ("kept", "CASE WHEN rain > 2.8 THEN e21 WHEN rain <= 2.8 THEN p END"),
+    ("e23", "CASE WHEN rain > 2.8 AND kept < 0 THEN 0 ELSE kept END + 0.5 * CASE WHEN e22 > 0 THEN e22 ELSE 0 * e22 END"),
 ]
-_DC = "CASE WHEN v < 0 THEN 0 ELSE v END"
+_DC = "CASE WHEN e23 > 0 THEN e23 ELSE 0 * e23 END"
 
 # Latitudes in every band of the day-length tables; humidity above 100 occurs.
 _LAT = "-45 + (k % 10) * 11"
@@ -356,14 +359,16 @@ def fwi_3(spark, sf):
 _ISI_M = f"({_A} * (101 - ffmc) / (59.5 + ffmc))"
 _ISI = f"0.208 * exp(0.05039 * wind) * 91.9 * exp(-0.1386 * {_ISI_M}) * (1 + pow({_ISI_M}, 5.31) / 49300000)"
 _BUI_STEPS = [
-    ("u", "CASE WHEN dmc = 0 AND dc = 0 THEN 0 ELSE 0.8 * dc * dmc / CASE WHEN dmc + 0.4 * dc <> 0 THEN dmc + 0.4 * dc ELSE 1 END END"),
-    ("sh", "CASE WHEN dmc = 0 THEN 0 ELSE (dmc - u) / CASE WHEN dmc <> 0 THEN dmc ELSE 1 END END"),
-    ("lo_", "dmc - (0.92 + pow(0.0114 * dmc, 1.7)) * sh"),
-    ("bui", "CASE WHEN u < dmc THEN CASE WHEN lo_ < 0 THEN 0 ELSE lo_ END ELSE u END"),
+    ("joint", "nullif(dmc + 0.4 * dc, 0)"),
+    ("e27a", "0.8 * dmc * dc / joint"),
+    ("e27b", "dmc - (1 - 0.8 * dc / joint) * (0.92 + pow(0.0114 * dmc, 1.7))"),
+    ("bui", "CASE WHEN dmc = 0 AND dc = 0 THEN 0 WHEN dmc <= 0.4 * dc THEN e27a WHEN e27b > 0 THEN e27b ELSE 0 * e27b END"),
 ]
 _FWI_STEPS = [
-    ("bb", "0.1 * isi * CASE WHEN bui > 80 THEN 1000 / (25 + 108.64 / exp(0.023 * bui)) ELSE 0.626 * pow(bui, 0.809) + 2 END"),
-    ("fwi", "CASE WHEN bb <= 1 THEN bb ELSE exp(2.72 * pow(0.434 * ln(CASE WHEN bb > 1 THEN bb END), 0.647)) END"),
+    ("e28", "CASE WHEN bui <= 80 THEN 2 + 0.626 * pow(bui, 0.809) ELSE 1000 / (25 + 108.64 * exp(-0.023 * bui)) END"),
+    ("e29", "isi * e28 / 10"),
+    ("e30", "CASE WHEN e29 > 1 THEN 2.72 * pow(0.434 * ln(e29), 0.647) END"),
+    ("fwi", "CASE WHEN e29 > 1 THEN exp(e30) ELSE e29 END"),
 ]
 
 
@@ -454,7 +459,7 @@ def top_3(spark, sf):
     return rounded(bt.extreme_examples(s, s))
 
 
-@query("top_5")
+@query("top_5", f"SELECT row_key, label, score FROM scores ORDER BY md5('0:' || row_key), row_key LIMIT {K.BACKGROUND_ROWS}", ("scores",))
 def top_5(spark, sf):
     return ranking.seeded_sample(demo.scores(spark, sf).select("row_key", "label", "score"), K.BACKGROUND_ROWS, "row_key")
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,11 +41,45 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="riskgrid-")
+    return _local_dir()
+
+
+@lru_cache(maxsize=1)
+def _local_dir() -> str:
+    """One folder for a local session, gone when Python ends."""
+    path = tempfile.mkdtemp(prefix="riskgrid-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+_SCRATCH: list[str] = []
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    """A new place in the shared folder; `clear_scratch` removes all of them."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(path)
+    return path
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _file_system(spark, path)
+    return files.exists(place)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove what this session has written to its scratch places, once nothing
+    is read from there any more; returns how many there were."""
+    removed = 0
+    while _SCRATCH:
+        files, place = _file_system(spark, _SCRATCH.pop())
+        removed += bool(files.delete(place, True))
+    return removed
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

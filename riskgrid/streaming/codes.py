@@ -1,4 +1,4 @@
-"""Daily codes as a stream: one small state per cell."""
+"""Daily codes as a stream: a small state per cell, held by tile."""
 
 from __future__ import annotations
 
@@ -8,50 +8,68 @@ from typing import Any
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskgrid.functions import codes as C
 from riskgrid.functions import constants as K
 
-STATE = "last string, ffmc double, dmc double, dc double"
+STATE = "cells array<string>, last array<string>, ffmc array<double>, dmc array<double>, dc array<double>"
 INPUT = ["cell_id", "date", "latitude", "temp_c", "rh", "wind_kmh", "rain"]
 OUTPUT = "cell_id string, date date, ffmc double, dmc double, dc double"
+TILE_CELLS = 16  # on a side
 
 
 def _advance(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Step the days of a micro-batch in date order; a day that is not after
-    the last one seen comes too late and is left out."""
-    last, ffmc, dmc, dc = state.get if state.exists else ("", np.nan, np.nan, np.nan)
-    rows = pd.concat(list(batches)).sort_values("date")
+    """Step a tile's cells day by day, all cells of a day at once; a day that is
+    not after the last one its cell has seen comes too late and is left out."""
+    cells, last, *codes = state.get if state.exists else ([], [], [], [], [])
+    place = {c: k for k, c in enumerate(cells)}
+    rows = pd.concat(list(batches)).sort_values(["date", "cell_id"])
+    for cell in rows["cell_id"].unique():
+        place.setdefault(cell, len(place))
+    new = len(place) - len(cells)
+    last = np.array([*last, *[""] * new], object)
+    ffmc, dmc, dc = (np.array([*c, *[np.nan] * new], float) for c in codes)
     m, out = C.ArrayMath, []
     with np.errstate(all="ignore"):
-        for row in rows.itertuples(index=False):
-            day = row.date.isoformat()
-            if day <= last:
+        for date, today in rows.groupby("date", sort=True):
+            day = date.isoformat()
+            today = today.drop_duplicates("cell_id")
+            at = today["cell_id"].map(place).to_numpy()
+            fresh = last[at] < day
+            today, at = today[fresh], at[fresh]
+            if not len(at):
                 continue
-            last = day
+            last[at] = day
             if day.endswith(K.RESET_MONTH_DAY):
-                ffmc, dmc, dc = K.STARTUP_FFMC, K.STARTUP_DMC, K.STARTUP_DC
-            weather = [np.float64(np.nan if v is None else v) for v in (row.temp_c, row.rh, row.wind_kmh, row.rain, row.latitude)]
-            temp, rh, wind, rain, latitude = weather
-            ffmc, dmc, dc = (
-                float(C.ffmc_step(m, np.float64(ffmc), temp, rh, wind, rain)),
-                float(C.dmc_step(m, np.float64(dmc), temp, rh, rain, latitude, row.date.month)),
-                float(C.dc_step(m, np.float64(dc), temp, rain, latitude, row.date.month)),
+                ffmc[at], dmc[at], dc[at] = K.STARTUP_FFMC, K.STARTUP_DMC, K.STARTUP_DC
+            temp, rh, wind, rain, latitude = (today[c].to_numpy(dtype=float) for c in ("temp_c", "rh", "wind_kmh", "rain", "latitude"))
+            month = np.full(len(at), date.month)
+            ffmc[at], dmc[at], dc[at] = (
+                C.ffmc_step(m, ffmc[at], temp, rh, wind, rain),
+                C.dmc_step(m, dmc[at], temp, rh, rain, latitude, month),
+                C.dc_step(m, dc[at], temp, rain, latitude, month),
             )
-            out.append((key[0], row.date, ffmc, dmc, dc))
-    state.update((last, ffmc, dmc, dc))
-    yield pd.DataFrame(out, columns=["cell_id", "date", "ffmc", "dmc", "dc"])
+            out.append(pd.DataFrame({"cell_id": today["cell_id"], "date": today["date"], "ffmc": ffmc[at], "dmc": dmc[at], "dc": dc[at]}))
+    state.update((list(place), last.tolist(), ffmc.tolist(), dmc.tolist(), dc.tolist()))
+    if out:
+        yield pd.concat(out)
 
 
 def stateful_codes(stream: DataFrame) -> DataFrame:
     """ffmc, dmc and dc per cell and day; NULL before the first 1 March seen.
 
     `stream` has the columns of INPUT.  State is three numbers and a date per
-    cell.
+    cell, held by tile, so a step of a day is one for all cells of the tile.  Of
+    two records of a cell and day the first is taken.
     """
+    part = F.split("cell_id", "_", 2)
+    row, column = (F.floor(F.try_element_at(part, F.lit(k)).try_cast("int") / TILE_CELLS) for k in (1, 2))
+    # An id that is not "row_col" makes a tile of its own.
+    tile = F.when(row.isNull() | column.isNull(), F.col("cell_id")).otherwise(F.concat_ws("_", row, column))
     return (
-        stream.select(*INPUT)
-        .groupBy("cell_id")
+        stream.select(*INPUT, tile.alias("tile"))
+        .groupBy("tile")
         .applyInPandasWithState(_advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
     )

@@ -92,7 +92,7 @@ def test_the_winner_is_fitted_on_train_only(frame):
 
 def test_bundle_survives_saving(spark, frame, forest, tmp_path):
     scored = models.predict(forest, frame)
-    first = Bundle(forest, INPUTS, {"val_scores": {"pr_auc": 0.5}}, fit_isotonic(scored, "ignited"))
+    first = Bundle(forest, INPUTS, {"scores": {"val": {"pr_auc": 0.5}}}, fit_isotonic(scored, "ignited"))
     save_bundle(first, str(tmp_path / "deep" / "bundle"))
     again = load_bundle(spark, str(tmp_path / "deep" / "bundle"))
     assert again.feature_columns == INPUTS and again.metadata == first.metadata
@@ -109,10 +109,10 @@ def test_export_fits_scores_calibrates_and_saves(spark, frame, tmp_path):
     params = {"n_estimators": 3, "max_depth": 3}
     bundle = export.export_served_model(frame, str(tmp_path / "m"), INPUTS, (2021, 2022), "2022-01-01", "2023-01-01", params)
     stored = load_bundle(spark, str(tmp_path / "m"))
-    assert stored.calibrator is not None and stored.metadata["calibration_pooled_years"] == [2021, 2022]
-    assert set(bundle.metadata["test_scores"]) == {"pr_auc", "roc_auc", "top_10pct_capture"}
+    assert stored.calibrator is not None and stored.metadata["calibrator"]["fold_years"] == [2021, 2022]
+    assert set(bundle.metadata["scores"]["test"]) == {"pr_auc", "roc_auc", "top_10pct_capture"}
     several = export.export_multi_day_model(frame, str(tmp_path / "n"), "ignited_next_3d", INPUTS, "2022-01-01", "2023-01-01", params)
-    assert several.calibrator is None and several.metadata["label_column"] == "ignited_next_3d"
+    assert several.calibrator is None and several.metadata["label"] == "ignited_next_3d"
 
 
 def test_backtest_keeps_raw_scores_per_year(frame):
