@@ -22,6 +22,7 @@ from riskgrid.plans.catalog import RELATIONS, query, r, rounded
 from riskgrid.plans.dataset import build_dataset
 from riskgrid.plans.q_panel import POINT
 from riskgrid.plans.q_reports import _codes_body, _fold_sql
+from riskgrid.operators.terrain import attach_static, one_hot_fixed
 from riskgrid.session import materialize, scratch_path
 from riskgrid.sources import detections as src
 from riskgrid.sources import readings as rd
@@ -462,6 +463,21 @@ def xai_2_stump(spark, sf):
     return rounded(xai.mean_abs(xai.attributions(_stump(spark, sf), test, train)))
 
 
+def served_frame(spark, sf) -> DataFrame:
+    """The model rows with all served inputs: each cell has one of the listed fuels, or none of them, by its id."""
+    codes = [n.removeprefix("fuel_type_") for n in K.FUEL_FEATURES]
+    at = F.col("k") % (len(codes) + 1)
+    fuel = demo.cells(spark, sf).select("cell_id", F.get(F.array(*[F.lit(c) for c in codes]), at.cast("int")).alias("fuel_type_cd"))
+    return attach_static(model_frame(spark, sf), one_hot_fixed(fuel).drop("fuel_type_cd"))
+
+
+@query("ml_3_served")
+def ml_3_served(spark, sf):
+    """A forest on all 32 served inputs under their own names, scored on the validation year."""
+    train, val, _ = lb.temporal_split(lb.season_rows(served_frame(spark, sf)), demo.TRAIN_END, demo.VAL_END)
+    return _card(spark, "forest", models.fit_forest(train, K.SERVED_FEATURES, **SMALL_FOREST), val)
+
+
 @query("ml_4")
 def ml_4(spark, sf):
     train, val, _ = split_frames(spark, sf)
@@ -806,19 +822,19 @@ def srv_1(spark, sf):
 
 
 rel.relation(
-    "asked",
+    "asked_dates",
     f"""SELECT DISTINCT (o_orderdate::date + 200) AS date, strftime(o_orderdate::date + 200, '%m-%d') BETWEEN '{K.SEASON_START}' AND '{K.SEASON_END}' AS season
         FROM orders WHERE o_orderpriority = '1-URGENT'""",
 )
-rel.relation("shown", f"SELECT date, cell_id, {_STUMP_SCORE} AS score, ignited FROM model_rows JOIN asked USING (date), stump", "model_rows", "asked", "stump")
+rel.relation("shown_rows", f"SELECT date, cell_id, {_STUMP_SCORE} AS score, ignited FROM model_rows JOIN asked_dates USING (date), stump", "model_rows", "asked_dates", "stump")
 
 
 @query(
     "srv_1_stump",
     f"""SELECT date, cell_id, {r('score', 'risk_probability')}, NULL::double AS calibrated_risk_probability, ignited::int AS actual_ignited, {r('latitude', 'latitude')}, {r('longitude', 'longitude')}, 'ok' AS status
-        FROM shown JOIN cells USING (cell_id)
-        UNION ALL SELECT date, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN season THEN 'no_data' ELSE 'off_season' END FROM asked WHERE date NOT IN (SELECT date FROM shown)""",
-    ("shown", "cells"),
+        FROM shown_rows JOIN cells USING (cell_id)
+        UNION ALL SELECT date, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN season THEN 'no_data' ELSE 'off_season' END FROM asked_dates WHERE date NOT IN (SELECT date FROM shown_rows)""",
+    ("shown_rows", "cells"),
 )
 def srv_1_stump(spark, sf):
     dates = demo.table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.date_add(F.to_date("o_orderdate"), 200).alias("date"))
