@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskgrid.functions import constants as K
-from riskgrid.operators.calibrate import reliability_table
+from riskgrid.operators.calibrate import reliability_table, score_counts
 from riskgrid.operators.metrics import brier, score_card
 from riskgrid.operators.ranking import top_k_flag
+from riskgrid.session import materialize
 
 
 def rolling_origin_folds(
@@ -67,7 +68,12 @@ def pooled_months(monthly: DataFrame) -> DataFrame:
 
 
 def yearly_summary(scores: DataFrame, label: str = "label", score: str = "score", key: str = "row_key") -> DataFrame:
-    """Per year: metrics, Brier ratio, top-bin ratio and the July-August share."""
+    """Per year: metrics, Brier ratio, top-bin ratio and the July-August share.
+
+    Rows are counted per year and score once; the Brier scores and the bins work
+    on the counts.
+    """
+    counts = materialize(score_counts(scores, label, score, ["year"]), "yearly-counts")
     month = F.month("date")
     base = scores.groupBy("year").agg(
         F.sum(label).alias("positives"),
@@ -75,8 +81,8 @@ def yearly_summary(scores: DataFrame, label: str = "label", score: str = "score"
     )
     return (
         base.join(score_card(scores, label, score, key, ["year"]), "year")
-        .join(brier(scores, label, score, ["year"]), "year")
-        .join(top_bins(scores, label, score, ["year"]), "year")
+        .join(brier(counts, "pos", score, ["year"], "n"), "year")
+        .join(top_bins(counts, "pos", score, ["year"], weight="n"), "year")
         .withColumn("jul_aug_fire_share", F.when(F.col("positives") > 0, F.col("peak") / F.col("positives")))
         .drop("peak")
     )

@@ -432,7 +432,8 @@ def win_5(spark, sf):
 @query("win_6", "SELECT * FROM neighbors", ("neighbors",))
 def win_6(spark, sf):
     counts = [f"neighbor_fire_count_{n}d" for n in (1, 3, 7)]
-    return ft.add_neighbor_fire_features(demo.panel(spark, sf)).select("cell_id", "date", *counts)
+    fires = lb.distinct_ignitions(demo.detections(spark, sf))
+    return ft.add_neighbor_fire_features(demo.panel(spark, sf), ignitions=fires).select("cell_id", "date", *counts)
 
 
 @query("win_7", f"SELECT cell_id, date, ignited, {_FORWARD} AS ignited_next_3d FROM panel {_FORWARD_W}", ("panel",))

@@ -36,12 +36,13 @@ def sliding_neighbor_counts(
     """Neighbour fire days before each target date, from the detection stream.
 
     A sliding window of the longest span ends at the target date, so it holds
-    strictly prior days.  The state of a window is the set of its (neighbour,
-    day) pairs, at most eight per day, so repeats count once and a busy cell
-    needs no more room than a quiet one.
+    strictly prior days.  Repeats of a (cell, day) are dropped before anything
+    is multiplied; a day whose repeats lie farther apart than the delay still
+    counts once, as the state of a window is the set of its (neighbour, day)
+    pairs, at most eight per day.
     """
     longest = max(windows)
-    reached = explode_neighbors(located(stream, time_col, delay), "cell_id", "target_id")
+    reached = explode_neighbors(ignition_days(stream, time_col, delay), "cell_id", "target_id")
     pairs = F.collect_set(F.struct(F.col("cell_id").alias("source"), "day"))
     grouped = reached.groupBy(F.window(time_col, f"{longest} days", "1 day"), "target_id").agg(pairs.alias("pairs"))
     target = F.to_date(F.col("window.end"))
