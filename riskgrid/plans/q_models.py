@@ -433,6 +433,23 @@ def bt_2_stump(spark, sf):
     return rounded(folds.groupBy("year").agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("positives"), F.avg("score").alias("mean_score")))
 
 
+# The curve of a score with two values: the two rates, or one where they fall.
+rel.relation("val_rates", f"SELECT {_STUMP_SCORE} AS score, avg(ignited) AS rate FROM model_rows, stump WHERE {_VAL} GROUP BY 1", "model_rows", "stump")
+
+
+@query(
+    "ml_8_stump",
+    f"""SELECT row_key, {r('t.score', 'score')}, {r(f"CASE WHEN (SELECT arg_max(rate, score) >= arg_min(rate, score) FROM val_rates) THEN v.rate ELSE (SELECT avg(ignited) FROM model_rows WHERE {_VAL}) END", 'calibrated')}
+        FROM (SELECT row_key, {_STUMP_SCORE} AS score FROM model_rows, stump WHERE {_TEST}) t JOIN val_rates v ON v.score = t.score""",
+    ("model_rows", "stump", "val_rates"),
+)
+def ml_8_stump(spark, sf):
+    _, val, test = split_frames(spark, sf)
+    model = _stump(spark, sf)
+    bundle = Bundle(model, [NEAR], {}, fit_isotonic(models.predict(model, val), "ignited", "score"))
+    return rounded(bundle.score(test).select("row_key", "score", "calibrated"))
+
+
 @query("ml_12_stump", f"SELECT '{NEAR}' AS feature, 1e0 AS importance", ())
 def ml_12_stump(spark, sf):
     return importance.impurity_importance(_stump(spark, sf))
@@ -777,8 +794,7 @@ def answered_requests(spark, sf) -> DataFrame:
     )
 
 
-@query(
-    "srv_2",
+_ANSWERED = (
     f"""SELECT q.request_id, q.cell_id, q.date, status, {r('CASE WHEN early IS NULL THEN w.precip_30d END', 'precip_30d', 4)},
        CASE WHEN early IS NULL THEN (SELECT count(*) FROM (SELECT DISTINCT cell_id, acq_date FROM detections) d JOIN cells dc ON dc.cell_id = d.cell_id
          WHERE abs(dc.row - q.row) <= 1 AND abs(dc.col - q.col) <= 1 AND dc.cell_id <> q.cell_id AND q.date - d.acq_date BETWEEN 1 AND 7) END::double AS neighbor_fire_count_7d,
@@ -786,9 +802,12 @@ def answered_requests(spark, sf) -> DataFrame:
        FROM (SELECT r.*, c.row, c.col, CASE WHEN c.cell_id IS NULL THEN 'unknown_cell' WHEN r.date > date '{TODAY}' THEN 'future_date'
           WHEN strftime(r.date, '%m-%d') NOT BETWEEN '05-01' AND '10-15' THEN 'off_season' END AS early FROM requests r LEFT JOIN cells c USING (cell_id)) q
        LEFT JOIN (SELECT w.*, CASE WHEN len({_MISSING}) > 0 THEN 'insufficient_history' ELSE 'ok' END AS ws FROM live_derived w) w ON w.cell_id = q.cell_id AND w.date = q.date
-       LEFT JOIN fuel f ON f.cell_id = q.cell_id, LATERAL (SELECT coalesce(early, w.ws, 'no_row') AS status)""",
-    ("requests", "live_derived", "cells", "detections", "fuel"),
+       LEFT JOIN fuel f ON f.cell_id = q.cell_id, LATERAL (SELECT coalesce(early, w.ws, 'no_row') AS status)"""
 )
+rel.relation("answered", _ANSWERED, "requests", "live_derived", "cells", "detections", "fuel")
+
+
+@query("srv_2", "SELECT * FROM answered", ("answered",))
 def srv_2(spark, sf):
     out = answered_requests(spark, sf)
     return rounded(
@@ -808,6 +827,28 @@ def srv_3(spark, sf):
     return serve.score_requests(answered_requests(spark, sf), several, window_days=K.MULTI_DAY_WINDOW)
 
 
+@query(
+    "srv_3_stump",
+    f"""SELECT request_id, a.cell_id, date, {r('latitude', 'latitude')}, {r('longitude', 'longitude')}, status, {r(f"CASE WHEN status = 'ok' THEN CASE WHEN neighbor_fire_count_7d <= cut THEN low ELSE high END END", 'ignition_probability')}, 3 AS window_days
+        FROM answered a LEFT JOIN cells c ON c.cell_id = a.cell_id, stump""",
+    ("answered", "cells", "stump"),
+)
+def srv_3_stump(spark, sf):
+    return rounded(serve.score_requests(answered_requests(spark, sf), Bundle(_stump(spark, sf), [NEAR], {}), window_days=3))
+
+
+@query(
+    "srv_4_stump",
+    f"""SELECT request_id, '{NEAR}' AS feature, near AS value, {r('s - base', 'contribution')}, {r('base', 'base')}, 1 AS rank
+        FROM (SELECT request_id, neighbor_fire_count_7d AS near, CASE WHEN neighbor_fire_count_7d <= cut THEN low ELSE high END AS s FROM answered, stump WHERE status = 'ok'),
+             (SELECT avg({_STUMP_SCORE}) AS base FROM model_rows, stump WHERE {_TRAIN})""",
+    ("answered", "model_rows", "stump"),
+)
+def srv_4_stump(spark, sf):
+    train, _, _ = split_frames(spark, sf)
+    return rounded(serve.explain_requests(answered_requests(spark, sf), Bundle(_stump(spark, sf), [NEAR], {}), train, 1))
+
+
 @query("srv_4")
 def srv_4(spark, sf):
     background = xai.training_background(model_frame(spark, sf), demo.TRAIN_END)

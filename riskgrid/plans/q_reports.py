@@ -636,11 +636,24 @@ def cal_2(spark, sf):
     return cal.apply_isotonic(asked, model).select("score", F.round("calibrated", 6).alias("calibrated"))
 
 
-@query("cal_3")
+# Newton steps on the two parameters of the curve; the slope has a unit penalty.
+_NEWTON = """newton AS (SELECT 0 AS i, 0::double AS a, 0::double AS b UNION ALL
+  SELECT i + 1, a - (ga * hbb - gb * hab) / (haa * hbb - hab * hab), b - (gb * haa - ga * hab) / (haa * hbb - hab * hab) FROM (
+    SELECT i, a, b, sum((n * p - pos) * score) + a AS ga, sum(n * p - pos) AS gb, sum(n * p * (1 - p) * score * score) + 1 AS haa, sum(n * p * (1 - p) * score) AS hab, sum(n * p * (1 - p)) AS hbb
+    FROM (SELECT i, a, b, score, n, pos, 1 / (1 + exp(-a * score - b)) AS p FROM newton, (SELECT score, n, pos FROM pooled) WHERE i < 25) GROUP BY i, a, b))"""
+
+
+@query(
+    "cal_3",
+    f"SELECT score, {r('1 / (1 + exp(-a * score - b))', 'calibrated', 5)} FROM (SELECT DISTINCT score FROM ladder WHERE year >= 2000), newton WHERE i = 25",
+    ("ladder", "pooled"),
+    recursive=_NEWTON,
+)
 def cal_3(spark, sf):
     s = demo.scores(spark, sf)
     asked = s.filter("year >= 2000").select("score").distinct()
-    return rounded(cal.apply_sigmoid(asked, cal.fit_sigmoid(s.filter("year < 2000"))))
+    found = cal.apply_sigmoid(asked, cal.fit_sigmoid(s.filter("year < 2000")))
+    return found.select("score", (F.round("calibrated", 5) + F.lit(0.0)).alias("calibrated"))
 
 
 def _added(gain: int) -> str:
