@@ -276,15 +276,8 @@ def near_groups(prints: DataFrame, least: float = 0.8, bands: int = 24, width: i
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 keys = [band_keys(p, bands, width) for p in part.column(1).to_pylist()]
-                lengths = [len(k) for k in keys]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([np.array(k, np.int64) for k in keys])),
-                        pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), lengths)),
-                        pa.array(np.repeat(np.array(part.column(1).to_pylist(), object), lengths), pa.string()),
-                    ],
-                    ["band", "node", "fingerprint"],
-                )
+                nodes_ = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array(k, np.int64) for k in keys])), pa.array(nodes_)], ["band", "node"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,11 +286,13 @@ def near_groups(prints: DataFrame, least: float = 0.8, bands: int = 24, width: i
 
     rows = materialize(prints.select("doc_id", "fingerprint"), "edit-prints")
     nodes = materialize(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.xxhash64("fingerprint").alias("node")), "edit-nodes")
-    banded = nodes.select("node", "fingerprint").mapInArrow(keyed, "band long, node long, fingerprint string")
+    banded = nodes.select("node", "fingerprint").mapInArrow(keyed, "band long, node long").distinct()
     a, b = banded.alias("a"), banded.alias("b")
     met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.node") < F.col("b.node")))
-    met = met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.fingerprint").alias("x"), F.col("b.fingerprint").alias("y"))
-    links = met.dropDuplicates(["a", "b"]).mapInArrow(verify, "a long, b long")
+    met = met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    prints_of = lambda side: nodes.select(F.col("node").alias(side), F.col("fingerprint").alias(f"print_{side}"))
+    pairs = met.join(prints_of("a"), "a").join(prints_of("b"), "b").select("a", "b", "print_a", "print_b")
+    links = pairs.mapInArrow(verify, "a long, b long")
     classes_ = nodes.join(components(nodes.select("node"), links, "edit"), "node")
     least_id = classes_.groupBy("root").agg(F.min("first").alias("class_id"))
     return rows.join(classes_.join(least_id, "root").select("fingerprint", "class_id"), "fingerprint").select("doc_id", "class_id")
