@@ -5,7 +5,7 @@ written in 1 to 4 bytes, little end first. The lengths stand apart: a control by
 each, the first rank in the low bits. So lengths are read from a table of 256 rows, and all ranks of a block at once.
 
 On disk a token store is a folder with two Parquet tables. `ranks` has (rank, id). `blocks` has one row for each block:
-part and block (the order), n_ids, docs (doc_id of each document), counts (ids of each), control and data (bytes).
+part and block (the order), at (ids of the part before it), n_ids, docs (doc_id of each document), counts (ids of each), control and data (bytes).
 Blocks follow each other in ascending doc_id order. Spark reads and writes them, wherever the folder is.
 """
 
@@ -18,15 +18,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from riskgrid.llm.sharding import rank_among
 from riskgrid.session import scratch_path
 
-BLOCK_IDS = 1 << 16
-PART_IDS = 1 << 22
-KEPT_RUNS = 250_000
+BLOCK_IDS, FIRST_ID = 1 << 16, -(1 << 63)
+PART_IDS, MOST_PARTS = 1 << 22, 10_000
+KEPT_RUNS, ASKED_RUNS = 300_000, 2_000
 
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
@@ -70,12 +72,27 @@ class Encoder:
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         drops = any(s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert") for s in steps)
         self.by_run = drops and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
+        self.marks = [t["content"] for t in spec["added_tokens"]]
+        self.mark = self.marks[0] if self.marks else ""
+        self.mark_id = spec["added_tokens"][0]["id"] if self.marks else -1
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def _ask(self, texts: list[str]) -> list[bytes]:
-        found = self.tool.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+        """Ids of each text. Texts are put to the library as one, a special token between two, and the ids cut there."""
+        if not self.by_run or not self.mark:
+            found = self.tool.encode_batch_fast(texts, add_special_tokens=False)
+            return [np.array(e.ids, self.dtype).tobytes() for e in found]
+        odd = {k: self.tool.encode(t, add_special_tokens=False).ids for k, t in enumerate(texts) if any(m in t for m in self.marks)}
+        line = self.mark.join(["" if k in odd else t for k, t in enumerate(texts)]) if odd else self.mark.join(texts)
+        ids = np.array(self.tool.encode_batch_fast([line], add_special_tokens=False)[0].ids, self.dtype)
+        ends = np.concatenate([np.flatnonzero(ids == self.mark_id), [len(ids)]])
+        size, raw = ids.itemsize, ids.tobytes()
+        stops = (ends * size).tolist()
+        found = [raw[a:b] for a, b in zip([0, *[e + size for e in stops[:-1]]], stops)]
+        for k, own in odd.items():
+            found[k] = np.array(own, self.dtype).tobytes()
+        return found
 
     def encode(self, texts: list[str], tail: bytes) -> list[bytes]:
         if not self.by_run:
@@ -83,14 +100,15 @@ class Encoder:
         runs = [t.encode("utf-8").split() for t in texts]
         new, old = self.new, self.old
         unknown = []
-        for raw in set().union(*runs):
-            if raw not in new:
-                found = old.get(raw)
-                if found is None:
-                    unknown.append(raw)
-                else:
-                    new[raw] = found
-        new.update(zip(unknown, self._ask([u.decode("utf-8") for u in unknown])))
+        for raw in set().union(*runs).difference(new):
+            found = old.get(raw)
+            if found is None:
+                unknown.append(raw)
+            else:
+                new[raw] = found
+        for at in range(0, len(unknown), ASKED_RUNS):
+            part = unknown[at : at + ASKED_RUNS]
+            new.update(zip(part, self._ask([u.decode("utf-8") for u in part])))
         coded = [b"".join([*map(new.__getitem__, r), tail]) for r in runs]
         if len(new) > KEPT_RUNS:
             self.old, self.new = ({} if len(new) > 2 * KEPT_RUNS else new), {}
@@ -102,11 +120,10 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _slices(batch: pa.RecordBatch, most: int = 200, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, most: int = 500, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of few rows and, unless one row has more, few bytes."""
-    lengths = np.array([len(x) if x is not None else 0 for x in batch.column(1).to_pylist()])
     at = total = 0
-    for i, n in enumerate(lengths):
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
         if i > at and (i - at >= most or total + n > most_bytes):
             yield batch.slice(at, i - at)
             at, total = i, 0
@@ -169,14 +186,18 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1
     known = spark.read.schema("rank int, id int, n long").parquet(f"{path}/ranks").collect()
     rank_of = np.zeros(size, np.uint32)
     rank_of[[r["id"] for r in known]] = [r["rank"] for r in known]
-    parts = max(1, sum(r["n"] for r in known) // part_ids)
+    parts = min(MOST_PARTS, max(1, sum(r["n"] for r in known) // part_ids))
+    order = F.coalesce("doc_id", F.lit(FIRST_ID))
+    shares = [k / parts for k in range(1, parts)]
+    cuts = coded.select(F.percentile_approx(order, shares, 20 * MOST_PARTS)).first()[0] if shares else []
+    cuts = sorted(set(cuts or []))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, block, docs_, held, n = TaskContext.get().partitionId(), 0, [], [], 0
+        part, block, docs_, held, n, at = TaskContext.get().partitionId(), 0, [], [], 0, 0
 
         def out() -> pa.RecordBatch:
             control, data = pack(rank_of[np.concatenate(held)])
-            row = [[part], [block], [n], [docs_], [[len(h) for h in held]], [control], [data]]
+            row = [[part], [block], [at], [n], [docs_], [[len(h) for h in held]], [control], [data]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, BLOCK_TYPES)], BLOCK_NAMES)
 
         for batch in batches:
@@ -184,50 +205,45 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1
                 ids = np.frombuffer(ids.as_py(), dtype)
                 if n and n + len(ids) > block_ids:
                     yield out()
-                    block, docs_, held, n = block + 1, [], [], 0
+                    block, docs_, held, at, n = block + 1, [], [], at + n, 0
                 docs_.append(doc)
                 held.append(ids)
                 n += len(ids)
         if held:
             yield out()
 
-    spread = coded.repartitionByRange(parts, "doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", F.xxhash64("ids"), "ids")
+    spread = coded.repartitionById(len(cuts) + 1, rank_among(cuts, order)).sortWithinPartitions("doc_id", F.xxhash64("ids"), "ids")
     spread.mapInArrow(blocks, BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
 
 
-BLOCK_SCHEMA = "part int, block int, n_ids long, docs array<long>, counts array<int>, control binary, data binary"
+BLOCK_SCHEMA = "part int, block int, at long, n_ids long, docs array<long>, counts array<int>, control binary, data binary"
 BLOCK_NAMES = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
-BLOCK_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+BLOCK_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start and ids (bytes: little-endian unsigned 32-bit) of each document of a token store.
 
-    `start` counts the ids of all documents before it. It is the sum over earlier parts, over earlier blocks of the
-    part, and over earlier documents of the block; only the sums by part meet in one task.
+    `start` counts the ids of all documents before it: those of earlier parts, of earlier blocks of the part (kept with
+    each block) and of earlier documents of the block. Only the sums by part are joined to the blocks; there are at
+    most 10,000 parts, which bounds what is broadcast. No shuffle.
     """
     known = spark.read.schema("rank int, id int").parquet(f"{path}/ranks").collect()
     id_of = np.zeros(max([1, *(r["rank"] + 1 for r in known)]), np.uint32)
     id_of[[r["rank"] for r in known]] = [r["id"] for r in known]
     stored = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
+    before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    by_part = stored.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", F.coalesce(before, F.lit(0)).alias("ahead"))
+    placed = stored.join(F.broadcast(by_part), "part").select((F.col("ahead") + F.col("at")).alias("first"), "n_ids", "docs", "counts", "control", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                part, block, n, docs, counts, control, data = (batch.column(i)[row].as_py() for i in range(7))
+                first, n, docs, counts, control, data = (batch.column(i)[row].as_py() for i in range(6))
                 ids = id_of[unpack(control, data, n)].astype("<u4")
                 ends = np.cumsum(counts)
                 starts = ends - counts
                 cut = [ids[a:b].tobytes() for a, b in zip(starts, ends)]
-                same = [pa.array(np.full(len(docs), x, np.int32)) for x in (part, block)]
-                yield pa.RecordBatch.from_arrays(
-                    [*same, pa.array(docs, pa.int64()), pa.array(starts.astype(np.int64)), pa.array(cut, pa.binary())],
-                    ["part", "block", "doc_id", "inside", "ids"],
-                )
-
-    decoded = stored.mapInArrow(run, "part int, block int, doc_id long, inside long, ids binary")
-    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    by_part = stored.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", before(Window.orderBy("part")).alias("ahead"))
-    by_block = stored.select("part", "block", before(Window.partitionBy("part").orderBy("block")).alias("earlier"))
-    offsets = by_block.join(by_part, "part").select("part", "block", (F.col("ahead") + F.col("earlier")).alias("offset"))
-    return decoded.join(offsets, ["part", "block"]).select("doc_id", (F.col("offset") + F.col("inside")).alias("start"), "ids")
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts + first), pa.array(cut, pa.binary())], ["doc_id", "start", "ids"])
+
+    return placed.mapInArrow(run, "doc_id long, start long, ids binary")
