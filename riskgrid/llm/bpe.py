@@ -17,7 +17,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
-from unicodedata import normalize
+from unicodedata import is_normalized, normalize
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# How the tokenizer file cuts words; a fixed value.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SIGNS = b".,;:!?*#$%&|()-+/"  # ASCII signs but for the apostrophe and what special tokens are made of
 START = 0  # the state before the first token
-KEPT_RUNS, KEPT_WORDS = 200_000, 150_000  # twice as many encodings are kept by a worker at most
+KEPT_RUNS, KEPT_WORDS = 400_000, 60_000  # twice as many encodings are kept by a worker at most
 LONG_WORD = 64  # bytes; longer words are not kept
 KEPT_ARCS = 400_000  # arcs that a worker keeps worked out
 
@@ -155,30 +158,51 @@ class Tokenizer:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        model = spec["model"]
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.end = model["end_of_word_suffix"] or ""
-        self.automaton = Automaton(model["vocab"], merges, self.end)
+        self.model = spec["model"]
+        self.end = self.model["end_of_word_suffix"] or ""
+        self.dtype = "<i4"
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
+        # Whether the pattern keeps letters together and other signs together, which short cuts stand on.
+        self.plain = split["pattern"]["Regex"] == WORD_PATTERN
         self.letters = byte_letters()
         self.letter_of = [self.letters[b] for b in range(256)]
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.runs, self.forms = Kept(self._run, KEPT_RUNS), Kept(self._word, KEPT_WORDS)
 
+    @cached_property
+    def raw_id(self) -> list[bytes]:
+        """The bytes of each id."""
+        return [i.tobytes() for i in np.arange(len(self.labels), dtype=self.dtype)]
+
+    @cached_property
+    def automaton(self) -> Automaton:
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in self.model["merges"]]
+        return Automaton(self.model["vocab"], merges, self.end)
+
     @cached_property
     def labels(self) -> list[str]:
-        found = {i: t for t, i in self.automaton.vocab.items()} | {i: t for t, i in self.special.items()}
+        found = {i: t for t, i in self.model["vocab"].items()} | {i: t for t, i in self.special.items()}
         return [found.get(i, "") for i in range(max(found) + 1)]
 
     def _run(self, raw: bytes) -> bytes:
-        """Ids, four bytes each, of a run without ASCII white space. No word crosses white space, so runs are encoded
+        """Ids, in bytes, of a run without ASCII white space. No word crosses white space, so runs are encoded
         one by one."""
+        # Letters, then signs without an apostrophe: two words, as the pattern would cut them.
+        letters = raw.rstrip(SIGNS)
+        if letters.isalpha() and self.plain:
+            if len(letters) < len(raw):
+                return self.runs[letters] + self.forms[raw[len(letters) :].decode()]
+            return self._word(letters.lower().decode())
         text, found = raw.decode("utf-8"), []
+        if self.plain and text.isalpha() and is_normalized("NFC", text):
+            small = text.replace("Σ", "σ").lower()
+            if small.isalpha():
+                return self.forms[small]
         for part in self.cut.split(text) if self.cut and "<|" in text else [text]:
             if part in self.special:
-                found.append(np.array([self.special[part]], "<i4").tobytes())
+                found.append(self.raw_id[self.special[part]])
                 continue
             # Letter by letter, so a final sigma is no special case.
             part = part.lower() if part.isascii() else normalize("NFC", part).replace("Σ", "σ").lower()
@@ -187,14 +211,20 @@ class Tokenizer:
 
     def _word(self, word: str) -> bytes:
         letters = word if word.isascii() and word.isprintable() else "".join([self.letter_of[b] for b in word.encode("utf-8")])
-        return np.array(self.automaton.encode(letters), "<i4").tobytes()
+        return b"".join(map(self.raw_id.__getitem__, self.tokens(letters)))
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """Ids of a whole text."""
+    def tokens(self, letters: str) -> list[int]:
+        return self.automaton.encode(letters)
+
+    def encode_bytes(self, text: str | None) -> bytes:
+        """Ids of a whole text, each in the bytes of `dtype`."""
         ids = b"".join(map(self.runs.__getitem__, text.encode("utf-8").split())) if text else b""
         self.runs.turn()
         self.forms.turn()
-        return np.frombuffer(ids, "<i4")
+        return ids
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return np.frombuffer(self.encode_bytes(text), self.dtype)
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the path, one space between two; special tokens are given out like the others."""

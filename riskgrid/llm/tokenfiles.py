@@ -23,12 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from riskgrid.llm import bpe
 from riskgrid.llm.sharding import rank_among
 from riskgrid.session import scratch_path
 
 BLOCK_IDS, FIRST_ID = 1 << 16, -(1 << 63)
 PART_IDS, MOST_PARTS = 1 << 22, 10_000
-KEPT_RUNS, ASKED_RUNS = 300_000, 2_000
 
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
@@ -55,8 +55,12 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 # ------------------------------------------------------------------ ids
 
 
-class Encoder:
-    """The tokenizers library, asked once for each run without white space that a worker has not at hand."""
+STEPS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], "BPE")
+
+
+class Encoder(bpe.Tokenizer):
+    """The tokenizers library. Where its file describes word-level BPE, texts are cut into words as in `bpe`, and the
+    library's model is asked once for each word that a worker has not at hand; else it gets whole texts."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -65,54 +69,24 @@ class Encoder:
         self.tool = Tokenizer.from_file(path)
         self.tool.no_padding()
         self.tool.no_truncation()
-        self.dtype = "<u2" if self.tool.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        # Where the pre-tokenizer drops white space and no special token takes any, runs are encoded on their own.
-        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        drops = any(s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert") for s in steps)
-        self.by_run = drops and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
-        self.marks = [t["content"] for t in spec["added_tokens"]]
-        self.mark = self.marks[0] if self.marks else ""
-        self.mark_id = spec["added_tokens"][0]["id"] if self.marks else -1
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. Texts are put to the library as one, a special token between two, and the ids cut there."""
-        if not self.by_run or not self.mark:
-            found = self.tool.encode_batch_fast(texts, add_special_tokens=False)
-            return [np.array(e.ids, self.dtype).tobytes() for e in found]
-        odd = {k: self.tool.encode(t, add_special_tokens=False).ids for k, t in enumerate(texts) if any(m in t for m in self.marks)}
-        line = self.mark.join(["" if k in odd else t for k, t in enumerate(texts)]) if odd else self.mark.join(texts)
-        ids = np.array(self.tool.encode_batch_fast([line], add_special_tokens=False)[0].ids, self.dtype)
-        ends = np.concatenate([np.flatnonzero(ids == self.mark_id), [len(ids)]])
-        size, raw = ids.itemsize, ids.tobytes()
-        stops = (ends * size).tolist()
-        found = [raw[a:b] for a, b in zip([0, *[e + size for e in stops[:-1]]], stops)]
-        for k, own in odd.items():
-            found[k] = np.array(own, self.dtype).tobytes()
-        return found
-
-    def encode(self, texts: list[str], tail: bytes) -> list[bytes]:
-        if not self.by_run:
-            return [x + tail for x in self._ask(texts)]
-        runs = [t.encode("utf-8").split() for t in texts]
-        new, old = self.new, self.old
-        unknown = []
-        for raw in set().union(*runs).difference(new):
-            found = old.get(raw)
-            if found is None:
-                unknown.append(raw)
-            else:
-                new[raw] = found
-        for at in range(0, len(unknown), ASKED_RUNS):
-            part = unknown[at : at + ASKED_RUNS]
-            new.update(zip(part, self._ask([u.decode("utf-8") for u in part])))
-        coded = [b"".join([*map(new.__getitem__, r), tail]) for r in runs]
-        if len(new) > KEPT_RUNS:
-            self.old, self.new = ({} if len(new) > 2 * KEPT_RUNS else new), {}
-        return coded
+        kinds = lambda part, many: [x["type"] for x in (spec.get(part) or {}).get(many, [])]
+        plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
+        self.by_word = plain and (kinds("normalizer", "normalizers"), kinds("pre_tokenizer", "pretokenizers"), spec["model"]["type"]) == STEPS
+        if self.by_word:
+            super().__init__(path)
+        self.library = self.tool.model
+        self.dtype = "<u2" if self.tool.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+
+    def tokens(self, letters: str) -> list[int]:
+        return [t.id for t in self.library.tokenize(letters)]
+
+    def encode_texts(self, texts: list[str], tail: bytes) -> list[bytes]:
+        if self.by_word:
+            return [self.encode_bytes(t) + tail for t in texts]
+        found = self.tool.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, self.dtype).tobytes() + tail for e in found]
 
 
 @lru_cache(maxsize=2)
@@ -140,7 +114,7 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         tail = np.array([end_id], tool.dtype).tobytes()
         for batch in batches:
             for part in _slices(batch):
-                coded = tool.encode([t or "" for t in part.column(1).to_pylist()], tail)
+                coded = tool.encode_texts([t or "" for t in part.column(1).to_pylist()], tail)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(coded, pa.binary())], ["doc_id", "ids"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
