@@ -67,8 +67,9 @@ def place_in_buckets(
     """
     is_date = dict(counts.dtypes)[order] == "date"
     numeric = F.unix_date(order) if is_date else F.col(order)
-    shares = ", ".join(f"{i / buckets}D" for i in range(1, buckets))  # one parsed constant
-    edges = F.expr(f"percentile_approx({'unix_date' if is_date else ''}(`{order}`), array({shares}), {10 * max(buckets, 1000)})")
+    # One constant: as that many literals the plan would be slow to analyse.
+    shares = ",".join(str(i / buckets) for i in range(1, buckets)) or "0.5"
+    edges = F.expr(f"percentile_approx({'unix_date' if is_date else ''}(`{order}`), cast(split('{shares}', ',') AS array<double>), {10 * max(buckets, 1000)})")
     group = counts.groupBy(*by).agg(
         edges.alias("_all_edges"),
         F.ceil(F.count(F.lit(1)) / F.lit(rows_per_bucket)).alias("_wanted"),
