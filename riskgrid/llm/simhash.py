@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskgrid.llm.common import components
@@ -29,6 +29,14 @@ WIDTHS = (22, 21, 21)
 GENERATOR = 0b101011100011  # of the [23, 12, 7] Golay code, a fixed value
 SLICE = 1 << 16  # shingles whose bits are unpacked at once
 
+# The near-dedup stage: sets of five-word shingles, Jaccard similarity of 0.8 or more.
+STAGE_SHINGLE, STAGE_LEAST = 5, 0.8
+BANDS, ROWS = 24, 5
+MIX = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+STAGE_SLICE = 500  # documents whose sets are held at once
+CROWD = 64  # nodes of one band key that all meet each other
+
 
 # ------------------------------------------------------------------ fingerprints
 
@@ -171,13 +179,134 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, seed: int = SEED) -> Data
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+# ------------------------------------------------------------------ the near-dedup stage
+
+
+def signature(hashes: np.ndarray) -> tuple[int, np.ndarray]:
+    """A name for the set of `hashes`, and one key for each band of its least values under as many mixings as needed."""
+    held = np.unique(hashes)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(held), 2000):
+        mixed = held[None, at : at + 2000] * MIX[:, None]
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= FACTOR
+        np.minimum(least, mixed.min(1), out=least)
+    octets = least.tobytes()
+    keys = [xxhash.xxh64_intdigest(octets[8 * ROWS * n : 8 * ROWS * (n + 1)], n) for n in range(BANDS)]
+    return xxhash.xxh64_intdigest(held.tobytes(), SEED), np.array(keys, np.uint64)
+
+
+def _row_hash(docs: DataFrame) -> Column:
+    """Hash of the whole row; a null is told from a value."""
+    return F.xxhash64(*[c for name in docs.columns for c in (F.col(f"`{name}`").isNull(), F.col(f"`{name}`"))])
+
+
+def _signed(docs: DataFrame) -> DataFrame:
+    """doc_id, row, node (names a set of shingles), fp and keys (of its bands) of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, STAGE_SLICE):
+                part = batch.slice(at, STAGE_SLICE)
+                nodes, prints, keys = [], [], []
+                for t in part.column(2):
+                    hashes = shingle_hashes(t.as_py(), STAGE_SHINGLE)
+                    node, bands = signature(hashes)
+                    nodes.append(node)
+                    prints.append(fingerprint(hashes))
+                    keys.append(bands.view(np.int64))
+                nodes, prints = (pa.array(np.array(v, np.uint64).view(np.int64)) for v in (nodes, prints))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), nodes, prints, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row", "node", "fp", "keys"]
+                )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_hash(docs).alias("row"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, row long, node long, fp long, keys array<long>")
+
+
+def _sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node and held (its sorted shingle hashes) of each node of `pairs`, made from one document that has it."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    first = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("r"))
+    first = first.select(F.col("r.doc_id").alias("doc_id"), F.col("r.row").alias("row"), "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), _row_hash(docs).alias("_row"), F.col("text").cast("string").alias("_text"))
+    texts = texts.join(first, (F.col("_row") == F.col("row")) & F.col("_id").eqNullSafe(F.col("doc_id"))).select("node", "_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, STAGE_SLICE):
+                part = batch.slice(at, STAGE_SLICE)
+                held = [np.unique(shingle_hashes(t.as_py(), STAGE_SHINGLE)).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held, pa.list_(pa.int64()))], ["node", "held"])
+
+    # A row that comes several times gives its set several times.
+    return texts.mapInArrow(run, "node long, held array<long>").dropDuplicates(["node"])
+
+
+def similar(docs: DataFrame, rows: DataFrame, pairs: DataFrame, least: float = STAGE_LEAST) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of `least` or more, exactly."""
+    sets = materialize(_sets(docs, rows, pairs), "simhash-sets")
+    one = sets.select(F.col("node").alias("a"), F.col("held").alias("x"))
+    two = sets.select(F.col("node").alias("b"), F.col("held").alias("y"))
+    m, n, shared = F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y"))
+    near = (F.least(m, n) >= F.lit(least) * F.greatest(m, n)) & (shared >= F.lit(least) * (m + n - shared))
+    return pairs.join(one, "a").join(two, "b").where(near).select("a", "b")
+
+
+def _met(nodes: DataFrame) -> DataFrame:
+    """key, node, rep (the smallest node of the key) and n for each band key that several nodes have."""
+    keyed = nodes.select(F.explode("keys").alias("key"), "node")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    return keyed.join(shared, "key")
+
+
+def _met_apart(met: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that share a band key, or whose fingerprints are near, and that links do not join yet."""
+    rooted = met.join(roots, "node")
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("_l"), F.max("root").alias("_h")).where("_l < _h").select("key")
+    parted = rooted.join(open_, "key").withColumn("part", F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("n") / CROWD)))
+    left, right = (parted.select("key", "part", F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
+    bands = left.join(right.hint("merge"), ["key", "part"]).where("a < b AND root_a <> root_b").select("a", "b")
+    # Every fingerprint stands for its smallest node, which the other nodes with that fingerprint meet too.
+    prints = materialize(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "simhash-prints")
+    same = nodes.join(prints, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    near = links(prints).join(prints.select(F.col("fp").alias("a"), F.col("rep").alias("_a")), "a")
+    near = near.join(prints.select(F.col("fp").alias("b"), F.col("rep").alias("_b")), "b")
+    near = near.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).unionByName(same)
+    root_a, root_b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
+    near = near.join(root_a, "a").join(root_b, "b").where("root_a <> root_b").select("a", "b")
+    return bands.unionByName(near).distinct()
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, row (hash of the row) and root (names the group) of each row of (doc_id, text, ...).
+
+    Two documents link where their sets of five-word shingles have a Jaccard similarity of 0.8 or more; groups are what
+    links reach. Every link is checked on the sets themselves. To be checked, two sets must meet: by one of 24 bands of
+    five least hashes (at 0.8 all bands miss 7 pairs in 100,000, fewer above) or by fingerprints of three or fewer
+    differing bits. Equal sets are one node. All nodes of a band key meet the smallest one; then those not yet joined
+    meet each other, in random parts of about 64 where more share the key.
+    """
+    rows = materialize(_signed(docs), "simhash-rows")
+    nodes = materialize(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("keys").alias("keys")), "simhash-nodes")
+    met = materialize(_met(nodes), "simhash-met")
+    tried = materialize(met.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct(), "simhash-tried")
+    linked = materialize(similar(docs, rows, tried), "simhash-linked")
+    roots = materialize(components(nodes.select("node"), linked, "simhash"), "simhash-roots")
+    more = materialize(_met_apart(met, nodes, roots).join(tried, ["a", "b"], "left_anti"), "simhash-more")
+    if more.take(1):
+        linked = linked.unionByName(similar(docs, rows, more))
+        roots = materialize(components(nodes.select("node"), linked, "simhash"), "simhash-roots")
+    return rows.select("doc_id", "row", "node").join(roots, "node").select("doc_id", "row", "root")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` without near-duplicates: of each component, the row with the smallest doc_id.
+    """The rows of `docs` without near-duplicates: of each group of `near_copies`, the row with the smallest doc_id.
 
     Rows that share that doc_id are one row then. All columns are kept; only doc_id and text are looked at.
     """
-    found = materialize(near_duplicates(docs), "simhash-found")
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("_kept")).distinct()
+    found = materialize(near_copies(docs), "simhash-found")
+    first = found.groupBy("root").agg(F.min("doc_id").alias("_kept")).select("_kept").distinct()
     kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
     repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id"]) if repeated else kept

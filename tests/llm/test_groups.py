@@ -1,6 +1,7 @@
 """SimHash groups and edit fingerprints against brute force."""
 
 import hashlib
+import random
 from itertools import combinations
 
 import numpy as np
@@ -151,3 +152,37 @@ def test_near_groups(spark):
     prints = editprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))
     got = {r["doc_id"]: r["class_id"] for r in editprint.near_groups(prints).collect()}
     assert got == {**{s: s for s in range(5)}, **{10 + s: s for s in range(5)}, 20: 0, 30: 30, 31: 30}
+
+
+def planted(n_words, similarity, seed):
+    """A text and a copy with words replaced at even places, until five-word shingles are so similar or just above."""
+    rng = random.Random(seed)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(n_words)]
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    copy, own = list(words), shingles(words)
+    for at in rng.sample(range(n_words), n_words):
+        changed = copy[:at] + [f"x{rng.randrange(10**6)}"] + copy[at + 1 :]
+        other = shingles(changed)
+        if len(own & other) >= similarity * len(own | other):
+            copy = changed
+    return " ".join(words), " ".join(copy)
+
+
+def test_stage_finds_planted_copies(spark):
+    kinds = [(n, s, k) for n in (60, 100, 300) for s in (0.8, 0.85, 0.9, 0.95) for k in range(5)]
+    rows = [t for i, kind in enumerate(kinds) for t in zip((2 * i, 2 * i + 1), planted(*kind[:2], i))]
+    # Half alike: not near copies.
+    apart = [t for i in range(20) for t in zip((1000 + 2 * i, 1001 + 2 * i), planted(200, 0.6, 500 + i))]
+    kept = simhash.keep_one(spark.createDataFrame(rows + apart, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] < 1000) == [2 * i for i in range(len(kinds))]
+    assert len([r for r in kept if r["doc_id"] >= 1000]) == len(apart)
+
+
+def test_stage_as_brute_force(documents):
+    def shingles(text):
+        words = (text or "").encode().lower().split()
+        return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+
+    sets = {r["doc_id"]: shingles(r["text"]) for r in documents.collect()}
+    want = plain_groups(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    assert sorted(r["doc_id"] for r in simhash.keep_one(documents).collect()) == sorted(set(want.values()))
