@@ -301,12 +301,16 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` without near-duplicates: of each group of `near_copies`, the row with the smallest doc_id.
+    """The rows of `docs` without near-duplicates: one row of each group of `near_copies`, all columns kept.
 
-    Rows that share that doc_id are one row then. All columns are kept; only doc_id and text are looked at.
+    Of a group it is the row with the smallest doc_id (null last), then the smallest hash of all columns, whatever
+    other groups have that doc_id. A row that comes several times in all columns is one row then.
     """
     found = materialize(near_copies(docs), "simhash-found")
-    first = found.groupBy("root").agg(F.min("doc_id").alias("_kept")).select("_kept").distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("r"))
+    first = least.select(F.col("r.doc_id").alias("_kept"), F.col("r.row").alias("_kept_row"))
+    named = docs.withColumn("_row", _row_hash(docs))
+    kept = named.join(first, (F.col("_row") == F.col("_kept_row")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    repeated = found.groupBy("doc_id", "row").count().where("count > 1").limit(1).count()
+    kept = kept.dropDuplicates(["doc_id", "_row"]) if repeated else kept
+    return kept.select(*[F.col(f"`{name}`") for name in docs.columns])

@@ -186,3 +186,17 @@ def test_stage_as_brute_force(documents):
     sets = {r["doc_id"]: shingles(r["text"]) for r in documents.collect()}
     want = plain_groups(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
     assert sorted(r["doc_id"] for r in simhash.keep_one(documents).collect()) == sorted(set(want.values()))
+
+
+def test_stage_keeps_a_row_of_each_group_whatever_the_ids(spark):
+    texts = [" ".join(f"w{k}_{n}" for n in range(40)) for k in range(6)]
+    near = [t + " more" for t in texts]
+    rows = [(None, texts[0]), (None, texts[1]), (None, near[1]), (7, texts[2]), (7, texts[3]), (7, near[3])]
+    # One id in two groups, the smaller one in the first alone; the null id comes last; the same row twice.
+    rows += [(1, texts[4]), (7, near[4]), (None, texts[5]), (9, near[5]), (None, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {t: k for k in range(6) for t in (texts[k], near[k])}
+    kept = [sorted(map(tuple, simhash.keep_one(d).collect()), key=str) for d in (docs, docs.repartition(5), docs.orderBy(F.desc("text")))]
+    assert kept[0] == kept[1] == kept[2]
+    assert sorted((groups[t], d) for d, t in kept[0] if d is not None) == [(2, 7), (3, 7), (4, 1), (5, 9)]
+    assert sorted(groups[t] for d, t in kept[0] if d is None) == [0, 1]
