@@ -176,6 +176,23 @@ def test_rules():
     assert all(re.compile(r["pattern"].replace("(?<=^| )", "")) for r in rules)
 
 
+def test_rules_find_their_texts(spark):
+    rules = [r for r in licenses.rules() if r["sample"]]
+    assert {r["form"] for r in rules} == {"notice", "identifier", "body"}
+    texts = [(r["id"], r["sample"]) for r in rules]
+    more = {
+        9000: ("SPDX-License-Identifier: MIT", {"mit"}),
+        9001: ("SPDX-License-Identifier: MIT OR Apache-2.0", {"mit", "apache-2.0"}),
+        9002: ("Licensed under MIT", {"mit"}),
+        9003: ("it comes under the GPL", {"gpl"}),
+        9004: ("a course under MIT teachers, an apache tribe, a vim of her own", set()),
+    }
+    docs = spark.createDataFrame(texts + [(k, v[0]) for k, v in more.items()], "doc_id long, text string")
+    got = {r["doc_id"]: {d["label"] for d in r["detections"]} for r in licenses.scan(docs).collect()}
+    assert not [(r["sample"], r["label"], got[r["id"]]) for r in rules if r["label"] not in got[r["id"]]]
+    assert {k: got[k] for k in more} == {k: v[1] for k, v in more.items()}
+
+
 def test_scan_of_nothing(nothing):
     assert licenses.scan(nothing).count() == 0
 
