@@ -19,7 +19,8 @@ from riskgrid.operators.ranking import (
     _attach,
     add_running_totals,
     place_in_buckets,
-    quantiles,
+    quantiles_of_counts,
+    value_counts,
 )
 from riskgrid.session import materialize
 
@@ -37,20 +38,19 @@ def reliability_table(
     Bins are closed on the right, the lowest also on the left; equal edges
     merge.  `bin` counts from 1.  With `weight`, a row stands for that many
     rows of which `label` are positive.  Rows without a score count nowhere.
+    Rows are read once, to be counted per score; the rest works on the counts.
     """
-    df = df.filter(F.col(score).isNotNull())
-    probs = [i / n_bins for i in range(n_bins + 1)]
-    edges = quantiles(df, score, probs, by, weight).withColumn("q", F.array_distinct("q"))
+    counts = materialize(value_counts(df, score, {"_positives": F.col(label)}, by, weight), "reliability-counts")
+    edges = quantiles_of_counts(counts, score, [i / n_bins for i in range(n_bins + 1)], by).withColumn("q", F.array_distinct("q"))
     below = F.size(F.filter("q", lambda e: e < F.col(score)))
-    n = F.lit(1) if weight is None else F.col(weight)
     return (
-        _attach(df.select(*by, label, score, *([weight] if weight else [])), edges, by)
+        _attach(counts, edges, by)
         .withColumn("bin", F.greatest(below, F.lit(1)))
         .groupBy(*by, "bin")
         .agg(
-            F.sum(n).alias("count"),
-            (F.sum(F.col(score) * n) / F.sum(n)).alias("mean_predicted"),
-            (F.sum(label) / F.sum(n)).alias("observed_rate"),
+            F.sum("n").alias("count"),
+            (F.sum(F.col(score) * F.col("n")) / F.sum("n")).alias("mean_predicted"),
+            (F.sum("_positives") / F.sum("n")).alias("observed_rate"),
         )
     )
 

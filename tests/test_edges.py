@@ -77,7 +77,7 @@ def test_many_buckets_change_nothing(spark):
     placed = ranking.place_in_buckets(counts, "score", ["n"], rows_per_bucket=10)
     sizes = placed.groupBy("_bucket").count()
     assert sizes.count() > 1000 and sizes.agg(F.max("count")).first()[0] < 100
-    ladder = ranking.running_totals(counts, "score", ["n"], rows_per_bucket=10)
+    ladder = ranking.running_totals(counts, "score", ["n"], values_per_cell=10)
     assert ladder.filter(F.round(F.col("score") * 3e4) != F.col("n_before")).count() == 0
 
 

@@ -41,7 +41,7 @@ def _auc(y, s):
 @pytest.mark.parametrize("steps, hot", [(None, None), (50, None), (50, 0.0), (None, 0.5)])
 def test_rank_metrics_against_brute_force(spark, monkeypatch, steps, hot):
     monkeypatch.setattr(ranking.place_in_buckets, "__defaults__", ((), 16, 50))  # many buckets on few rows
-    monkeypatch.setattr(ranking.running_totals, "__defaults__", ((), False, 16, 50))
+    monkeypatch.setattr(ranking.running_totals, "__defaults__", ((), False, 16, None, False))
     y, s = _sample(1500, 7, steps, hot)
     df = _scores(spark, y, s)
     assert metrics.average_precision(df).first()[0] == pytest.approx(_average_precision(y, s))
@@ -64,7 +64,7 @@ def test_quantiles_against_numpy(spark, hot):
 
 def test_running_totals_with_more_values_than_buckets(spark):
     df = spark.range(5000).select(F.col("id").alias("v"), (F.col("id") % 7).alias("n"))
-    got = {r.v: r.n_before for r in ranking.running_totals(df, "v", ["n"], buckets=16, rows_per_bucket=100).collect()}
+    got = {r.v: r.n_before for r in ranking.running_totals(df, "v", ["n"], values_per_cell=100).collect()}
     expected = np.concatenate([[0], np.cumsum(np.arange(5000) % 7)])[:-1]
     assert all(got[i] == expected[i] for i in range(5000))
 
