@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskgrid.functions import constants as K
 from riskgrid.functions import geo
-from riskgrid.session import materialize
+from riskgrid.operators.quadtree import METRICS, nearest_point  # noqa: F401  (part of what a grid offers)
 
 
 def assign_cell_ids(
@@ -54,119 +54,6 @@ def explode_neighbors(df: DataFrame, cell_col: str = "cell_id", out_col: str = "
     return df.withColumn(out_col, F.explode(geo.moore_neighbor_ids(F.col(cell_col))))
 
 
-def _planar(lat: Column, lon: Column, p_lat: Column, p_lon: Column) -> Column:
-    apart = F.abs(lon - p_lon)
-    apart = F.least(apart, F.lit(360.0) - apart)  # the short way round
-    return (lat - p_lat) * (lat - p_lat) + apart * apart
-
-
-def _planar_reach(lat: Column, size: float) -> Column:
-    return F.lit(size * size)
-
-
-def _great_circle_reach(lat: Column, size: float) -> Column:
-    """Distance below which nothing outside the 3 x 3 block of tiles can lie."""
-    step = math.radians(min(size, 89.0))
-    across = F.asin(F.cos(F.radians(F.abs(lat))) * math.sin(step))
-    return F.least(F.lit(step), across) * geo.EARTH_RADIUS_KM * 0.999
-
-
-METRICS = {
-    "planar": (_planar, _planar_reach),
-    "great_circle": (geo.haversine_km, _great_circle_reach),
-}
-
-
-POINTS_PER_SALT = 2000
-
-
-def _best_in_block(places: DataFrame, points: DataFrame, key: str, size: float, distance) -> DataFrame:
-    """Nearest point among the 3 x 3 tiles around each place, if there is any.
-
-    Tiles go round the globe.  A tile's points are spread over as many sub-keys
-    as their number calls for, and tiles without points are not asked, so
-    neither a dense nor an empty region costs more than it holds; the minimum
-    is combined before the shuffle.
-    """
-    across = max(1, round(360.0 / size))
-
-    def row(c: Column) -> Column:
-        return F.floor(c / F.lit(size)).cast("int")
-
-    def column(c: Column) -> Column:
-        return F.pmod(F.floor((c + 180.0) / F.lit(size)).cast("int"), F.lit(across))
-
-    around = F.array_distinct(
-        F.array(
-            *[
-                F.struct((row(F.col("latitude")) + r).alias("t_row"), F.pmod(column(F.col("longitude")) + c, F.lit(across)).alias("t_col"))
-                for r in (-1, 0, 1)
-                for c in (-1, 0, 1)
-            ]
-        )
-    )
-    tiled = points.withColumns({"t_row": row(F.col("p_lat")), "t_col": column(F.col("p_lon"))})
-    sizes = tiled.groupBy("t_row", "t_col").agg(F.ceil(F.count(F.lit(1)) / POINTS_PER_SALT).cast("int").alias("salts"))
-    salted = tiled.join(sizes, ["t_row", "t_col"]).withColumn("salt", F.pmod(F.hash("p_lat", "p_lon"), F.col("salts")))
-    asked = (
-        places.withColumn("t", F.explode(around))
-        .select(key, "latitude", "longitude", "t.*")
-        .join(sizes, ["t_row", "t_col"])
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        .drop("salts")
-    )
-    ranked = F.struct(
-        distance(F.col("latitude"), F.col("longitude"), F.col("p_lat"), F.col("p_lon")).alias("d"),
-        (-F.col("p_lat")).alias("south"),
-        F.col("p_lon").alias("lon"),
-        F.col("p_id").alias("id"),
-    )
-    best = asked.join(salted.drop("salts"), ["t_row", "t_col", "salt"]).groupBy(key, "latitude", "longitude").agg(F.min(ranked).alias("best"))
-    return places.join(best, [key, "latitude", "longitude"], "left")
-
-
-def nearest_point(
-    places: DataFrame,
-    points: DataFrame,
-    key: str = "cell_id",
-    metric: str = "planar",
-    tile_degrees: tuple[float, ...] = (0.5, 2.0, 10.0, 40.0, 360.0),
-    carry: str | None = None,
-) -> DataFrame:
-    """The nearest of `points` for each row of `places`, exactly, by tile joins.
-
-    A place is settled in a round when its best candidate is nearer than
-    anything outside the searched block could be; the rest go on to a larger
-    tile, and no round is made without any.  Sizes must divide 360; the last
-    tile covers the globe, so every place is settled.  Ties go to the
-    northernmost, then the westernmost point.  Returns key, p_lat, p_lon,
-    distance and, with `carry`, the smallest value of that column at the point.
-    """
-    distance, reach = METRICS[metric]
-    at = [F.col("latitude").alias("p_lat"), F.col("longitude").alias("p_lon")]
-    points = points.groupBy(*at).agg((F.min(carry) if carry else F.lit(None).cast("string")).alias("p_id"))
-    points = materialize(points, "nearest-points")
-    pending = places.select(key, "latitude", "longitude").filter("latitude IS NOT NULL AND longitude IS NOT NULL").distinct()
-    settled = None
-    for round_no, size in enumerate(tile_degrees):
-        found = _best_in_block(pending, points, key, size, distance)
-        if round_no < len(tile_degrees) - 1:
-            sure = F.coalesce(F.col("best.d") <= reach(F.col("latitude"), size), F.lit(False))
-            found = materialize(found.withColumn("sure", sure), "nearest-round")
-            pending = found.filter(~F.col("sure")).select(key, "latitude", "longitude")
-            found = found.filter("sure").drop("sure")
-        settled = found if settled is None else settled.unionByName(found)
-        if round_no < len(tile_degrees) - 1 and not pending.take(1):
-            break
-    return settled.select(
-        key,
-        (-F.col("best.south")).alias("p_lat"),
-        F.col("best.lon").alias("p_lon"),
-        F.col("best.d").alias("distance"),
-        *([F.col("best.id").alias(carry)] if carry else []),
-    )
-
-
 def nearest_cell(
     places: DataFrame,
     cells: DataFrame,
