@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from riskgrid.functions import constants as K
 from riskgrid.functions import weather_math as wm
+from riskgrid.functions.geo import moore_neighbor_ids
 from riskgrid.operators.grid import explode_neighbors
 
 
@@ -115,6 +116,7 @@ def add_neighbor_fire_features(
     cell_col: str = "cell_id",
     date_col: str = "date",
     ignitions: DataFrame | None = None,
+    mark: bool = False,
 ) -> DataFrame:
     """Trailing neighbour counts on a dense panel; NULL on the first N dates.
 
@@ -122,33 +124,35 @@ def add_neighbor_fire_features(
     put beside the panel rows of the same cell; a range window over the days
     before then adds them up.  That takes the exchange and the sort that the
     other per-cell windows need anyway, and no join.  `ignitions` (the panel's
-    own positives) saves a pass over the panel where the caller has them.
+    own positives) saves a pass over the panel where the caller has them; with
+    `mark` they also set the panel's label, in the same way.
     """
     fires = df.filter(F.col(label_col) == 1) if ignitions is None else ignitions
-    near = (
-        explode_neighbors(fires.select(cell_col, date_col).distinct(), cell_col, "_to")
-        .groupBy(F.col("_to").alias(cell_col), date_col)
-        .agg(F.count(F.lit(1)).alias("_near"))
-        .withColumn("_panel", F.lit(False))
-    )
-    both = df.withColumns({"_near": F.lit(0).cast("long"), "_panel": F.lit(True)}).unionByName(near, allowMissingColumns=True)
+    fires = fires.select(cell_col, date_col).distinct()
+    to = F.transform(moore_neighbor_ids(F.col(cell_col)), lambda c: F.struct(c.alias("_to"), F.lit(1).alias("_near"), F.lit(0).alias("_own")))
+    if mark:
+        to = F.concat(to, F.array(F.struct(F.col(cell_col).alias("_to"), F.lit(0).alias("_near"), F.lit(1).alias("_own"))))
+    near = fires.select(date_col, F.inline(to)).withColumnRenamed("_to", cell_col)
+    near = near.groupBy(cell_col, date_col).agg(F.sum("_near").alias("_near"), F.max("_own").alias("_own")).withColumn("_panel", F.lit(False))
+    panel = df.withColumns({"_near": F.lit(0).cast("long"), "_own": F.lit(0), "_panel": F.lit(True)})
+    both = panel.unionByName(near, allowMissingColumns=True)
     w = _per_cell(cell_col, date_col)
 
-    def days_before(n: int) -> str:
-        span = f"PARTITION BY `{cell_col}` ORDER BY `{date_col}` RANGE BETWEEN {n} PRECEDING AND 1 PRECEDING"
-        return f"cast(coalesce(sum(_near) OVER ({span}), 0) AS double)"
+    def days(what: str, first: str, last: str) -> str:
+        return f"{what} OVER (PARTITION BY `{cell_col}` ORDER BY `{date_col}` RANGE BETWEEN {first} AND {last})"
 
     first = F.min(F.when(F.col("_panel"), F.col(date_col))).over(w.rowsBetween(Window.unboundedPreceding, 0))
     counted = both.withColumns(
         {
             "_first": first,
-            **{f"_near_{n}": F.expr(days_before(n)) for n in windows},
+            **{f"_near_{n}": F.expr(f"cast(coalesce({days('sum(_near)', f'{n} PRECEDING', '1 PRECEDING')}, 0) AS double)") for n in windows},
+            **({label_col: F.expr(days("max(_own)", "CURRENT ROW", "CURRENT ROW"))} if mark else {}),
         }
     ).filter("_panel")
     day = F.datediff(date_col, "_first")
     return counted.withColumns(
         {f"neighbor_fire_count_{n}d": F.when(day >= n, F.col(f"_near_{n}")) for n in windows}
-    ).drop("_near", "_panel", "_first", *[f"_near_{n}" for n in windows])
+    ).drop("_near", "_own", "_panel", "_first", *[f"_near_{n}" for n in windows])
 
 
 def add_date_index(df: DataFrame, out_col: str = "day_index", date_col: str = "date") -> DataFrame:

@@ -165,3 +165,34 @@ def test_overlaps_are_found_once(spark):
     polygons = spark.createDataFrame(boxes, "code string, min_lat double, max_lat double, min_lon double, max_lon double")
     got = sorted((r.cell_id, r.code) for r in terrain.overlap_join(cells, polygons).collect())
     assert got == [("a", "big"), ("a", "touch"), ("b", "big")]
+
+
+def test_codes_do_not_depend_on_how_rows_are_held_together(spark, monkeypatch):
+    """Few rows at a time, rows in any order, cells without an id, and a filter above: the same codes."""
+    from riskgrid.operators import codes as module
+
+    panel = _panel(spark, "2019-02-20", "2020-03-10", **{f"{k}_1": MILD for k in range(7)}).unionByName(
+        _panel(spark, "2019-02-20", "2020-03-10", **{"x": MILD}).withColumn("cell_id", F.lit(None).cast("string"))
+    )
+    want = {(r.cell_id, r.date): (r.ffmc, r.dmc, r.fwi) for r in compute_codes(panel.orderBy(F.rand(3))).collect()}
+    whole = compute_codes(panel).filter("date >= '2020-03-01'").collect()
+    assert len(want) == panel.count() and len(whole) == 8 * 10
+    assert all(want[r.cell_id, r.date] == (r.ffmc, r.dmc, r.fwi) for r in whole)
+    assert all((v[0] is None) == (str(k[1]) < "2019-03-01") for k, v in want.items())
+
+    def few():
+        rows = panel.orderBy("cell_id", "date").toArrow().combine_chunks()
+        season = [d.year - (d.month < 3) for d in rows["date"].to_pylist()]
+        import datetime as dt
+
+        import pyarrow as pa
+
+        days = [(d - dt.date(s, 3, 1)).days for d, s in zip(rows["date"].to_pylist(), season)]
+        columns = [rows["cell_id"].combine_chunks(), pa.array(season), pa.array(days), pa.array([d.month for d in rows["date"].to_pylist()])]
+        columns += [pa.array([50.0] * len(rows))] + [pa.array([v] * len(rows)) for v in (20.0, 40.0, 10.0, 0.0)]
+        return [tuple(c.slice(i, 100) for c in columns) for i in range(0, len(rows), 100)]
+
+    at_once = [x for part in module._step_in_order(iter(few())) for x in part.to_pylist()]
+    monkeypatch.setattr(module, "ROWS_TOGETHER", 150)
+    by_cell = [x for part in module._step_in_order(iter(few())) for x in part.to_pylist()]
+    assert at_once == by_cell and len(by_cell) == panel.count()
