@@ -10,15 +10,16 @@ import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskgrid.operators.ranking import (
+    BUCKETS,
     ROWS_PER_BUCKET,
     _attach,
     add_running_totals,
-    place_in_buckets,
+    dealt_in_buckets,
     quantiles_of_counts,
     value_counts,
 )
@@ -84,8 +85,46 @@ def fit_isotonic(df: DataFrame, label: str = "label", score: str = "score") -> I
 
 
 def _isotonic_from_counts(counts: DataFrame, score: str) -> IsotonicRegressionModel:
-    rates = counts.select(score, (F.col("pos") / F.col("n")).alias("rate"), F.col("n").cast("double").alias("n"))
-    return IsotonicRegression(featuresCol=score, labelCol="rate", weightCol="n").fit(rates)
+    return _isotonic_from_knots(isotonic_knots(counts, score=score), score)
+
+
+def _isotonic_from_knots(knots: DataFrame, score: str) -> IsotonicRegressionModel:
+    """The model of a curve that is monotone already: there is nothing left to pool."""
+    ends = F.array(F.struct(F.col("first").alias(score), "rate", "weight"), F.struct(F.col("last").alias(score), "rate", "weight"))
+    rows = knots.select(F.inline(F.array_distinct(ends)))
+    return IsotonicRegression(featuresCol=score, labelCol="rate", weightCol="weight").fit(rows)
+
+
+def isotonic_knots(
+    counts: DataFrame, by: Sequence[str] = (), score: str = "score", buckets: int = BUCKETS, rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
+    """The blocks of the isotonic fit to `n` rows and `pos` positives per distinct
+    score: `first` and `last` score, `rate`, `weight`; for each group.
+
+    Pooling adjacent violators gives the slopes of the lower hull of cumulative
+    positives over cumulative rows.  Each bucket of scores is pooled to the
+    vertices of its own hull, and buckets are then merged sixteen by sixteen: what
+    a task holds are vertices only, and none of it passes the driver.
+    """
+    group = list(by) or ["_all"]
+    if not by:
+        counts = counts.withColumn("_all", F.lit(0))
+    ranked, points, many = _cumulated(counts.filter("n > 0"), group, score, buckets, rows_per_bucket)
+    # The score after each one: a block begins behind the vertex before it.
+    inside = Window.partitionBy(*group, "_bucket").orderBy(score)
+    starts = ranked.groupBy(*group, "_bucket").agg(F.min(score).alias("_start"))
+    starts = starts.withColumn("_following", F.lead("_start").over(Window.partitionBy(*group).orderBy("_bucket"))).drop("_start")
+    points = points.withColumns({"score": F.col(score), "next": F.lead(score).over(inside)})
+    points = _attach(points, starts, [*group, "_bucket"]).withColumn("next", F.coalesce("next", "_following")).drop("_following")
+    hulls = _top_hull(points.select(*group, "_bucket", "_last", "w", "s", "score", "next"), group, many)
+    before = Window.partitionBy(*group).orderBy("w")
+    w_0, s_0 = (F.coalesce(F.lag(c).over(before), F.lit(0)) for c in ("w", "s"))
+    first = F.coalesce(F.lag("next").over(before), F.col("lowest"))
+    lowest = counts.filter("n > 0").groupBy(*group).agg(F.min(score).alias("lowest"))
+    out = _attach(hulls, lowest, group).select(
+        *by, first.alias("first"), F.col("score").alias("last"), ((F.col("s") - s_0) / (F.col("w") - w_0)).alias("rate"), (F.col("w") - w_0).cast("double").alias("weight")
+    )
+    return out
 
 
 def apply_isotonic(df: DataFrame, model: IsotonicRegressionModel, score: str = "score", out: str = "calibrated") -> DataFrame:
@@ -131,7 +170,7 @@ def apply_sigmoid(df: DataFrame, model: LogisticRegressionModel, score: str = "s
 # the points before it, those right of it the lower hull of the points after
 # it; the added point then pools neighbouring blocks while they violate the
 # order.  A bucket of scores needs, from all other buckets, only the vertices
-# of their hulls.
+# of their hulls, and of neighbouring buckets only those of their common hull.
 
 
 def _next_vertex(w: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -146,19 +185,59 @@ def _next_vertex(w: np.ndarray, s: np.ndarray) -> np.ndarray:
     return follow
 
 
-def _hull_of_bucket(rows: pd.DataFrame, by: list[str]) -> pd.DataFrame:
-    rows = rows[rows["n"] > 0].sort_values("n_before")
-    w = (rows["n_before"] + rows["n"]).to_numpy()
-    s = (rows["pos_before"] + rows["pos"]).to_numpy()
-    keep, follow, at = [], _next_vertex(w, s), 0
-    while len(w):
-        keep.append(at)
-        if follow[at] == at:
-            break
-        at = follow[at]
-    out = rows[[*by, "_bucket", "_last"]].iloc[keep].copy()
-    out["w"], out["s"] = w[keep], s[keep]
-    return out
+def _lower_hull(w: np.ndarray, s: np.ndarray) -> list[int]:
+    """Indices of the vertices of the lower hull of points in order of w."""
+    w, s = w.tolist(), s.tolist()  # whole numbers of any size
+    keep: list[int] = []
+    for k in range(len(w)):
+        while len(keep) > 1:
+            i, j = keep[-2], keep[-1]
+            if (s[j] - s[i]) * (w[k] - w[j]) < (s[k] - s[j]) * (w[j] - w[i]):
+                break
+            keep.pop()
+        keep.append(k)
+    return keep
+
+
+def _hulled(rows: pd.DataFrame, origin: bool = False) -> pd.DataFrame:
+    """The rows that are vertices; `origin` puts (0, 0) in front of the points."""
+    rows = rows.sort_values("w")
+    w, s = rows["w"].to_numpy(), rows["s"].to_numpy()
+    if not origin:
+        return rows.iloc[_lower_hull(w, s)]
+    return rows.iloc[[k - 1 for k in _lower_hull(np.concatenate([[0], w]), np.concatenate([[0], s])) if k]]
+
+
+def _cumulated(counts: DataFrame, group: list[str], score: str, buckets: int, rows_per_bucket: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Counts in buckets with running totals; the points (w, s) of cumulative
+    rows and positives; whether a group has more than one bucket."""
+    placed, many = dealt_in_buckets(counts, score, ["n", "pos"], group, buckets, rows_per_bucket)
+    ranked = add_running_totals(placed, score, ["n", "pos"], group)
+    ranked = materialize(ranked, "ranked-scores") if many else ranked
+    w, s = ((F.col(f"{c}_before") + F.col(c)).cast("long").alias(n) for c, n in (("n", "w"), ("pos", "s")))
+    return ranked, ranked.filter("n > 0").select(*group, "_bucket", "_last", score, w, s), many
+
+
+def _hull_levels(points: DataFrame, group: list[str], fan: int) -> list[DataFrame]:
+    """Vertices of the hull of each node, level by level: nodes are buckets at
+    first, then `fan` neighbouring nodes each, until each group is one node.  Columns
+    of a level are those of `points`, `_bucket` being the node's number."""
+    schema, levels = points.schema, []
+    points = materialize(points, "hull-points")
+    most = (points.agg(F.max("_last")).first()[0] or 0) + 1
+    while True:
+        hulled = points.groupBy(*group, "_bucket").applyInPandas(lambda rows: _hulled(rows)[schema.names], schema)
+        levels.append(materialize(hulled, f"hull-level{len(levels)}"))
+        if most <= 1:
+            return levels
+        most = -(-most // fan)
+        points = levels[-1].withColumn("_bucket", F.floor(F.col("_bucket") / fan).cast("int"))
+
+
+def _top_hull(points: DataFrame, group: list[str], many: bool, fan: int = 16) -> DataFrame:
+    """Vertices of the hull of all points of a group and the origin, which is not among them."""
+    top, schema = _hull_levels(points, group, fan)[-1] if many else points, points.schema
+    return top.groupBy(*group).applyInPandas(lambda rows: _hulled(rows, origin=True)[schema.names], schema)
 
 
 def _pool(left, right, start, stop, w_l, s_l, w_r, s_r, gain: float) -> np.ndarray:
@@ -187,9 +266,8 @@ def _bucket_intervals(rows: pd.DataFrame, hulls: pd.DataFrame, by: list[str], sc
     rows = rows.sort_values(score).reset_index(drop=True)
     if rows.empty:
         return pd.DataFrame(columns=[*by, score, "p0", "p1"])
-    bucket = rows["_bucket"].iloc[0]
     hulls = hulls.sort_values("w")
-    before, after = hulls[hulls["_bucket"] < bucket], hulls[hulls["_bucket"] > bucket]
+    before, after = hulls[hulls["before"].astype(bool)], hulls[~hulls["before"].astype(bool)]
     real = (rows["n"] > 0).to_numpy()
     own_w = (rows["n_before"] + rows["n"]).to_numpy(dtype=float)[real]
     own_s = (rows["pos_before"] + rows["pos"]).to_numpy(dtype=float)[real]
@@ -216,13 +294,14 @@ def venn_abers_intervals(
     counts: DataFrame,
     by: Sequence[str] = (),
     score: str = "score",
-    buckets: int = 512,
+    buckets: int = BUCKETS,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """p0 and p1 for every score to be tested.
 
-    Every bucket meets the hulls of all others, so there are fewer and, beyond
-    five million distinct scores, larger buckets here than elsewhere.
+    Hulls of buckets are merged two by two up to the whole group.  The buckets
+    before one and those after it are together the siblings of the nodes above
+    it, so a bucket takes one merged hull from each level, not all other buckets'.
 
     `counts` has one row per group and distinct score: `n` and `pos` of the
     calibration set (0 where it lacks the score) and `is_test`.
@@ -231,30 +310,33 @@ def venn_abers_intervals(
     group = by or ["_all"]
     if not by:
         counts = counts.withColumn("_all", F.lit(0))
-    placed = place_in_buckets(counts, score, ["n", "pos"], group, buckets, rows_per_bucket)
-    ranked = add_running_totals(placed, score, ["n", "pos"], group)
+    ranked, points, many = _cumulated(counts, group, score, buckets, rows_per_bucket)
     types = dict((f.name, f.dataType) for f in ranked.schema.fields)
     keys = [T.StructField(c, types[c]) for c in group]
-    hull_schema = T.StructType(
-        keys
-        + [T.StructField(c, T.IntegerType()) for c in ("_bucket", "_last")]
-        + [T.StructField(c, T.LongType()) for c in ("w", "s")]
-    )
-    points = ranked.select(*group, "_bucket", "_last", "n", "pos", "n_before", "pos_before")
-    hulls = points.groupBy(*group, "_bucket").applyInPandas(lambda rows: _hull_of_bucket(rows, group), hull_schema)
-    # Each bucket gets the vertices of all others; a hull of m points has far
-    # fewer than m vertices, so this stays small.
-    spread = hulls.withColumn("_target", F.explode(F.sequence(F.lit(0), "_last"))).filter("_target <> _bucket")
     out_schema = T.StructType(keys + [T.StructField(score, types[score]), T.StructField("p0", T.DoubleType()), T.StructField("p1", T.DoubleType())])
-    out = (
-        ranked.select(*group, "_bucket", score, "n", "pos", "n_before", "pos_before", "is_test")
-        .groupBy(*group, "_bucket")
-        .cogroup(spread.groupBy(*group, "_target"))
-        .applyInPandas(lambda rows, others: _bucket_intervals(rows, others, group, score), out_schema)
-    )
+    rows = ranked.select(*group, "_bucket", score, "n", "pos", "n_before", "pos_before", "is_test").groupBy(*group, "_bucket")
+    if many:
+        spread = _siblings(points.select(*group, "_bucket", "_last", "w", "s"), group)
+        out = rows.cogroup(spread.groupBy(*group, "_target")).applyInPandas(lambda own, others: _bucket_intervals(own, others, group, score), out_schema)
+    else:
+        none = pd.DataFrame({"w": np.empty(0), "s": np.empty(0), "before": np.empty(0, dtype=bool)})
+        out = rows.applyInPandas(lambda own: _bucket_intervals(own, none, group, score), out_schema)
     return out if by else out.drop("_all")
 
 
+def _siblings(points: DataFrame, group: list[str]) -> DataFrame:
+    """_target, w, s, before: for each bucket the hulls of the siblings of the nodes above it."""
+    levels = _hull_levels(points, group, 2)
+    sibling = F.col("_bucket").bitwiseXOR(F.lit(1))
+    reach = [
+        level.withColumns({"_from": sibling * (1 << k), "_to": F.least((sibling + 1) * (1 << k) - 1, F.col("_last"))}).filter("_from <= _to")
+        for k, level in enumerate(levels[:-1] or levels)
+    ]
+    spread = reduce(DataFrame.unionByName, reach).withColumn("_target", F.explode(F.sequence("_from", "_to")))
+    # A node lies before the target if its number is the smaller of the two siblings'.
+    return spread.select(*group, "_target", "w", "s", (F.col("_bucket") < sibling).alias("before"))
+
+
 def _with_point(intervals: DataFrame) -> DataFrame:
     return intervals.withColumns(
         {
@@ -297,13 +379,6 @@ def leave_one_year_out(scores: DataFrame, years: Sequence[int], label: str = "la
 
     counts = materialize(score_counts(scores, label, score, ["year"]), "year-score-counts")
 
-    def read_off(year: int) -> DataFrame:
-        others = counts.filter(F.col("year") != year).groupBy(score).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-        others = materialize(others, "other-years")  # both fits make several passes
-        own = counts.filter(F.col("year") == year)
-        own = apply_isotonic(own, _isotonic_from_counts(others, score), score, "isotonic")
-        return apply_sigmoid(own, _sigmoid_from_counts(others, score), score, "sigmoid")
-
     own = F.col("fold") == F.col("year")
     folds = (
         counts.withColumn("fold", F.explode(F.array(*[F.lit(y) for y in years])))
@@ -315,6 +390,15 @@ def leave_one_year_out(scores: DataFrame, years: Sequence[int], label: str = "la
         )
         .withColumnRenamed("fold", "year")
     )
+    folds = materialize(folds, "year-folds")
+    knots = materialize(isotonic_knots(folds, ["year"], score), "year-knots")
+
+    def read_off(year: int) -> DataFrame:
+        others = folds.filter((F.col("year") == year) & (F.col("n") > 0))
+        table = counts.filter(F.col("year") == year)
+        table = apply_isotonic(table, _isotonic_from_knots(knots.filter(F.col("year") == year), score), score, "isotonic")
+        return apply_sigmoid(table, _sigmoid_from_counts(others, score), score, "sigmoid")
+
     intervals = _with_point(venn_abers_intervals(folds, ["year"], score)).select(
         "year", score, F.col("point").alias("venn_abers"), "width"
     )

@@ -178,6 +178,13 @@ def place_in_buckets(
     A group has as many buckets as its distinct values call for, up to
     `buckets`.  Neighbouring cells of digits share a bucket until it is full.
     """
+    return dealt_in_buckets(counts, order, sums, by, buckets, rows_per_bucket)[0]
+
+
+def dealt_in_buckets(
+    counts: DataFrame, order: str, sums: Sequence[str], by: Sequence[str], buckets: int, rows_per_bucket: int
+) -> tuple[DataFrame, bool]:
+    """The same, and whether any group may have more than one bucket."""
     counts = counts.withColumn("_one", F.lit(1).cast("long"))
     counts, digits, cells = _with_cells(counts, order, [*sums, "_one"], by, False, max(1, rows_per_bucket // 2), None)
     size = F.greatest(F.lit(rows_per_bucket), F.ceil(F.col("_one_all") / F.lit(buckets)))
@@ -188,7 +195,7 @@ def place_in_buckets(
         F.floor((F.col("_one_all") - 1) / size).cast("int").alias("_last"),
         *[f"{s}_all" for s in sums],
     )
-    return _beside(counts, cells, by, digits).drop("_order", "_one", *digits)
+    return _beside(counts, cells, by, digits).drop("_order", "_one", *digits), bool(digits)
 
 
 def add_running_totals(
