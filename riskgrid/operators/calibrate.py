@@ -406,7 +406,8 @@ def leave_one_year_out(scores: DataFrame, years: Sequence[int], label: str = "la
     table = materialize(table.withColumn("raw", F.col(score)), "year-calibrations")
 
     long = table.select(
-        "year", "n", "pos", F.inline(F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("value")) for m in METHODS]))
+        # Scores of one block may differ in the last bits after interpolation.
+        "year", "n", "pos", F.inline(F.array(*[F.struct(F.lit(m).alias("method"), F.round(m, 12).alias("value")) for m in METHODS]))
     )
     by = ["year", "method"]
     judged = brier(long, "pos", "value", by, "n").join(top_bins(long, "pos", "value", by, weight="n"), by)

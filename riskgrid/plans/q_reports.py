@@ -691,11 +691,6 @@ def _year_report(spark, sf):
     return cal.leave_one_year_out(demo.scores(spark, sf), demo.YEARS)
 
 
-@query("cal_5")
-def cal_5(spark, sf):
-    return rounded(_year_report(spark, sf))
-
-
 # Each year against all others: cumulative points of the other years, then the
 # interval at every score of the year itself.
 rel.relation(
@@ -733,6 +728,62 @@ def cal_6(spark, sf):
     return rounded(out.withColumn("width_vs_inverse_positives", F.round("width_vs_inverse_positives", 4)))
 
 
+# The three curves of each year, fitted to all others, at the year's own scores.
+rel.relation(
+    "other_pooled",
+    f"""SELECT y, score, sum(n) AS n, sum(pos) AS pos, row_number() OVER (PARTITION BY y ORDER BY score) AS i
+       FROM ladder, (SELECT unnest([{_YEAR_LIST}]) AS y) WHERE year <> y GROUP BY y, score""",
+    "ladder",
+)
+rel.relation(
+    "year_isotonic",
+    """SELECT y, score, max(lowest) AS g FROM (
+         SELECT k.y, k.score, a.i AS ai, min((b.cp - a.cp + p.pos) / (b.cn - a.cn + p.n)) AS lowest
+         FROM other_sums k JOIN other_sums a ON a.y = k.y AND a.i <= k.i JOIN other_pooled p ON p.y = a.y AND p.i = a.i JOIN other_sums b ON b.y = k.y AND b.i >= k.i
+         GROUP BY k.y, k.score, a.i) GROUP BY y, score""",
+    "other_sums",
+    "other_pooled",
+)
+rel.relation(
+    "year_ends",
+    "SELECT y, min(score) AS least, max(score) AS most, arg_min(g, score) AS g_least, arg_max(g, score) AS g_most FROM year_isotonic GROUP BY y",
+    "year_isotonic",
+)
+_YEAR_NEWTON = """newton_y AS (SELECT 0 AS i, y, 0::double AS a, 0::double AS b FROM (SELECT DISTINCT y FROM other_pooled) UNION ALL
+  SELECT i + 1, y, a - (ga * hbb - gb * hab) / (haa * hbb - hab * hab), b - (gb * haa - ga * hab) / (haa * hbb - hab * hab) FROM (
+    SELECT i, y, a, b, sum((n * p - pos) * score) + a AS ga, sum(n * p - pos) AS gb, sum(n * p * (1 - p) * score * score) + 1 AS haa, sum(n * p * (1 - p) * score) AS hab, sum(n * p * (1 - p)) AS hbb
+    FROM (SELECT m.i, m.y, a, b, score, n, pos, 1 / (1 + exp(-a * score - b)) AS p FROM newton_y m JOIN (SELECT y AS oy, score, n, pos FROM other_pooled) o ON o.oy = m.y WHERE m.i < 25) GROUP BY i, y, a, b))"""
+
+
+def _cal_5_sql() -> str:
+    isotonic = """CASE WHEN t.score <= e.least THEN e.g_least WHEN t.score >= e.most THEN e.g_most
+         ELSE lo.g + (hi.g - lo.g) * coalesce((t.score - lo.score) / nullif(hi.score - lo.score, 0), 0) END"""
+    values = f"""SELECT t.year, t.score, t.n, t.pos, t.score AS raw, least(greatest({isotonic}, 0), 1) AS isotonic, 1 / (1 + exp(-m.a * t.score - m.b)) AS sigmoid,
+         o.p / (1 - z.p + o.p) AS venn_abers, o.p - z.p AS width
+       FROM ladder t JOIN year_ends e ON e.y = t.year JOIN newton_y m ON m.y = t.year AND m.i = 25
+       JOIN ({_year_added(0)}) z ON z.year = t.year AND z.score = t.score JOIN ({_year_added(1)}) o ON o.year = t.year AND o.score = t.score
+       ASOF LEFT JOIN year_isotonic lo ON lo.y = t.year AND t.score >= lo.score ASOF LEFT JOIN year_isotonic hi ON hi.y = t.year AND t.score <= hi.score"""
+    long = " UNION ALL ".join(f"SELECT year, n, pos, '{m}' AS method, round({m}, 12) AS v FROM vals" for m in cal.METHODS)
+    edges = ", ".join(f"quantile_cont(v, {i / 10})" for i in range(11))
+    of = lambda m, what, name: r(f"max({what}) FILTER (method = '{m}')", f"{m}_{name}", 5)
+    wide = ", ".join(f"{of(m, 'brier', 'brier')}, {of(m, 'ratio', 'top_bin_ratio')}" for m in cal.METHODS)
+    return f"""SELECT year, any_value(positives)::bigint AS positives, {r('any_value(width)', 'venn_abers_mean_interval_width', 5)},
+         ((SELECT sum(pos) FROM ladder) - any_value(positives))::bigint AS pooled_train_positives, {wide}
+       FROM (SELECT year, sum(pos) AS positives, sum(width * n) / sum(n) AS width FROM ({values}) GROUP BY year) JOIN (
+         WITH vals AS ({values}), long AS ({long}),
+         q AS (SELECT year, method, list_sort(list_distinct([{edges}])) AS q FROM (SELECT year, method, v, unnest(range(n::bigint)) FROM long) GROUP BY year, method),
+         bins AS (SELECT year, method, bin, sum(v * n) / sum(n) AS predicted, sum(pos) / sum(n) AS observed FROM (
+           SELECT l.*, greatest(len(list_filter(q, lambda e: e < v)), 1) AS bin FROM long l JOIN q USING (year, method)) GROUP BY year, method, bin),
+         tops AS (SELECT year, method, arg_max(CASE WHEN observed > 0 THEN predicted / observed ELSE -1 END, bin) AS ratio FROM bins GROUP BY year, method)
+         SELECT year, method, sum(pos * (1 - v) * (1 - v) + (n - pos) * v * v) / sum(n) AS brier, any_value(nullif(ratio, -1)) AS ratio
+         FROM long JOIN tops USING (year, method) GROUP BY year, method) USING (year) GROUP BY year"""
+
+
+@query("cal_5", _cal_5_sql(), ("ladder", "other_pooled", "other_starts", "other_stops", "year_isotonic", "year_ends"), recursive=_YEAR_NEWTON)
+def cal_5(spark, sf):
+    return rounded(_year_report(spark, sf), 5)
+
+
 rel.relation("all_pooled", "SELECT score, sum(n) AS n, sum(pos) AS pos, row_number() OVER (ORDER BY score) AS i FROM ladder GROUP BY score", "ladder")
 rel.relation("all_sums", "SELECT *, sum(n) OVER (ORDER BY i) AS cn, sum(pos) OVER (ORDER BY i) AS cp FROM all_pooled", "all_pooled")
 rel.relation(
