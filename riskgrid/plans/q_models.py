@@ -517,7 +517,7 @@ def ml_6(spark, sf):
     def fit(train, label="ignited", **params):
         return models.fit_boosted(train, INPUTS, label, **params)
 
-    _, best, results = search.random_search(fit, space, train, val, n_iter=2)
+    _, best, results = search.random_search(fit, space, train, val)
     rows = [(str(f["params"]), f["params"] == best, f["pr_auc"]) for f in results]
     return spark.createDataFrame(rows, "params string, chosen boolean, pr_auc double")
 
