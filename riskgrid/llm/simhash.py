@@ -35,7 +35,8 @@ BANDS, ROWS = 24, 5
 MIX = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 STAGE_SLICE = 500  # documents whose sets are held at once
-CROWD = 64  # nodes of one band key that all meet each other
+COMMON = 32  # open sets that have a shingle, beyond which it no longer makes sets meet by itself
+SLACK = 1e-6
 
 
 # ------------------------------------------------------------------ fingerprints
@@ -243,9 +244,8 @@ def _sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node long, held array<long>").dropDuplicates(["node"])
 
 
-def similar(docs: DataFrame, rows: DataFrame, pairs: DataFrame, least: float = STAGE_LEAST) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of `least` or more, exactly."""
-    sets = materialize(_sets(docs, rows, pairs), "simhash-sets")
+def similar(sets: DataFrame, pairs: DataFrame, least: float = STAGE_LEAST) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets (node, held) have a Jaccard similarity of `least` or more, exactly."""
     one = sets.select(F.col("node").alias("a"), F.col("held").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("held").alias("y"))
     m, n, shared = F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y"))
@@ -254,19 +254,99 @@ def similar(docs: DataFrame, rows: DataFrame, pairs: DataFrame, least: float = S
 
 
 def _met(nodes: DataFrame) -> DataFrame:
-    """key, node, rep (the smallest node of the key) and n for each band key that several nodes have."""
+    """key, node and n (nodes of the key) for each band key that several nodes have."""
     keyed = nodes.select(F.explode("keys").alias("key"), "node")
-    shared = keyed.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("n")).where("n > 1")
-    return keyed.join(shared, "key")
+    return keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
 
 
-def _met_apart(met: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that share a band key, or whose fingerprints are near, and that links do not join yet."""
-    rooted = met.join(roots, "node")
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("_l"), F.max("root").alias("_h")).where("_l < _h").select("key")
-    parted = rooted.join(open_, "key").withColumn("part", F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("n") / CROWD)))
-    left, right = (parted.select("key", "part", F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
-    bands = left.join(right.hint("merge"), ["key", "part"]).where("a < b AND root_a <> root_b").select("a", "b")
+def _with_hub(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each node and the hub of each of its keys: the node whose keys are shared most.
+
+    Edits take band keys away from a copy, so the text that copies come from is the hub of most of them.
+    """
+    busy = met.groupBy("node").agg(F.sum("n").alias("met"))
+    hubs = met.select("key", "node").join(busy, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("hub"))
+    pairs = met.select("key", "node").join(hubs.select("key", F.col("hub.node").alias("hub")), "key").where("node <> hub")
+    return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+def _open(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, node, root of the band keys whose nodes are not in one component."""
+    rooted = met.select("key", "node").join(roots, "node")
+    keys = rooted.groupBy("key").agg(F.min("root").alias("_l"), F.max("root").alias("_h")).where("_l < _h").select("key")
+    return rooted.join(keys, "key")
+
+
+def _ordered(sets: DataFrame, common: int) -> DataFrame:
+    """node, s (size of its set), first (of its rarest shingles, those in `common` sets or fewer, with their places) and
+    shared (its shingles in more sets), both in one order for all: rarest shingle first."""
+    each = sets.select("node", F.explode("held").alias("h"))
+    counted = each.join(each.groupBy("h").agg(F.count("*").alias("df")), "h")
+    lists = counted.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("seq")).withColumn("s", F.size("seq"))
+    reach = (F.col("s") - F.ceil(F.lit(STAGE_LEAST) * F.col("s") - SLACK) + 1).cast("int")
+    placed = F.transform(F.slice("seq", F.lit(1), reach), lambda e, i: F.struct(e["df"].alias("df"), e["h"].alias("h"), i.alias("at")))
+    return lists.select(
+        "node",
+        "s",
+        F.filter(placed, lambda e: (e["df"] > 1) & (e["df"] <= common)).alias("first"),
+        F.transform(F.filter("seq", lambda e: e["df"] > common), lambda e: e["h"]).alias("shared"),
+    )
+
+
+def _by_rare(ordered: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) not in one component that share a rare shingle early enough to be 0.8 alike."""
+    entries = ordered.join(roots, "node").select("node", "root", "s", F.explode("first").alias("e")).select("node", "root", "s", "e.h", "e.at")
+    left, right = (entries.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "s", "at")]) for side in "ab")
+    most = F.least(F.col("s_a") - F.col("at_a"), F.col("s_b") - F.col("at_b"))  # shingles that can still be shared
+    near = (
+        (F.col("node_a") < F.col("node_b"))
+        & (F.col("root_a") != F.col("root_b"))
+        & (F.least("s_a", "s_b") >= F.lit(STAGE_LEAST) * F.greatest("s_a", "s_b"))
+        & (most * (1 + STAGE_LEAST) >= F.lit(STAGE_LEAST) * (F.col("s_a") + F.col("s_b")) - SLACK)
+    )
+    met = left.join(right.hint("merge"), "h").where(near)
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def _by_common(ordered: DataFrame, open_: DataFrame) -> DataFrame:
+    """Pairs (a, b) that join what common shingles alone make 0.8 alike.
+
+    Sets that share no rare shingle link where their common shingles, s of them in both, reach 0.8 of their sizes: the
+    sum of the sizes is at most 2.25 s. Sets with the same common shingles are a class. If two of a class link, both
+    link to its smallest set; if sets of two classes link, so do the smallest sets of the classes, and each of the two
+    sets links to the smallest set of that class which allows the largest sizes. So a set meets two others at most,
+    and only classes of one band key meet each other.
+    """
+    scale = (1 + STAGE_LEAST) / STAGE_LEAST
+    mostly = ordered.where(F.size("shared") >= F.lit(STAGE_LEAST) * F.col("s") - SLACK).withColumn("class", F.xxhash64("shared"))
+    mostly = materialize(mostly.select("node", "s", "class", "shared"), "simhash-mostly")
+    members = mostly.select("node", "s", "class")
+    least = members.groupBy("class").agg(F.min(F.struct("s", "node")).alias("r")).select("class", F.col("r.s").alias("s"), F.col("r.node").alias("rep"))
+    own = members.join(least.drop("s"), "class").select("node", "rep")
+    tops = least.join(mostly.select(F.col("node").alias("rep"), "shared"), "rep")
+    keyed = open_.join(members.select("node", "class"), "node")
+    states = keyed.groupBy("class").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    keyed = keyed.select("key", "class").distinct().join(states, "class").join(least, "class")
+    left, right = (keyed.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("class", "low", "high", "s")]) for side in "ab")
+    apart = (F.col("class_a") < F.col("class_b")) & (F.least("low_a", "low_b") < F.greatest("high_a", "high_b"))
+    alike = F.least("s_a", "s_b") >= F.lit(STAGE_LEAST) * F.greatest("s_a", "s_b")
+    met = left.join(right.hint("merge"), "key").where(apart & alike).select("class_a", "class_b").distinct()
+    one, two = (tops.select(*[F.col(c).alias(f"{c}_{side}") for c in ("class", "s", "rep", "shared")]) for side in "ab")
+    met = met.join(one, "class_a").join(two, "class_b")
+    met = met.withColumn("both", scale * F.size(F.array_intersect("shared_a", "shared_b")))
+    met = materialize(met.where(F.col("both") >= F.col("s_a") + F.col("s_b") - SLACK).drop("shared_a", "shared_b"), "simhash-classes")
+    ways = [
+        met.select(F.col(f"class_{x}").alias("class"), F.struct((F.col("both") - F.col(f"s_{y}")).alias("room"), F.col(f"rep_{y}").alias("rep")).alias("way"))
+        for x, y in ("ab", "ba")
+    ]
+    best = ways[0].unionByName(ways[1]).groupBy("class").agg(F.max("way").alias("way"))
+    other = members.join(best, "class").where(F.col("s") <= F.col("way.room") + SLACK).select("node", F.col("way.rep").alias("rep"))
+    found = own.unionByName(other).unionByName(met.select(F.col("rep_a").alias("node"), F.col("rep_b").alias("rep"))).where("node <> rep")
+    return found.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct()
+
+
+def _by_prints(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) not in one component whose fingerprints differ in three bits at most."""
     # Every fingerprint stands for its smallest node, which the other nodes with that fingerprint meet too.
     prints = materialize(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "simhash-prints")
     same = nodes.join(prints, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
@@ -274,29 +354,40 @@ def _met_apart(met: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     near = near.join(prints.select(F.col("fp").alias("b"), F.col("rep").alias("_b")), "b")
     near = near.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).unionByName(same)
     root_a, root_b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
-    near = near.join(root_a, "a").join(root_b, "b").where("root_a <> root_b").select("a", "b")
-    return bands.unionByName(near).distinct()
+    return near.join(root_a, "a").join(root_b, "b").where("root_a <> root_b").select("a", "b")
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
+def near_copies(docs: DataFrame, common: int = COMMON) -> DataFrame:
     """doc_id, row (hash of the row) and root (names the group) of each row of (doc_id, text, ...).
 
     Two documents link where their sets of five-word shingles have a Jaccard similarity of 0.8 or more; groups are what
     links reach. Every link is checked on the sets themselves. To be checked, two sets must meet: by one of 24 bands of
     five least hashes (at 0.8 all bands miss 7 pairs in 100,000, fewer above) or by fingerprints of three or fewer
-    differing bits. Equal sets are one node. All nodes of a band key meet the smallest one; then those not yet joined
-    meet each other, in random parts of about 64 where more share the key.
+    differing bits. Equal sets are one node. All nodes of a band key meet its hub. Where that leaves a key with nodes of
+    several components, sets meet by their rarest shingles (the first fifth in order of rarity, in at most `common`
+    sets), and what they share beyond is settled class by class (`_by_common`): no link between nodes of one key is
+    lost, however many have it, and `common` only shifts work between the two ways. What grows with the square of a
+    crowd is the number of its different sets of common shingles that have no hub, not the number of its documents.
+
+    Null and empty texts have the empty set and are copies of each other; null and repeated ids keep their rows; a long
+    text is one set; rows that repeat come as often; an empty table gives no rows; other columns count in `row` alone.
     """
     rows = materialize(_signed(docs), "simhash-rows")
     nodes = materialize(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("keys").alias("keys")), "simhash-nodes")
     met = materialize(_met(nodes), "simhash-met")
-    tried = materialize(met.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct(), "simhash-tried")
-    linked = materialize(similar(docs, rows, tried), "simhash-linked")
+    tried = materialize(_with_hub(met), "simhash-tried")
+    sets = materialize(_sets(docs, rows, tried), "simhash-sets")
+    linked = materialize(similar(sets, tried), "simhash-linked")
     roots = materialize(components(nodes.select("node"), linked, "simhash"), "simhash-roots")
-    more = materialize(_met_apart(met, nodes, roots).join(tried, ["a", "b"], "left_anti"), "simhash-more")
-    if more.take(1):
-        linked = linked.unionByName(similar(docs, rows, more))
-        roots = materialize(components(nodes.select("node"), linked, "simhash"), "simhash-roots")
+    open_ = materialize(_open(met, roots), "simhash-open")
+    left = sets.join(open_.select("node").distinct(), "node", "left_semi")
+    ordered = materialize(_ordered(left, common), "simhash-ordered")
+    more = _by_rare(ordered, roots).unionByName(_by_common(ordered, open_)).distinct().join(tried, ["a", "b"], "left_anti")
+    linked = linked.unionByName(similar(sets, more))
+    prints = materialize(_by_prints(nodes, roots).join(tried, ["a", "b"], "left_anti"), "simhash-near")
+    if prints.take(1):
+        linked = linked.unionByName(similar(_sets(docs, rows, prints), prints))
+    roots = components(nodes.select("node"), linked, "simhash")
     return rows.select("doc_id", "row", "node").join(roots, "node").select("doc_id", "row", "root")
 
 

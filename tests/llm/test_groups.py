@@ -200,3 +200,50 @@ def test_stage_keeps_a_row_of_each_group_whatever_the_ids(spark):
     assert kept[0] == kept[1] == kept[2]
     assert sorted((groups[t], d) for d, t in kept[0] if d is not None) == [(2, 7), (3, 7), (4, 1), (5, 9)]
     assert sorted(groups[t] for d, t in kept[0] if d is None) == [0, 1]
+
+
+def jaccard_groups(texts):
+    """Components of texts with 0.8 of their five-word shingles in common, every pair looked at."""
+    sets = {}
+    for d, t in texts.items():
+        words = (t or "").lower().split()
+        sets[d] = {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or ({tuple(words)} if words else set())
+    return plain_groups(sets, lambda a, b: a == b or 10 * len(a & b) >= 8 * len(a | b))
+
+
+def groups_found(spark, texts, **parameters):
+    docs, groups = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), {}
+    for r in simhash.near_copies(docs, **parameters).collect():
+        groups.setdefault(r["root"], []).append(r["doc_id"])
+    return {d: min(g) for g in groups.values() for d in g}
+
+
+def test_no_link_is_lost_in_a_crowd(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    body = [word() for _ in range(400)]
+    # Pages of one boilerplate, 0.79 alike, each with a tail of its own; 60 have a partner that shares part of its tail.
+    tails = [[word() for _ in range(52)] for _ in range(700)]
+    texts = {n: " ".join(body + t) for n, t in enumerate(tails)}
+    for n in range(60):
+        texts[10_000 + n] = " ".join(body + tails[n][:14] + [word() for _ in range(38)])
+    got = groups_found(spark, texts)
+    assert got == jaccard_groups(texts)
+    assert sum(got[10_000 + n] == n for n in range(60)) == 60
+
+
+def test_crowds_of_variants_as_brute_force(spark):
+    rng = random.Random(6)
+    texts = {}
+    for body in ([f"a{k}" for k in range(120)], [f"b{k}" for k in range(60)]):
+        for _ in range(110):
+            words = list(body)
+            for _ in range(rng.choice((0, 1, 1, 2, 3, 4))):
+                words[rng.choice((7, 31, 44, rng.randrange(len(words)))) % len(words)] = f"x{rng.randrange(40)}"
+            words += [f"t{rng.randrange(10**6)}" for _ in range(rng.choice((0, 0, 5, 15, 25, 30)))]
+            texts[len(texts)] = " ".join(words)
+    want = jaccard_groups(texts)
+    assert 20 < len(set(want.values())) < 200
+    # Few or many common shingles: the work moves between the two ways, the groups stay.
+    for common in (4, 1000):
+        assert groups_found(spark, texts, common=common) == want
