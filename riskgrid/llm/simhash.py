@@ -220,6 +220,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), nodes, prints, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row", "node", "fp", "keys"]
                 )
+        pa.default_memory_pool().release_unused()  # other stages run in the same workers
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_hash(docs).alias("row"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, row long, node long, fp long, keys array<long>")
@@ -239,6 +240,7 @@ def _sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
                 part = batch.slice(at, STAGE_SLICE)
                 held = [np.unique(shingle_hashes(t.as_py(), STAGE_SHINGLE)).view(np.int64) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held, pa.list_(pa.int64()))], ["node", "held"])
+        pa.default_memory_pool().release_unused()
 
     # A row that comes several times gives its set several times.
     return texts.mapInArrow(run, "node long, held array<long>").dropDuplicates(["node"])
@@ -280,15 +282,20 @@ def _open(met: DataFrame, roots: DataFrame) -> DataFrame:
 def _ordered(sets: DataFrame, common: int) -> DataFrame:
     """node, s (size of its set), first (of its rarest shingles, those in `common` sets or fewer, with their places) and
     shared (its shingles in more sets), both in one order for all: rarest shingle first."""
-    each = sets.select("node", F.explode("held").alias("h"))
-    counted = each.join(each.groupBy("h").agg(F.count("*").alias("df")), "h")
-    lists = counted.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("seq")).withColumn("s", F.size("seq"))
-    reach = (F.col("s") - F.ceil(F.lit(STAGE_LEAST) * F.col("s") - SLACK) + 1).cast("int")
-    placed = F.transform(F.slice("seq", F.lit(1), reach), lambda e, i: F.struct(e["df"].alias("df"), e["h"].alias("h"), i.alias("at")))
+    each = sets.select("node", F.size("held").alias("s"), F.explode("held").alias("h"))
+    # A shingle of one set alone is shared with none: only its place at the front of the order counts.
+    counted = each.join(each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "h")
+    lists = counted.groupBy("node", "s").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("seq"))
+    alone = F.col("s") - F.size("seq")
+    reach = (F.col("s") - F.ceil(F.lit(STAGE_LEAST) * F.col("s") - SLACK) + 1 - alone).cast("int")
+    placed = F.transform(
+        F.slice("seq", F.lit(1), F.greatest(reach, F.lit(0))),
+        lambda e, i: F.struct(e["df"].alias("df"), e["h"].alias("h"), (i + alone).alias("at")),
+    )
     return lists.select(
         "node",
         "s",
-        F.filter(placed, lambda e: (e["df"] > 1) & (e["df"] <= common)).alias("first"),
+        F.filter(placed, lambda e: e["df"] <= common).alias("first"),
         F.transform(F.filter("seq", lambda e: e["df"] > common), lambda e: e["h"]).alias("shared"),
     )
 
