@@ -269,15 +269,68 @@ def test_co_training_hands_labels_over():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 2000).astype(float)
     views = tuple((y[:, None] * 2 - 1) * 0.45 + rng.normal(size=(2000, 12)) for _ in range(2))
-    known = np.where(np.arange(2000) < 60, y, np.nan)
+    known, pool = tuple(v[:60] for v in views), quality.HeldPool(tuple(v[60:] for v in views))
 
     def right(model):
         return np.mean((model.text.raw(views[0]) + model.page.raw(views[1]) > 0) == (y > 0.5))
 
-    alone, together = quality.co_train(views, known, 0.5, rounds=0), quality.co_train(views, known, 0.5)
+    alone, together = quality.co_train(known, y[:60], 0.5, pool, rounds=0), quality.co_train(known, y[:60], 0.5, pool)
     assert right(together) > right(alone) and right(together) > 0.93
 
 
+def test_thresholds_take_whole_bins():
+    counts = np.zeros(quality.BINS)
+    counts[[0, 10, 20, 6000, quality.BINS - 9, quality.BINS - 1]] = [3, 3, 3, 50, 4, 9]
+    assert quality.thresholds(counts, 6, 0.95) == (quality.BINS - 1, 19)  # nine rows of one bin are told together
+    assert quality.thresholds(counts, 13, 0.95)[0] < quality.BINS - 8
+    sure_bin = int(quality.bins(np.array([np.log(19)]))[0])
+    assert quality.thresholds(counts, 1000, 0.95)[0] == sure_bin + 1  # never less sure than asked
+
+
+def test_told_as_row_by_row():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 3))
+    teachers = [quality.Teacher(quality.Logistic(np.zeros(3), np.ones(3), rng.normal(size=4) * 3), 4500 + 100 * k, 3600) for k in range(3)]
+    for row, got in zip(x, quality.told(x, teachers)):
+        wanted = None
+        for t in teachers:
+            raw = sum(float(np.clip(v, -5, 5)) * w for v, w in zip(row, t.model.weights)) + t.model.weights[3]
+            at = min(quality.BINS - 1, max(0, int((raw + quality.BOUND) * quality.BINS / (2 * quality.BOUND))))
+            wanted = 1.0 if at >= t.high else 0.0 if at <= t.low else None
+            if wanted is not None:
+                break
+        assert (wanted is None and np.isnan(got)) or wanted == got
+
+
+def test_rounds_on_spark_as_in_memory(spark, monkeypatch):
+    """All unlabelled rows, told apart by plain Python, give the model that the passes on Spark give."""
+    monkeypatch.setattr(quality, "FAN", 2)
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    docs = docs.unionByName(docs.limit(9).withColumn("doc_id", F.lit(None).cast("long")))
+    labels = labels.where("doc_id % 3 > 0")
+    table = quality.view_table(docs.repartition(5))
+    got = quality.train(table, labels)
+    votes = {r["id"]: r["y"] for r in quality.majority(labels).collect()}
+    rows = [(votes.get(r["id"]), *(np.frombuffer(r[c], np.float16).astype(float) for c in "ab"), bytes(r["a"]), bytes(r["b"])) for r in table.collect()]
+    assert quality.unlabelled(table, quality.majority(labels)).count() == sum(r[0] is None for r in rows)
+    known = sorted((r for r in rows if r[0] is not None), key=lambda r: (zlib.crc32(r[3]), r[3], r[4], r[0]))
+    free, y = [r for r in rows if r[0] is None], np.array([r[0] for r in known])
+    sizes = [(np.stack([r[k] for r in rows]).mean(0), np.stack([r[k] for r in rows]).std(0) + 1e-6) for k in (1, 2)]
+    pool = quality.HeldPool(tuple(np.stack([r[k] for r in free]) for k in (1, 2)))
+    wanted = quality.co_train(tuple(np.stack([r[k] for r in known]) for k in (1, 2)), y, float(np.mean(y)), pool, sizes)
+    for a, b in ((got.text, wanted.text), (got.page, wanted.page)):
+        assert np.allclose(a.weights, b.weights, rtol=1e-3, atol=1e-4)
+
+
+def test_clashing_names_stay(spark):
+    labels = spark.createDataFrame([(k, int(k < 40)) for k in range(80)], "doc_id long, quality int")
+    rows = [(k, f"some good words number {k} here" if k < 40 else "JUNK!! " * (k % 7 + 5), "en", "s", 9, k, "x", "y", 1) for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id long, a string, b string, _judged int")
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(range(40))
+
+
 def test_quality_edges(spark, awkward, nothing):
     none = spark.createDataFrame([], "doc_id long, quality int")
     got = quality.assess(awkward, none).collect()
