@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskgrid.llm.common import give_back
+
 # How the tokenizer file cuts words; a fixed value.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SIGNS = b".,;:!?*#$%&|()-+/"  # ASCII signs but for the apostrophe and what special tokens are made of
@@ -155,7 +157,7 @@ class Kept(dict):
 class Tokenizer:
     """Word-level BPE as a tokenizer file describes it: composed, lower-cased, white space dropped."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_runs: int = KEPT_RUNS):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.model = spec["model"]
@@ -169,7 +171,7 @@ class Tokenizer:
         self.letters = byte_letters()
         self.letter_of = [self.letters[b] for b in range(256)]
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.runs, self.forms = Kept(self._run, KEPT_RUNS), Kept(self._word, KEPT_WORDS)
+        self.runs, self.forms = Kept(self._run, kept_runs), Kept(self._word, KEPT_WORDS)
 
     @cached_property
     def raw_id(self) -> list[bytes]:
@@ -232,9 +234,9 @@ class Tokenizer:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> Tokenizer:
+def tokenizer(path: str, kept_runs: int = KEPT_RUNS) -> Tokenizer:
     """Compiled once in each worker, from a file that every worker has."""
-    return Tokenizer(path)
+    return Tokenizer(path, kept_runs)
 
 
 def _coded(batch: pa.RecordBatch, at: int, path: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], pa.ListArray]]:
@@ -247,16 +249,18 @@ def _coded(batch: pa.RecordBatch, at: int, path: str) -> Iterator[tuple[pa.Recor
         yield part, coded, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(coded).astype(np.int32)))
 
 
-def encode_decode(docs: DataFrame, path: str) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, kept_runs: int = KEPT_RUNS) -> DataFrame:
     """doc_id, source, n_tokens, ids (array of int) and decoded (string) of each row of (doc_id, source, text).
 
     The whole text is encoded as the tokenizer file at `path` says, without added special tokens; `decoded` is made
     from `ids` alone. Null and empty texts have no ids and decode to the empty string; rows that repeat are encoded
     like any other; an empty table gives no rows; other columns are ignored. No shuffle: a row's work needs the row only.
+    A worker keeps at most twice `kept_runs` encodings at hand; fewer need less memory and more time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = tokenizer(path)
+        give_back()
+        tool = tokenizer(path, kept_runs)
         for batch in batches:
             for first in range(0, batch.num_rows, 250):
                 part = batch.slice(first, 250)

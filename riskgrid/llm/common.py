@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +25,16 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def give_back() -> None:
+    """Hands memory that a Python worker no longer uses to the system: the next stage may run in the same worker, or in
+    another beside it. Does nothing where the C library has no such call."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def components(nodes: DataFrame, links: DataFrame, label: str, max_rounds: int = 60) -> DataFrame:
     """Smallest node reachable from each node: columns node, root.
 

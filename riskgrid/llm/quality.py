@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskgrid.llm.common import give_back
 from riskgrid.session import materialize
 
 BUCKETS_BITS = 9
@@ -299,6 +300,7 @@ def view_table(docs: DataFrame) -> DataFrame:
                 found = [both_views(*(c.as_py() for c in row)) for row in zip(*(part.column(k) for k in range(1, 5)))]
                 cols = [pa.array([f[k].tobytes() for f in found], pa.binary()) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["id", "a", "b"])
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), *_columns(docs))
     return materialize(rows.mapInArrow(run, VIEWS), "quality-views")

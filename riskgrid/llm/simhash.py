@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskgrid.llm.common import components
+from riskgrid.llm.common import components, give_back
 from riskgrid.session import materialize
 
 MAX_BITS = 3
@@ -220,7 +220,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), nodes, prints, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row", "node", "fp", "keys"]
                 )
-        pa.default_memory_pool().release_unused()  # other stages run in the same workers
+        give_back()  # other stages run in the same workers
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_hash(docs).alias("row"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, row long, node long, fp long, keys array<long>")
@@ -240,7 +240,7 @@ def _sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
                 part = batch.slice(at, STAGE_SLICE)
                 held = [np.unique(shingle_hashes(t.as_py(), STAGE_SHINGLE)).view(np.int64) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held, pa.list_(pa.int64()))], ["node", "held"])
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     # A row that comes several times gives its set several times.
     return texts.mapInArrow(run, "node long, held array<long>").dropDuplicates(["node"])
