@@ -13,6 +13,8 @@ from riskgrid.llm.common import read_table
 from riskgrid.llm.queries import tokenizer_path
 from riskgrid.session import materialize, ship_package
 
+KEPT_RUNS = 150_000  # encodings at hand; fewer than op 9 has, since executors come to its stage with grown heaps
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier does not reject."""
@@ -27,7 +29,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of near-duplicates: five-word shingles 0.8 alike."""
+    """One document of each group of near-duplicates (five-word shingles 0.8 alike): the smallest doc_id, then a row hash."""
     ship_package(spark)
     return simhash.keep_one(docs)
 
@@ -41,7 +43,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids and decoded of each document of the mix."""
     ship_package(spark)
-    return bpe.encode_decode(docs, tokenizer_path())
+    return bpe.encode_decode(docs, tokenizer_path(), KEPT_RUNS)
 
 
 STAGES = [
