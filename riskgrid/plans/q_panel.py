@@ -322,7 +322,9 @@ def join_7(spark, sf):
     fires = lb.distinct_ignitions(demo.detections(spark, sf))
     near = grid.explode_neighbors(fires).select(F.col("neighbor_id").alias("cell_id"), F.date_add("date", 1).alias("date"))
     counts = near.groupBy("cell_id", "date").agg(F.count(F.lit(1)).alias("fires"))
-    return counts.join(demo.empty_panel(spark, sf).select("cell_id", "date"), ["cell_id", "date"], "left_semi")
+    # Kept are the rows of the panel, which has every cell on every date: known cells inside the calendar.
+    inside = counts.join(F.broadcast(demo.calendar(spark, sf)), F.col("date").between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
+    return inside.join(demo.cells(spark, sf).select("cell_id"), "cell_id", "left_semi")
 
 
 @query(
