@@ -10,14 +10,14 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 
 
-def broadcast_parts(df) -> list[str]:
-    """The part of the physical plan under each broadcast."""
+def parts_under(df, word: str = "BroadcastExchange") -> list[str]:
+    """The part of the physical plan under each node that has the word, a broadcast if none is given."""
     lines = df._jdf.queryExecution().sparkPlan().toString().split("\n")
     lines += df._jdf.queryExecution().executedPlan().toString().split("\n")
     depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
     found = []
     for i, line in enumerate(lines):
-        if "BroadcastExchange" in line:
+        if word in line:
             end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
             found.append("\n".join(lines[i:end]))
     return found
@@ -26,7 +26,7 @@ def broadcast_parts(df) -> list[str]:
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", ["join_7", "win_8", "win_9", "srv_2"])
 def test_multiplied_rows_are_not_broadcast(spark, name):
-    parts = broadcast_parts(entry.queries()[name](spark, SF))
+    parts = parts_under(entry.queries()[name](spark, SF))
     assert not [p for p in parts if "Generate explode(sequence" in p]
 
 
@@ -47,3 +47,36 @@ def test_a_lookback_ends_on_its_day_whatever_other_pairs_look_back_on(spark):
     assert late["days_since_rain"] is None and late["precip_30d"] is None and late["precip_7d"] == 0.0
     assert late["weather_status"] == "insufficient_history" and set(late["missing"]) == {"days_since_rain", "precip_30d"}
     assert early["days_since_rain"] == 16 and early["precip_7d"] == 0.0 and early["precip_30d"] == 9.0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_the_panel_is_not_exchanged_for_labels_rain_neighbours_or_windows(spark):
+    from riskgrid.operators import labels as lb
+    from riskgrid.plans import demo
+
+    for df in (demo.weather_panel(spark, SF), demo.features(spark, SF).transform(lb.add_forward_label, 3)):
+        parts = parts_under(df, "Exchange hashpartitioning")
+        assert parts and not [p for p in parts if "Generate explode(sequence" in p]
+
+
+def test_daily_values_come_in_as_by_a_left_join(spark):
+    from pyspark.sql import functions as F
+
+    from riskgrid.operators import features as ft
+
+    panel = spark.range(60).select(
+        F.concat_ws("_", (F.col("id") % 3).cast("string"), F.lit("0")).alias("cell_id"),
+        F.expr("date_add(date'2021-06-01', cast(id / 3 AS int))").alias("date"),
+        F.col("id").alias("k"),
+    )
+    daily = panel.filter("k % 7 = 1").select("cell_id", F.date_add("date", 2).alias("date"), (F.col("k") / 2).alias("a"), F.lit(None).cast("int").alias("b"))
+    wanted = sorted(tuple(r) for r in panel.join(daily, ["cell_id", "date"], "left").select("k", "a").collect())
+    assert any(a is not None for _, a in wanted)
+    assert sorted(tuple(r) for r in ft.add_daily(panel, daily, ("a", "b")).filter("b IS NULL").select("k", "a").collect()) == wanted
+    fires = panel.filter("k = 10").select("cell_id", "date")
+    beside = ft.add_neighbor_fire_features(panel, ignitions=fires, mark=True, beside=daily, parts=2)
+    assert sorted(tuple(r) for r in beside.select("k", "a").collect()) == wanted
+    assert beside.filter("ignited = 1").select("k").collect() == [(10,)]
+    plain = ft.add_neighbor_fire_features(panel, ignitions=fires)
+    counts = ["k", *[c for c in plain.columns if c.startswith("neighbor_fire")]]
+    assert sorted(map(str, beside.select(*counts).collect())) == sorted(map(str, plain.select(*counts).collect()))
