@@ -67,9 +67,12 @@ class _Leaf:
         self.value = rows["value"].iloc[0]
         self.bits = 1 << np.arange(len(rows))
 
-    def pattern(self, x: np.ndarray) -> np.ndarray:
-        part = x[:, self.features]
-        return ((part > self.lo) & (part <= self.hi)) @ self.bits
+    def pattern(self, columns: np.ndarray) -> np.ndarray:
+        """Bits of the intervals that each row meets; `columns` has a row per feature."""
+        out = np.zeros(columns.shape[1], dtype=np.int64)
+        for f, lo, hi, bit in zip(self.features, self.lo, self.hi, self.bits):
+            out += ((columns[f] > lo) & (columns[f] <= hi)) * bit
+        return out
 
     def contributions(self, patterns: np.ndarray, weights: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         x, b = patterns[:, None], self.patterns[None, :]
@@ -111,7 +114,8 @@ def _with_background(leaves: list[_Leaf], vectors: DataFrame) -> tuple[list[_Lea
             x = np.array(batch["inputs"].tolist())
             for k, leaf in enumerate(leaves):
                 if len(x):
-                    seen.update({(k, int(p)): int(n) for p, n in zip(*np.unique(leaf.pattern(x), return_counts=True))})
+                    n = np.bincount(leaf.pattern(np.ascontiguousarray(x.T)))
+                    seen.update({(k, int(p)): int(n[p]) for p in np.flatnonzero(n)})
         yield pd.DataFrame([(*at, n) for at, n in seen.items()], columns=["leaf", "pattern", "n"])
 
     found = vectors.mapInPandas(count, "leaf int, pattern long, n long").groupBy("leaf", "pattern").agg(F.sum("n").alias("n")).toPandas()
@@ -142,12 +146,19 @@ def attributions(
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = held.value
         weights = _weight_tables(max(len(p.features) for p in parts))
+        # A leaf's contributions by pattern, of which it has two to the power of its depth at most.
+        tables = [np.full((2 ** len(p.features), len(p.features)), np.nan) for p in parts]
         for batch in batches:
             x = np.array(batch["inputs"].tolist()).reshape(-1, width)
-            out = np.zeros_like(x)
-            for leaf in parts:
-                seen, at = np.unique(leaf.pattern(x), return_inverse=True)
-                out[:, leaf.features] += leaf.contributions(seen, weights)[at.ravel()]
+            columns, out = np.ascontiguousarray(x.T), np.zeros(x.shape[::-1])
+            for leaf, table in zip(parts, tables):
+                at = leaf.pattern(columns)
+                new = [p for p in np.flatnonzero(np.bincount(at)) if np.isnan(table[p, 0])]
+                if new:
+                    table[new] = leaf.contributions(np.array(new), weights)
+                for i, f in enumerate(leaf.features):
+                    out[f] += table[at, i]
+            out = np.ascontiguousarray(out.T)
             off = np.abs(out.sum(1) + base - batch["score"].to_numpy())
             if len(off) and off.max() > TOLERANCE:
                 raise ValueError(f"attributions miss the score by {off.max():.6f}")
