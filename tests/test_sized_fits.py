@@ -2,6 +2,19 @@
 
 from pyspark.sql import functions as F
 
+from riskgrid.learn import models
+
+
+def test_a_stump_sees_a_value_that_one_row_in_many_has(spark):
+    """The learner takes its cuts from a sample of large frames."""
+    rows = spark.range(400_000).select(
+        F.when(F.col("id") == 77_777, 9.0).otherwise((F.col("id") % 3).cast("double")).alias("near"),
+        (F.col("id") == 77_777).cast("int").alias("ignited"),
+    )
+    stump = models.fit_forest(rows, ["near"], n_estimators=1, max_depth=1, max_features=1.0, bootstrap=False)
+    seen = spark.createDataFrame([(2.0,), (9.0,)], "near double")
+    assert [r.score for r in models.predict(stump, seen).orderBy("near").collect()] == [0.0, 1.0]
+
 
 def test_season_days_are_not_formatted(spark):
     """Formatting each date cost more than reading its row."""
