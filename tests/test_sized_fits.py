@@ -2,7 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from riskgrid.learn import models
+from riskgrid.learn import models, together
+
+
+def test_fewer_fits_at_a_time_the_more_rows(spark, monkeypatch):
+    rows = spark.range(10)
+    assert together.how_many_at_once(rows) == together.AT_ONCE
+    monkeypatch.setattr(together, "ROWS_AT_ONCE", 25)
+    assert together.how_many_at_once(rows) == 2
+    assert together.how_many_at_once(spark.range(1000)) == 1
 
 
 def test_a_stump_sees_a_value_that_one_row_in_many_has(spark):
