@@ -37,6 +37,7 @@ FACTOR = np.uint64(0x9E3779B97F4A7C15)
 STAGE_SLICE = 500  # documents whose sets are held at once
 COMMON = 32  # open sets that have a shingle, beyond which it no longer makes sets meet by itself
 SLACK = 1e-6
+SCALE = (1 + STAGE_LEAST) / STAGE_LEAST  # sets link if their sizes add up to this many times what they share, or less
 
 
 # ------------------------------------------------------------------ fingerprints
@@ -315,6 +316,51 @@ def _by_rare(ordered: DataFrame, roots: DataFrame) -> DataFrame:
     return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
+def _compared(pairs: DataFrame, tops: DataFrame) -> DataFrame:
+    """The pairs (class_a, class_b) with s and rep of both classes and n, the common shingles that both have."""
+    one, two = (tops.select(*[F.col(c).alias(f"{c}_{side}") for c in ("class", "s", "rep", "shared")]) for side in "ab")
+    met = pairs.join(one, "class_a").join(two, "class_b")
+    return met.withColumn("n", F.size(F.array_intersect("shared_a", "shared_b"))).drop("shared_a", "shared_b")
+
+
+def _beside_hubs(keyed: DataFrame, tops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of each class and the hub of each of its keys, as `_compared`; and `keyed` with inside, outside and settled.
+
+    The hub of a key is the class that leaves most room for the size of another, if it shares with that what classes on
+    average have of its shingles. `inside` counts the common shingles that a class shares with the hub, `outside` those
+    it does not; `settled` is set where every set of the class is in one component with the hub already or links to the
+    hub's smallest set. Which class is the hub decides how many pairs are left, not which are found.
+    """
+    each = tops.select("class", "s", F.explode("shared").alias("h"))
+    each = each.join(each.groupBy("h").agg(F.count("*").alias("df")), "h")
+    room = each.groupBy("class").agg((SCALE * F.sum("df") / F.max("df") - F.max("s")).alias("room"))
+    best = F.max(F.struct("room", "class", "s", "low", "high")).alias("h")
+    hubs = keyed.join(room, "class").groupBy("key").agg(best, F.count("*").alias("n"))
+    hubs = hubs.where("n > 1").select("key", F.col("h.class").alias("hub"), *[F.col(f"h.{c}").alias(f"hub_{c}") for c in ("s", "low", "high")])
+    rows = keyed.join(hubs, "key")
+    to_hub = rows.where("class <> hub").select(F.col("class").alias("class_a"), F.col("hub").alias("class_b")).distinct()
+    to_hub = materialize(_compared(to_hub, tops), "simhash-hubs")
+    rows = rows.join(to_hub.select(F.col("class_a").alias("class"), F.col("class_b").alias("hub"), "n"), ["class", "hub"], "left")
+    rows = rows.withColumn("inside", F.coalesce("n", "sh")).withColumn("outside", F.col("sh") - F.col("inside"))
+    joined = (F.col("low") == F.col("hub_high")) & (F.col("high") == F.col("hub_low"))  # then all four are the same
+    linked = SCALE * F.col("inside") >= F.col("most") + F.col("hub_s") - SLACK
+    return to_hub, rows.withColumn("settled", joined | linked).drop("n", "hub", "hub_s", "hub_low", "hub_high")
+
+
+def _class_pairs(keyed: DataFrame) -> DataFrame:
+    """Pairs (class_a, class_b) of one key that may link, are not in one component and not both settled with its hub.
+
+    Two classes share no more than the lesser of their `inside` and the lesser of their `outside`.
+    """
+    kept = ("class", "low", "high", "s", "inside", "outside", "settled")
+    left, right = (keyed.select("key", *[F.col(c).alias(f"{c}_{side}") for c in kept]) for side in "ab")
+    apart = (F.col("class_a") < F.col("class_b")) & (F.least("low_a", "low_b") < F.greatest("high_a", "high_b"))
+    alike = F.least("s_a", "s_b") >= F.lit(STAGE_LEAST) * F.greatest("s_a", "s_b")
+    enough = SCALE * (F.least("inside_a", "inside_b") + F.least("outside_a", "outside_b")) >= F.col("s_a") + F.col("s_b") - SLACK
+    met = left.join(right.hint("merge"), "key").where(apart & alike & enough & ~(F.col("settled_a") & F.col("settled_b")))
+    return met.select("class_a", "class_b").distinct()
+
+
 def _by_common(ordered: DataFrame, open_: DataFrame) -> DataFrame:
     """Pairs (a, b) that join what common shingles alone make 0.8 alike.
 
@@ -322,26 +368,22 @@ def _by_common(ordered: DataFrame, open_: DataFrame) -> DataFrame:
     sum of the sizes is at most 2.25 s. Sets with the same common shingles are a class. If two of a class link, both
     link to its smallest set; if sets of two classes link, so do the smallest sets of the classes, and each of the two
     sets links to the smallest set of that class which allows the largest sizes. So a set meets two others at most,
-    and only classes of one band key meet each other.
+    and only classes of one band key meet each other: all of them the key's hub, and each other where the hub neither
+    joins both nor shows that they share too little.
     """
-    scale = (1 + STAGE_LEAST) / STAGE_LEAST
     mostly = ordered.where(F.size("shared") >= F.lit(STAGE_LEAST) * F.col("s") - SLACK).withColumn("class", F.xxhash64("shared"))
     mostly = materialize(mostly.select("node", "s", "class", "shared"), "simhash-mostly")
     members = mostly.select("node", "s", "class")
-    least = members.groupBy("class").agg(F.min(F.struct("s", "node")).alias("r")).select("class", F.col("r.s").alias("s"), F.col("r.node").alias("rep"))
+    least = mostly.groupBy("class").agg(F.min(F.struct("s", "node")).alias("r"), F.max("s").alias("most"), F.max(F.size("shared")).alias("sh"))
+    least = least.select("class", F.col("r.s").alias("s"), F.col("r.node").alias("rep"), "most", "sh")
     own = members.join(least.drop("s"), "class").select("node", "rep")
     tops = least.join(mostly.select(F.col("node").alias("rep"), "shared"), "rep")
     keyed = open_.join(members.select("node", "class"), "node")
     states = keyed.groupBy("class").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    keyed = keyed.select("key", "class").distinct().join(states, "class").join(least, "class")
-    left, right = (keyed.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("class", "low", "high", "s")]) for side in "ab")
-    apart = (F.col("class_a") < F.col("class_b")) & (F.least("low_a", "low_b") < F.greatest("high_a", "high_b"))
-    alike = F.least("s_a", "s_b") >= F.lit(STAGE_LEAST) * F.greatest("s_a", "s_b")
-    met = left.join(right.hint("merge"), "key").where(apart & alike).select("class_a", "class_b").distinct()
-    one, two = (tops.select(*[F.col(c).alias(f"{c}_{side}") for c in ("class", "s", "rep", "shared")]) for side in "ab")
-    met = met.join(one, "class_a").join(two, "class_b")
-    met = met.withColumn("both", scale * F.size(F.array_intersect("shared_a", "shared_b")))
-    met = materialize(met.where(F.col("both") >= F.col("s_a") + F.col("s_b") - SLACK).drop("shared_a", "shared_b"), "simhash-classes")
+    keyed = keyed.select("key", "class").distinct().join(states, "class").join(least.drop("rep"), "class")
+    to_hub, keyed = _beside_hubs(materialize(keyed, "simhash-keyed"), tops)
+    met = to_hub.unionByName(_compared(_class_pairs(materialize(keyed, "simhash-beside")), tops)).withColumn("both", SCALE * F.col("n"))
+    met = materialize(met.where(F.col("both") >= F.col("s_a") + F.col("s_b") - SLACK), "simhash-classes")
     ways = [
         met.select(F.col(f"class_{x}").alias("class"), F.struct((F.col("both") - F.col(f"s_{y}")).alias("room"), F.col(f"rep_{y}").alias("rep")).alias("way"))
         for x, y in ("ab", "ba")
@@ -373,8 +415,8 @@ def near_copies(docs: DataFrame, common: int = COMMON) -> DataFrame:
     differing bits. Equal sets are one node. All nodes of a band key meet its hub. Where that leaves a key with nodes of
     several components, sets meet by their rarest shingles (the first fifth in order of rarity, in at most `common`
     sets), and what they share beyond is settled class by class (`_by_common`): no link between nodes of one key is
-    lost, however many have it, and `common` only shifts work between the two ways. What grows with the square of a
-    crowd is the number of its different sets of common shingles that have no hub, not the number of its documents.
+    lost, however many have it, and `common` only shifts work between the two ways. What can still grow with the square
+    of a crowd is the number of its different sets of common shingles that their key's hub neither joins nor rules out.
 
     Null and empty texts have the empty set and are copies of each other; null and repeated ids keep their rows; a long
     text is one set; rows that repeat come as often; an empty table gives no rows; other columns count in `row` alone.

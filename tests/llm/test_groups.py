@@ -247,3 +247,30 @@ def test_crowds_of_variants_as_brute_force(spark):
     # Few or many common shingles: the work moves between the two ways, the groups stay.
     for common in (4, 1000):
         assert groups_found(spark, texts, common=common) == want
+
+
+def variants(n, seed):
+    """Texts of one boilerplate with up to 3 words changed, at places where many others have been changed as well."""
+    rng = random.Random(seed)
+    for _ in range(n):
+        words = [f"a{k}" for k in range(146)]
+        for _ in range(rng.randrange(4)):
+            words[rng.choice((7, 20, 31, 44, 58, 70, 83, 95, 110, 121, 133))] = f"x{rng.randrange(3)}"
+        yield " ".join(words)
+
+
+def test_classes_of_a_crowd_meet_its_hub_not_each_other(spark):
+    sets = {n: set(simhash.shingle_hashes(t, 5).view("int64").tolist()) for n, t in enumerate(sorted(set(variants(400, 8))))}
+    link = lambda a, b: 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])
+    held = [(n, len(s), sorted(s)) for n, s in sets.items()]
+    ordered = spark.createDataFrame([(n, s, [], h) for n, s, h in held], "node long, s int, first array<long>, shared array<long>")
+    open_ = spark.createDataFrame([(1, n, n) for n in sets], "key long, node long, root long")
+    asked = {tuple(r) for r in simhash._by_common(ordered, open_).collect()}
+    nodes = {n: n for n in sets}
+    assert plain_groups(nodes, lambda a, b: (a, b) in asked and link(a, b)) == plain_groups(nodes, link)
+    keyed = spark.createDataFrame([(1, n, n, n, s, s, s) for n, s, _ in held], "key long, class long, low long, high long, s int, most int, sh int")
+    tops = spark.createDataFrame([(n, s, n, h) for n, s, h in held], "class long, s int, rep long, shared array<long>")
+    to_hub, beside = simhash._beside_hubs(keyed, tops)
+    assert to_hub.count() == len(sets) - 1
+    # All that are apart met each other before: some n * n / 2 pairs.
+    assert len(sets) > 200 and simhash._class_pairs(beside).count() < 5 * len(sets)
