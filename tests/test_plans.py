@@ -30,6 +30,28 @@ def test_multiplied_rows_are_not_broadcast(spark, name):
     assert not [p for p in parts if "Generate explode(sequence" in p]
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_what_scored_and_explained_requests_stand_on_broadcasts_no_multiplied_rows(spark, monkeypatch):
+    """The scored queries write the answered requests first, so their own plan shows nothing of them."""
+    from riskgrid.plans import q_models, serve
+
+    class Answered(Exception):
+        pass
+
+    def seen(answered, *_, **__):
+        parts = parts_under(answered)
+        assert not [p for p in parts if "Generate explode(sequence" in p]
+        raise Answered
+
+    monkeypatch.setattr(serve, "score_requests", seen)
+    monkeypatch.setattr(serve, "explain_requests", seen)
+    for fit in ("small_bundle", "_stump", "_fit_small"):
+        monkeypatch.setattr(q_models, fit, lambda *_, **__: None)
+    for name in ("srv_2_scores", "srv_3", "srv_3_stump", "srv_4"):
+        with pytest.raises(Answered):
+            entry.queries()[name](spark, SF)
+
+
 def test_a_lookback_ends_on_its_day_whatever_other_pairs_look_back_on(spark):
     """The rain of 46 days before belongs to the earlier pair alone."""
     from riskgrid.plans import serve
