@@ -175,3 +175,26 @@ def test_sequences_need_gapless_history(spark):
         "B": [[10, 20, 30], [20, 30, 40], [30, 40, 50]],
         "C": [[1, 2, 3]],
     }
+
+
+def test_rows_that_lie_in_order_give_what_windows_give(spark):
+    """Batches end inside cells; some values are missing, one cell has no id and one is short."""
+    rows = spark.range(4000).select(
+        F.when(F.col("id") < 3000, F.concat(F.lit("c"), F.floor(F.col("id") / 90).cast("string"))).when(F.col("id") < 3003, F.lit("short")).alias("cell_id"),
+        F.expr("date_add(date'2020-01-01', cast(id AS int))").alias("date"),
+        F.when(F.col("id") % 41 != 5, F.when(F.col("id") % 17 == 3, F.col("id") % 7 + 0.1).otherwise(F.col("id") % 3 / 10.0)).alias("precip_mm"),
+        F.when(F.col("id") % 83 != 7, 280 + F.sin(F.col("id") * 1.7) * 9).alias("t2m"),
+        (50 + F.cos(F.col("id") * 0.3) * 40).alias("relative_humidity"),
+    )
+    wanted = rows.transform(ft.add_days_since_rain).transform(ft.add_rolling_features)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        laid = rows.repartition(3, "cell_id").sortWithinPartitions("cell_id", "date")
+        found = laid.transform(ft.add_days_since_rain, arranged=True).transform(ft.add_rolling_features, arranged=True)
+        assert found.dtypes == wanted.dtypes
+        assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+        found, wanted = ({r.date: r for r in df.collect()} for df in (found, wanted))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == wanted and len(found) == 4000
+    assert len({r.days_since_rain for r in found.values()}) > 10 and any(r.precip_30d is None for r in found.values())
