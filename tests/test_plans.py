@@ -81,6 +81,18 @@ def test_the_panel_is_not_exchanged_for_labels_rain_neighbours_or_windows(spark)
         assert parts and not [p for p in parts if "Generate explode(sequence" in p]
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_the_model_frame_takes_rolling_values_in_row_order(spark):
+    """Neither an exchange of the panel nor a window of 30 rows that is added up anew for each."""
+    from riskgrid.plans import demo
+
+    df = demo.features(spark, SF, ahead=3)
+    parts = parts_under(df, "Exchange hashpartitioning")
+    assert parts and not [p for p in parts if "Generate explode(sequence" in p]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "-29" not in plan
+
+
 def test_daily_values_come_in_as_by_a_left_join(spark):
     from pyspark.sql import functions as F
 
