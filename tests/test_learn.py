@@ -199,3 +199,31 @@ def test_histories_feed_a_network(spark):
     model = models.fit_sequences(df, hidden=3, max_iter=30)
     found = models.evaluate(model, models.flatten_sequences(df))
     assert found["roc_auc"] > 0.9
+
+
+def test_a_network_is_learned_in_passes_that_keep_no_history(spark, monkeypatch):
+    """The learner of pyspark.ml stacked all histories; it now only holds the weights, which are those it would have found."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.feature import StandardScaler
+
+    rows = [(i, int(i % 4 == 0), [[float(i % 4), 280.0 + i % 7], [0.1 * (i % 5), 0.5 + i % 3]]) for i in range(120)]
+    df = spark.createDataFrame(rows, "row_key bigint, ignited int, sequence array<array<float>>").coalesce(1)
+    copies = F.expr("explode(sequence(1, CASE WHEN ignited = 1 THEN 3 ELSE 1 END))")
+    stacked = models.flatten_sequences(df).select("_raw", F.col("ignited").cast("double").alias("_label"), copies)
+    scaled = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(stacked)
+    for steps in (1, 3, 8):
+        learner = MultilayerPerceptronClassifier(labelCol="_label", layers=[4, 3, 2], maxIter=steps, seed=5, blockSize=1000)
+        theirs = learner.fit(scaled.transform(stacked)).transform(scaled.transform(models.flatten_sequences(df).withColumn("_label", F.lit(0.0))))
+        seen = []
+
+        class Watched(MultilayerPerceptronClassifier):
+            def _fit(self, dataset):
+                seen.append(dataset.count())
+                return super()._fit(dataset)
+
+        monkeypatch.setattr(models, "MultilayerPerceptronClassifier", Watched)
+        ours = models.predict(models.fit_sequences(df, hidden=3, max_iter=steps, seed=5), models.flatten_sequences(df))
+        monkeypatch.undo()
+        assert max(seen) <= 2
+        expected = {r.row_key: r.probability[1] for r in theirs.collect()}
+        assert {r.row_key: r.score for r in ours.collect()} == pytest.approx(expected, abs=1e-6)

@@ -198,3 +198,16 @@ def test_rows_that_lie_in_order_give_what_windows_give(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert found == wanted and len(found) == 4000
     assert len({r.days_since_rain for r in found.values()}) > 10 and any(r.precip_30d is None for r in found.values())
+
+
+def test_histories_cut_from_runs_are_those_of_the_windows(spark, day):
+    """Written one by one, histories took `length` times the room of their rows."""
+    days = [f"2021-06-{d:02d}" for d in range(1, 13) if d != 6]
+    rows = [(c, day(d), float(i), None if i == 3 else i * 2.0, i % 2) for c in ("1_1", "1_2", None) for i, d in enumerate(days) if (c, i) != ("1_2", 9)]
+    df = spark.createDataFrame(rows, "cell_id string, date date, t2m double, precip_mm double, ignited int").repartition(3)
+    windows, runs = (ft.build_sequences(df, ("t2m", "precip_mm"), 3, by_run=by_run) for by_run in (False, True))
+    assert runs.schema.simpleString() == windows.schema.simpleString()
+    key = lambda r: str((r.cell_id, r.date))
+    assert sorted(runs.collect(), key=key) == sorted(windows.collect(), key=key)
+    plan = runs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and runs.count() > 0
