@@ -111,10 +111,10 @@ def _with_background(leaves: list[_Leaf], vectors: DataFrame) -> tuple[list[_Lea
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
         for batch in batches:
-            x = np.array(batch["inputs"].tolist())
+            columns = np.ascontiguousarray(np.array(batch["inputs"].tolist()).T)
             for k, leaf in enumerate(leaves):
-                if len(x):
-                    n = np.bincount(leaf.pattern(np.ascontiguousarray(x.T)))
+                if len(batch):
+                    n = np.bincount(leaf.pattern(columns))
                     seen.update({(k, int(p)): int(n[p]) for p in np.flatnonzero(n)})
         yield pd.DataFrame([(*at, n) for at, n in seen.items()], columns=["leaf", "pattern", "n"])
 
@@ -197,8 +197,10 @@ def top_contributions(parts: DataFrame, n: int = 5, key: str = "row_key") -> Dat
     return parts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
-def example_pool(df: DataFrame, label: str = "ignited", key: str = "row_key", negatives: int = 2000, seed: int = 0) -> DataFrame:
-    """All positives and a seeded sample of the negatives."""
+def example_pool(df: DataFrame, label: str = "ignited", key: str = "row_key", negatives: int | None = None, seed: int = 0) -> DataFrame:
+    """All positives and all negatives, or a seeded sample of so many negatives where a number is given."""
+    if negatives is None:
+        return df.filter(F.col(label).isin(0, 1))
     return df.filter(F.col(label) == 1).unionByName(seeded_sample(df.filter(F.col(label) == 0), negatives, key, seed))
 
 

@@ -227,3 +227,26 @@ def test_a_network_is_learned_in_passes_that_keep_no_history(spark, monkeypatch)
         assert max(seen) <= 2
         expected = {r.row_key: r.probability[1] for r in theirs.collect()}
         assert {r.row_key: r.score for r in ours.collect()} == pytest.approx(expected, abs=1e-6)
+
+
+def test_example_pool_leaves_no_negative_out(spark):
+    """By default it held 2,000 negatives, so the highest-scored one could be missing."""
+    df = spark.range(5000).selectExpr("id AS row_key", "CASE WHEN id < 10 THEN 1 WHEN id < 12 THEN NULL ELSE 0 END AS ignited")
+    counts = {r.ignited: r["count"] for r in xai.example_pool(df).groupBy("ignited").count().collect()}
+    assert counts == {1: 10, 0: 4988}
+
+
+def test_the_example_query_reads_no_sample(spark, monkeypatch):
+    from riskgrid.plans import q_models
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("a sample was drawn")
+
+    monkeypatch.setattr(xai, "seeded_sample", refuse)
+    sf = "/root/testdata/sf0.001"
+    _, _, test = q_models.split_frames(spark, sf)
+    scored = models.predict(q_models.small_bundle(spark, sf).model, test).select("row_key", "ignited", "score").toPandas()
+    found = {r.example: r.row_key for r in q_models.xai_4(spark, sf).select("example", "row_key").distinct().collect()}
+    for name, label in (("highest_scored_actual_fire", 1), ("highest_scored_non_fire", 0)):
+        first = scored[scored.ignited == label].sort_values(["score", "row_key"], ascending=[False, True]).head(1)
+        assert [found[name]] == first.row_key.tolist() if len(first) else name not in found
