@@ -250,3 +250,37 @@ def test_the_example_query_reads_no_sample(spark, monkeypatch):
     for name, label in (("highest_scored_actual_fire", 1), ("highest_scored_non_fire", 0)):
         first = scored[scored.ignited == label].sort_values(["score", "row_key"], ascending=[False, True]).head(1)
         assert [found[name]] == first.row_key.tolist() if len(first) else name not in found
+
+
+def _histories(spark, rows):
+    rng = np.random.default_rng(3)
+    days = [dt.date(2021, 5, 1) + dt.timedelta(days=i) for i in range(rows) if i != 17]
+    found = [(f"{c}_0", d, float(rng.random()), 280 + float(rng.random()), int(rng.random() < 0.3)) for c in range(4) for d in days]
+    return spark.createDataFrame(found, "cell_id string, date date, a double, b double, ignited int").repartition(3)
+
+
+def test_a_network_learned_from_runs_is_that_of_their_histories(spark):
+    """Histories were cut out one by one for every pass; they are now cut where the gradient is added up."""
+    from riskgrid.operators import features as ft
+
+    df, used = _histories(spark, 40), lambda day: day < F.lit("2021-06-03").cast("date")
+    runs = ft.build_runs(df, ("a", "b"), 5)
+    rows = ft.cut_histories(runs, df.columns, 5)
+    train = rows.filter(used(F.col("date")))
+    a = models.fit_sequences(train, hidden=3, max_iter=6, seed=2)
+    b = models.fit_runs(runs, used, 5, hidden=3, max_iter=6, seed=2)
+    scored = models.flatten_sequences(rows)
+    both = [{(r.cell_id, r.date): r.score for r in models.predict(m, scored).collect()} for m in (a, b)]
+    assert train.count() < rows.count() == len(both[0]) == 4 * (39 - 2 * 4)
+    assert both[1] == pytest.approx(both[0], abs=1e-6)
+    assert max(both[0].values()) - min(both[0].values()) > 1e-3
+
+
+def test_the_sequence_query_fits_the_whole_network(spark, monkeypatch):
+    """It asked for 4 hidden units and 3 steps of the search, where the learner has 16 and 50."""
+    from riskgrid.plans import q_models
+
+    seen = []
+    monkeypatch.setattr(models, "descend", lambda loss, start, steps: seen.append((len(start), steps)) or start)
+    q_models.ml_15(spark, "/root/testdata/sf0.001")
+    assert seen == [(150 * 16 + 16 + 16 * 2 + 2, 50)]
