@@ -389,7 +389,7 @@ def sample(table: DataFrame, votes: DataFrame, most: int = MOST_LABELLED) -> tup
     Of each class the `most` ids that come first by a hash; only ids are joined before, which bounds what is broadcast.
     Rows that repeat an id do not enlarge the sample.
     """
-    known = votes.join(table.select("id"), "id", "left_semi")
+    known = votes.join(table.select("id").hint("merge"), "id", "left_semi")  # ids of all rows: never to the driver
     order = [F.xxhash64("id"), "id"]
     chosen = known.where("y = 1").orderBy(*order).limit(most).unionByName(known.where("y = 0").orderBy(*order).limit(most))
     rows = table.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "id", "a", "b").limit(2 * most)
@@ -398,10 +398,12 @@ def sample(table: DataFrame, votes: DataFrame, most: int = MOST_LABELLED) -> tup
 
 def unlabelled(table: DataFrame, votes: DataFrame) -> DataFrame:
     """Rows of a table of views whose id has no label, null ids among them; written once. Rows of one id go to several
-    tasks, so an id that a third of all rows have is no hot key."""
+    tasks, so an id that a third of all rows have is no hot key.
+
+    Labelled ids are multiplied for that, which the planner does not see: without the hint it would broadcast them."""
     spread = votes.select("id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     rows = table.where("id IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(SALTS)).cast("int"))
-    free = rows.join(spread, ["id", "salt"], "left_anti").select("id", "a", "b")
+    free = rows.join(spread.hint("merge"), ["id", "salt"], "left_anti").select("id", "a", "b")
     return materialize(free.unionByName(table.where("id IS NULL")), "quality-unlabelled")
 
 

@@ -323,6 +323,21 @@ def test_rounds_on_spark_as_in_memory(spark, monkeypatch):
         assert np.allclose(a.weights, b.weights, rtol=1e-3, atol=1e-4)
 
 
+def test_labelled_ids_are_not_broadcast(spark, monkeypatch):
+    """The planner took the multiplied ids for a small table and sent them through the driver; ids of all rows could follow."""
+    ids = spark.range(50).selectExpr("id", "unhex(hex(id)) AS a", "unhex(hex(id)) AS b")
+    votes = quality.majority(spark.range(40).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS quality"))
+    seen = []
+    monkeypatch.setattr(quality, "materialize", lambda df, label: seen.append(df) or df)
+    assert quality.unlabelled(ids, votes).count() == 10
+    rows, prior = quality.sample(ids, votes)
+    assert prior == 0.5 and rows.count() == 40
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    chosen = rows._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in chosen and not re.search("BroadcastHashJoin.*LeftSemi", chosen)
+
+
 def test_clashing_names_stay(spark):
     labels = spark.createDataFrame([(k, int(k < 40)) for k in range(80)], "doc_id long, quality int")
     rows = [(k, f"some good words number {k} here" if k < 40 else "JUNK!! " * (k % 7 + 5), "en", "s", 9, k, "x", "y", 1) for k in range(80)]
