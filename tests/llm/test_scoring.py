@@ -399,6 +399,31 @@ def test_search_as_brute_force(table, every, request, monkeypatch):
         assert by_place[q, rank] == (d, pytest.approx(s, abs=1e-6))
 
 
+def test_shards_are_read_one_at_a_time(spark, documents, monkeypatch):
+    """All shards of a file were read at once and sent to Python in one batch."""
+    index = search.build_index(documents.coalesce(1), shard_docs=30)
+    files = index.groupBy(F.input_file_name()).count()
+    assert index.count() == files.count() == -(-documents.count() // 30)
+
+    def watched(*given, make=search._searcher):
+        def run(batches):
+            def alone():
+                for batch in batches:
+                    assert batch.num_rows == 1
+                    yield batch
+
+            return make(*given)(alone())
+
+        return run
+
+    monkeypatch.setattr(search, "build_index", lambda docs: index)
+    monkeypatch.setattr(search, "_searcher", watched)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    asked = documents.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    assert search.top_k(documents, asked, k=3).count() == 3 * asked.count()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_blocks_are_skipped():
     """A block whose maxima do not reach the floor is never read."""
     n, rng = 4096, np.random.default_rng(0)
