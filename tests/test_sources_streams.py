@@ -147,3 +147,40 @@ def test_stateful_codes_equal_the_batch_codes(spark, tmp_path):
     for r in batch.collect():
         want = (r.ffmc, r.dmc, r.dc)
         assert got[(r.cell_id, r.date)] == ((None,) * 3 if r.ffmc is None else pytest.approx(want))
+
+
+def test_streamed_rows_are_exchanged_packed(spark):
+    """Each row was exchanged by itself, and the landed rows a second time."""
+    import numpy as np
+    import pyarrow as pa
+
+    from riskgrid.streaming import codes
+
+    rng = np.random.default_rng(1)
+    days, cells, values = rng.integers(-400, 20_000, 5000), rng.integers(0, 9, 5000), rng.random((5, 5000)).round(1)
+    values[2, 7] = np.nan
+    packed = codes.pack(days, cells, values)
+    for a, b in zip(codes.unpack(packed), (days, cells, values)):
+        np.testing.assert_array_equal(a, b)
+    assert len(packed) < (values.nbytes + 8 * len(days)) / 3
+    rows = [("a", "0_0", dt.date(2020, 1, 1), 1.0), ("b", "9_9", dt.date(2020, 1, 2), None), ("a", "0_1", None, 2.0), ("a", "0_0", dt.date(2020, 1, 3), 3.0)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(["tile", "cell_id", "date"], r)) | dict.fromkeys(codes.VALUES, r[3]) for r in rows], pa.schema([("tile", pa.string()), ("cell_id", pa.string()), ("date", pa.date32()), *[(c, pa.float64()) for c in codes.VALUES]]))
+    found = {r["tile"]: r for r in next(codes._packed(iter([batch]))).to_pylist()}
+    assert {t: r["cells"] for t, r in found.items()} == {"a": ["0_0"], "b": ["9_9"]}
+    assert codes.unpack(found["a"]["packed"])[2].tolist() == [[1.0, 3.0]] * 5 and np.isnan(codes.unpack(found["b"]["packed"])[2]).all()
+
+
+def test_the_code_stream_exchanges_packed_rows_only(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from riskgrid.plans import q_models
+
+    def refuse(*args):
+        raise AssertionError("rows are exchanged for landing")
+
+    streams = []
+    monkeypatch.setattr(DataFrame, "repartition", lambda self, *a, f=DataFrame.repartition: refuse() if "temp_c" in self.columns else f(self, *a))
+    monkeypatch.setattr(q_models, "_run", lambda stream: streams.append(stream) or spark.createDataFrame([], stream.schema))
+    q_models.str_5(spark, "/root/testdata/sf0.001")
+    plan = streams[0]._jdf.queryExecution().analyzed().toString()
+    assert "packed" in plan
