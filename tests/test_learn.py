@@ -284,3 +284,14 @@ def test_the_sequence_query_fits_the_whole_network(spark, monkeypatch):
     monkeypatch.setattr(models, "descend", lambda loss, start, steps: seen.append((len(start), steps)) or start)
     q_models.ml_15(spark, "/root/testdata/sf0.001")
     assert seen == [(150 * 16 + 16 + 16 * 2 + 2, 50)]
+
+
+def test_the_forest_of_the_sequence_query_reads_stored_rows(spark, monkeypatch):
+    """Each of its passes cut the rows out of the runs again."""
+    from riskgrid.plans import q_models
+
+    seen = []
+    monkeypatch.setattr(models, "descend", lambda loss, start, steps: start)
+    monkeypatch.setattr(q_models, "_fit_small", lambda train, f=q_models._fit_small: seen.append(train) or f(train))
+    q_models.ml_15(spark, "/root/testdata/sf0.001")
+    assert "explode" not in seen[0]._jdf.queryExecution().optimizedPlan().toString().lower() and seen[0].count() > 0
